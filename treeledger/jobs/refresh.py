@@ -1,0 +1,119 @@
+"""Building, refreshing and comparing manifests of file trees."""
+
+import os
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators.compare import compare
+from ..operators.quality import self_check
+from ..operators.refresh import any_change, apply_plan, plan_refresh, to_hash
+from ..operators.roots import merged_roots, unexpected_roots
+from ..schemas import ERRORS, MANIFEST, ROOTS
+from ..sources.scratch import fresh_folder, materialise
+from ..sources.tree import list_errors, scan_tree, still_present
+from .hashing import BATCH_BYTES, hash_due_files
+from .store import ManifestExists, NoManifest, Store
+
+
+class CorruptManifest(Exception):
+    """The manifest fails its self-check."""
+
+
+class RootMismatch(Exception):
+    """The manifest was taken from another root; refreshing would drop its rows."""
+
+
+@dataclass(frozen=True)
+class Refreshed:
+    plan: DataFrame
+    listing: DataFrame
+    errors: DataFrame
+    changed: bool
+    snapshot_id: int | None  # the snapshot that is now the newest; None after a dry run
+    manifest: DataFrame | None
+
+
+def build(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
+    """Make the first manifest of ``root``; refuses when one exists.  Options as in ``refresh``."""
+    if Store(spark, store).latest_commit() is not None:
+        raise ManifestExists(store)
+    return _run(spark, root, store, **options)
+
+
+def refresh(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
+    """Bring the manifest of ``root`` up to date, reading only files that need it.
+
+    ignore, include: patterns; maxdepth: how deep to look; clean_ignored: also
+    drop recorded paths that are ignored; allow_root_change: accept another
+    root than the saved one; mode: "incremental" or "full"; dry_run: plan only;
+    batch_bytes: how much to hash between commits of the staging table.
+    """
+    if Store(spark, store).latest_commit() is None:
+        raise NoManifest(store)
+    return _run(spark, root, store, **options)
+
+
+def checked(manifest: DataFrame) -> DataFrame:
+    """The manifest itself, after its self-check."""
+    result = self_check(manifest).first()
+    if not result.ok:
+        raise CorruptManifest(str(result.asDict()))
+    return manifest
+
+
+def _run(
+    spark: SparkSession,
+    root: str,
+    store: str,
+    *,
+    ignore: Sequence[str] = (),
+    include: Sequence[str] = (),
+    maxdepth: int | None = None,
+    clean_ignored: bool = False,
+    allow_root_change: bool = False,
+    mode: str = "incremental",
+    dry_run: bool = False,
+    batch_bytes: int = BATCH_BYTES,
+) -> Refreshed:
+    home = Store(spark, store)
+    last = home.latest_commit()
+    saved = checked(home.manifest()) if last else spark.createDataFrame([], MANIFEST)
+    given = spark.createDataFrame([(os.path.abspath(root),)], ROOTS)
+    foreign = [r.prefix for r in unexpected_roots(home.roots(), given).collect()]
+    if foreign and not allow_root_change:
+        raise RootMismatch(f"saved {foreign}, given {root}")
+
+    listing = scan_tree(spark, root)
+    unmet = saved.select("relative_path").join(listing, "relative_path", "left_anti")
+    found = listing.unionByName(still_present(unmet, root)) if last else listing
+    plan = plan_refresh(
+        found, saved, ignore=ignore, include=include, maxdepth=maxdepth,
+        clean_ignored=clean_ignored, mode=mode,
+    )
+    plan = materialise(plan, fresh_folder(spark))
+    changed = any_change(plan).first().any_change
+    if dry_run:
+        return Refreshed(plan, listing, list_errors(listing), changed, None, None)
+    if last and not changed and not foreign:
+        return Refreshed(plan, listing, list_errors(listing), False, last.snapshot_id, saved)
+
+    snapshot_id = last.snapshot_id + 1 if last else 1
+    staging = f"{home.path}/staging/snapshot_id={snapshot_id}-{mode}"
+    due = to_hash(plan)
+    hashed, failed = hash_due_files(due, root, staging, batch_bytes)
+    roots = merged_roots(home.roots(), given, replace=allow_root_change)
+    manifest = home.write(
+        apply_plan(plan, hashed), snapshot_id, [r.prefix for r in roots.collect()]
+    )
+    hash_errors = failed.select("relative_path", F.lit("hash").alias("stage"), "error")
+    errors = list_errors(listing).unionByName(hash_errors.select(*ERRORS.fieldNames()))
+    return Refreshed(plan, listing, errors, changed, snapshot_id, manifest)
+
+
+def compare_stores(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """Compare the newest manifests of two stores, each after its self-check."""
+    return compare(
+        checked(Store(spark, left).manifest()), checked(Store(spark, right).manifest())
+    )

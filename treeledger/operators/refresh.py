@@ -1,0 +1,139 @@
+"""The refresh decision: what to do with every path of a listing and a manifest."""
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import change_label, change_mask, is_ignored, within_depth
+from ..functions.changes import NOT_COMPARED
+from ..schemas import DELETE_ACTIONS, HASH_ACTIONS
+
+_METADATA = ("size", "mtime_ns", "ctime_ns")
+
+
+def plan_refresh(
+    listing: DataFrame,
+    manifest: DataFrame,
+    *,
+    ignore: Sequence[str] = (),
+    include: Sequence[str] = (),
+    maxdepth: int | None = None,
+    clean_ignored: bool = False,
+    mode: str = "incremental",
+) -> DataFrame:
+    """One row per path that the manifest holds or the refresh looks at.
+
+    ``listing`` must not be filtered: depth and patterns decide what is added or
+    hashed, while a recorded path is deleted only when it is not in the listing
+    at all (or is a symlink to nothing).  ``mode="full"`` hashes unchanged files
+    again, which is the only way to see content that changed under the same
+    metadata.
+    """
+    if mode not in ("incremental", "full"):
+        raise ValueError("mode must be 'incremental' or 'full'")
+    now = listing.select(
+        "relative_path",
+        F.lit(True).alias("_listed"),
+        F.col("kind").alias("_kind"),
+        F.col("target_exists").alias("_target_exists"),
+        *[F.col(c).alias("now_" + c) for c in _METADATA],
+    )
+    was = manifest.select(
+        "relative_path",
+        F.lit(True).alias("_saved"),
+        *[F.col(c).alias("was_" + c) for c in _METADATA],
+        F.col("sha512").alias("was_sha512"),
+        F.col("bytes_hashed").alias("was_bytes_hashed"),
+    )
+    path = F.col("relative_path")
+    saved = F.col("_saved").isNotNull()
+    exists = F.col("_listed").isNotNull() & (
+        (F.col("_kind") != "symlink") | F.coalesce("_target_exists", F.lit(False))
+    )
+    candidate = F.coalesce(F.col("_kind") == "file", F.lit(False)) & within_depth(path, maxdepth)
+    ignored = is_ignored(path, ignore, include)
+    mask = change_mask(compared=saved & candidate)
+    same = F.col("change_mask") == 0
+    complete = F.col("was_bytes_hashed").isNull()
+    unchanged = same & complete if mode == "incremental" else F.lit(False)
+
+    joined = now.join(was, "relative_path", "full_outer").withColumn("change_mask", mask)
+    action = (
+        F.when(saved & F.lit(clean_ignored) & ignored, "DELETE_IGNORED")
+        .when(saved & ~exists, "DELETE_MISSING")
+        .when(saved & ~candidate, "KEEP")
+        .when(saved & unchanged, "KEEP")
+        .when(candidate & ignored, "IGNORED")
+        .when(candidate & ~saved, "ADD")
+        .when(saved & same & ~complete, "RESUME")
+        .when(saved & same, "REHASH")
+        .when(saved & ~complete, "REHASH")
+        .when(saved, "CHANGED")
+    )
+    return (
+        joined.withColumn("action", action)
+        .where(F.col("action").isNotNull())
+        .select(
+            "relative_path",
+            "action",
+            "change_mask",
+            change_label("change_mask").alias("change_label"),
+            *["was_" + c for c in _METADATA],
+            "was_sha512",
+            "was_bytes_hashed",
+            *["now_" + c for c in _METADATA],
+        )
+    )
+
+
+def to_hash(plan: DataFrame) -> DataFrame:
+    """The planned paths whose content must be read, with their current metadata."""
+    return plan.where(F.col("action").isin(*HASH_ACTIONS)).select(
+        "relative_path", *[F.col("now_" + c).alias(c) for c in _METADATA]
+    )
+
+
+def _saved_row(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "relative_path",
+        *[F.col("was_" + c).alias(c) for c in _METADATA],
+        F.col("was_sha512").alias("sha512"),
+        F.col("was_bytes_hashed").alias("bytes_hashed"),
+    )
+
+
+def apply_plan(plan: DataFrame, hashed: DataFrame) -> DataFrame:
+    """The next manifest: rows carried over, plus rows hashed now, minus deletions.
+
+    ``hashed`` holds relative_path, size, mtime_ns, ctime_ns (all as taken
+    before reading) and sha512.  A path that should have been hashed and was not
+    keeps its old row if it had one and gets none otherwise.
+    """
+    compared = F.col("change_mask") != NOT_COMPARED  # so an ignored path has a saved row
+    carried = _saved_row(
+        plan.where((F.col("action") == "KEEP") | ((F.col("action") == "IGNORED") & compared))
+    )
+    due = plan.where(F.col("action").isin(*HASH_ACTIONS))
+    done = hashed.select("relative_path", *_METADATA, F.col("sha512").alias("_sha512"))
+    fresh = due.join(done, "relative_path", "left")
+    is_done = F.col("_sha512").isNotNull()
+    pick = {c: F.when(is_done, F.col(c)).otherwise(F.col("was_" + c)).alias(c) for c in _METADATA}
+    rehashed = fresh.where(is_done | (F.col("action") != "ADD")).select(
+        "relative_path",
+        *pick.values(),
+        F.when(is_done, F.col("_sha512")).otherwise(F.col("was_sha512")).alias("sha512"),
+        F.when(~is_done, F.col("was_bytes_hashed")).alias("bytes_hashed"),
+    )
+    return carried.unionByName(rehashed)
+
+
+def any_change(plan: DataFrame) -> DataFrame:
+    """One row: does carrying out the plan change the manifest?"""
+    changing = F.col("action").isin(*HASH_ACTIONS, *DELETE_ACTIONS)
+    return plan.agg((F.count_if(changing) > 0).alias("any_change"))
+
+
+def action_counts(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("action", "change_mask", "change_label").agg(
+        F.count(F.lit(1)).alias("files")
+    )
