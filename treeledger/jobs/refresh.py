@@ -100,13 +100,14 @@ def _run(
         return Refreshed(plan, listing, list_errors(listing), False, last.snapshot_id, saved)
 
     snapshot_id = last.snapshot_id + 1 if last else 1
-    staging = f"{home.path}/staging/snapshot_id={snapshot_id}-{mode}"
-    due = to_hash(plan)
-    hashed, failed = hash_due_files(due, root, staging, batch_bytes)
+    staging = home.staging(snapshot_id, mode)
+    hashed, failed = hash_due_files(to_hash(plan), root, staging, batch_bytes)
+    failed = materialise(failed, fresh_folder(spark))
     roots = merged_roots(home.roots(), given, replace=allow_root_change)
     manifest = home.write(
         apply_plan(plan, hashed), snapshot_id, [r.prefix for r in roots.collect()]
     )
+    home.drop_staging()
     hash_errors = failed.select("relative_path", F.lit("hash").alias("stage"), "error")
     errors = list_errors(listing).unionByName(hash_errors.select(*ERRORS.fieldNames()))
     return Refreshed(plan, listing, errors, changed, snapshot_id, manifest)

@@ -43,6 +43,18 @@ class Store:
         table = self.spark.createDataFrame(rows, schema).coalesce(1)
         table.write.mode("append").parquet(f"{self.path}/{name}")
 
+    def _delete(self, folder: str) -> None:
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(conf).delete(target, True)
+
+    def staging(self, snapshot_id: int, mode: str) -> str:
+        """Where digests for the coming snapshot are collected until it is committed."""
+        return f"{self.path}/staging/snapshot_id={snapshot_id}-{mode}"
+
+    def drop_staging(self) -> None:
+        self._delete(f"{self.path}/staging")
+
     def commits(self) -> DataFrame:
         expired = self._table("expired", EXPIRED)
         return self._table("commits", COMMITS).join(expired, "snapshot_id", "left_anti")
@@ -108,10 +120,8 @@ class Store:
         old = ids[:-keep]
         if old:
             self._append("expired", [(i,) for i in old], EXPIRED)
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for snapshot_id in old:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots/snapshot_id={snapshot_id}")
-            folder.getFileSystem(conf).delete(folder, True)
+            self._delete(f"{self.path}/snapshots/snapshot_id={snapshot_id}")
         return old
 
     def snapshots(self) -> tuple[DataFrame, list[int]]:

@@ -5,7 +5,14 @@ from .compare import compare, mismatched, only_in, report, status_counts, verdic
 from .history import history
 from .quality import self_check, violations
 from .reconcile import reconcile, reconcile_multiset
-from .refresh import action_counts, any_change, apply_plan, plan_refresh, to_hash
+from .refresh import (
+    action_counts,
+    any_change,
+    apply_plan,
+    change_report,
+    plan_refresh,
+    to_hash,
+)
 from .roots import merged_roots, unexpected_roots
 from .summary import tree_summary
 
@@ -13,6 +20,7 @@ __all__ = [
     "action_counts",
     "any_change",
     "apply_plan",
+    "change_report",
     "compare",
     "history",
     "merged_roots",

@@ -4,7 +4,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import change_label, change_mask, is_ignored, within_depth
+from ..functions import (
+    CHANGE_BITS,
+    change_label,
+    change_mask,
+    format_bytes,
+    format_time,
+    is_ignored,
+    within_depth,
+)
 from ..functions.changes import NOT_COMPARED
 from ..schemas import DELETE_ACTIONS, HASH_ACTIONS
 
@@ -133,6 +141,22 @@ def any_change(plan: DataFrame) -> DataFrame:
     return plan.agg((F.count_if(changing) > 0).alias("any_change"))
 
 
+def change_report(plan: DataFrame) -> DataFrame:
+    """What changed on each changed path, before and after, in readable form."""
+    shown = {"size": format_bytes, "ctime_ns": format_time, "mtime_ns": format_time}
+    return plan.where(F.col("action") == "CHANGED").select(
+        "relative_path",
+        "change_label",
+        *[
+            F.when(F.col("change_mask").bitwiseAND(bit) != 0, shown[column](prefix + column)).alias(
+                prefix + name
+            )
+            for (name, bit), column in zip(CHANGE_BITS.items(), shown)
+            for prefix in ("was_", "now_")
+        ],
+    )
+
+
 def action_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action", "change_mask", "change_label").agg(
         F.count(F.lit(1)).alias("files")
