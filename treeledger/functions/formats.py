@@ -1,7 +1,5 @@
 """Human-readable bytes, durations, times and numbers."""
 
-from datetime import datetime
-
 from pyspark.sql import Column, functions as F
 
 # Binary units by bit shift, largest first.
@@ -59,7 +57,7 @@ def format_time(nanoseconds) -> Column:
     ns = _col(nanoseconds).cast("bigint")
     fraction = F.pmod(ns, F.lit(1_000_000_000))
     seconds = _div(ns - fraction, 1_000_000_000).cast("decimal(18,6)")
-    moment = F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(
+    moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), seconds
     )
     digits = F.lpad(fraction.cast("string"), 9, "0")

@@ -1,7 +1,7 @@
 """End-to-end jobs on file trees."""
 
 from .hashing import hash_due_chunks, hash_due_files
-from .refresh import (
+from .trees import (
     CorruptManifest,
     Refreshed,
     RootMismatch,

@@ -40,17 +40,21 @@ def _hash_in_batches(
     due: DataFrame, folder: str, key: tuple, digest: str, weight: str, hash_rows: Callable, batch_bytes: int
 ) -> tuple[DataFrame, DataFrame]:
     """Hash the due rows that are not staged yet; returns (done, failed)."""
-    known = _staged(due, folder, key, digest).where(F.col(digest).isNotNull())
-    todo = due.join(known, list(key), "left_anti")
-    todo = materialise(todo.select(*key), fresh_folder(due.sparkSession))
-    total = todo.agg(F.count(F.lit(1)).alias("rows"), F.sum(weight).alias("bytes")).first()
+    total = due.agg(F.count(F.lit(1)).alias("rows"), F.sum(weight).alias("bytes")).first()
     batches = (total.bytes or 0) // batch_bytes + 1
-    if total.rows:
-        tasks = task_count(total.rows // batches, (total.bytes or 0) // batches)
-        batch_of = F.pmod(F.xxhash64(*key), F.lit(batches))
-        for number in range(batches):
-            part = todo.where(batch_of == number)
-            hash_rows(part, tasks).write.mode("append").parquet(folder)
+    cores = due.sparkSession.sparkContext.defaultParallelism
+    tasks = task_count(total.rows // batches, (total.bytes or 0) // batches, cores)
+    known = _staged(due, folder, key, digest).where(F.col(digest).isNotNull())
+    hashed_key = F.xxhash64(*key)
+    todo = due.join(known, list(key), "left_anti").select(
+        *key, F.pmod(hashed_key, F.lit(batches)).alias("batch")
+    )
+    if batches > 1:  # one folder per batch, so that each batch reads only its rows
+        todo = todo.repartition("batch", F.pmod(F.shiftright(hashed_key, 32), F.lit(8)))
+    todo = materialise(todo, fresh_folder(due.sparkSession), ["batch"])
+    for number in range(batches):
+        part = todo.where(F.col("batch") == number).drop("batch")
+        hash_rows(part, tasks).write.mode("append").parquet(folder)
     staged = _staged(due, folder, key, digest)
     done = staged.where(F.col(digest).isNotNull())
     failed = (

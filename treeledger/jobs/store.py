@@ -69,21 +69,20 @@ class Store:
     def _folder(self, snapshot_id: int, attempt: str) -> str:
         return f"{self.path}/snapshots/snapshot_id={snapshot_id}/attempt={attempt}"
 
-    def _commit(self, snapshot_id: int | None):
+    def read(self, commit) -> DataFrame:
+        """The snapshot of a commit row."""
+        folder = self._folder(commit.snapshot_id, commit.attempt)
+        return self.spark.read.schema(MANIFEST).parquet(folder)
+
+    def manifest(self, snapshot_id: int | None = None) -> DataFrame:
+        """A committed snapshot; the newest by default."""
         if snapshot_id is None:
             commit = self.latest_commit()
         else:
             commit = self.commits().where(F.col("snapshot_id") == snapshot_id).first()
         if commit is None:
             raise NoManifest(self.path)
-        return commit
-
-    def manifest(self, snapshot_id: int | None = None) -> DataFrame:
-        """A committed snapshot; the newest by default."""
-        commit = self._commit(snapshot_id)
-        return self.spark.read.schema(MANIFEST).parquet(
-            self._folder(commit.snapshot_id, commit.attempt)
-        )
+        return self.read(commit)
 
     def roots(self) -> DataFrame:
         commit = self.latest_commit()
@@ -103,10 +102,12 @@ class Store:
 
     def compact(self, file_bytes: int = SNAPSHOT_FILE_BYTES) -> DataFrame:
         """Rewrite the newest snapshot in path order as files of about ``file_bytes``."""
-        commit = self._commit(None)
+        commit = self.latest_commit()
+        if commit is None:
+            raise NoManifest(self.path)
         files = max(1, commit.files * ROW_BYTES // file_bytes)
         ordered = (
-            self.manifest()
+            self.read(commit)
             .repartitionByRange(files, "relative_path")
             .sortWithinPartitions("relative_path")
         )

@@ -6,11 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.compare import compare
+from ..operators.comparison import compare
 from ..operators.quality import self_check
-from ..operators.refresh import any_change, apply_plan, plan_refresh, to_hash
-from ..operators.roots import merged_roots, unexpected_roots
-from ..schemas import ERRORS, MANIFEST, ROOTS
+from ..operators.planning import any_change, apply_plan, plan_refresh, to_hash
+from ..schemas import ERRORS, MANIFEST
 from ..sources.scratch import fresh_folder, materialise
 from ..sources.tree import list_errors, scan_tree, still_present
 from .hashing import BATCH_BYTES, hash_due_files
@@ -37,9 +36,7 @@ class Refreshed:
 
 def build(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
     """Make the first manifest of ``root``; refuses when one exists.  Options as in ``refresh``."""
-    if Store(spark, store).latest_commit() is not None:
-        raise ManifestExists(store)
-    return _run(spark, root, store, **options)
+    return _run(Store(spark, store), root, must_exist=False, **options)
 
 
 def refresh(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
@@ -50,9 +47,7 @@ def refresh(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
     root than the saved one; mode: "incremental" or "full"; dry_run: plan only;
     batch_bytes: how much to hash between commits of the staging table.
     """
-    if Store(spark, store).latest_commit() is None:
-        raise NoManifest(store)
-    return _run(spark, root, store, **options)
+    return _run(Store(spark, store), root, must_exist=True, **options)
 
 
 def checked(manifest: DataFrame) -> DataFrame:
@@ -64,10 +59,10 @@ def checked(manifest: DataFrame) -> DataFrame:
 
 
 def _run(
-    spark: SparkSession,
+    home: Store,
     root: str,
-    store: str,
     *,
+    must_exist: bool,
     ignore: Sequence[str] = (),
     include: Sequence[str] = (),
     maxdepth: int | None = None,
@@ -77,13 +72,17 @@ def _run(
     dry_run: bool = False,
     batch_bytes: int = BATCH_BYTES,
 ) -> Refreshed:
-    home = Store(spark, store)
     last = home.latest_commit()
-    saved = checked(home.manifest()) if last else spark.createDataFrame([], MANIFEST)
-    given = spark.createDataFrame([(os.path.abspath(root),)], ROOTS)
-    foreign = [r.prefix for r in unexpected_roots(home.roots(), given).collect()]
+    if must_exist and last is None:
+        raise NoManifest(home.path)
+    if not must_exist and last is not None:
+        raise ManifestExists(home.path)
+    spark = home.spark
+    saved = checked(home.read(last)) if last else spark.createDataFrame([], MANIFEST)
+    given = os.path.abspath(root)
+    foreign = [prefix for prefix in last.roots if prefix != given] if last else []
     if foreign and not allow_root_change:
-        raise RootMismatch(f"saved {foreign}, given {root}")
+        raise RootMismatch(f"saved {foreign}, given {given}")
 
     listing = scan_tree(spark, root)
     unmet = saved.select("relative_path").join(listing, "relative_path", "left_anti")
@@ -103,10 +102,7 @@ def _run(
     staging = home.staging(snapshot_id, mode)
     hashed, failed = hash_due_files(to_hash(plan), root, staging, batch_bytes)
     failed = materialise(failed, fresh_folder(spark))
-    roots = merged_roots(home.roots(), given, replace=allow_root_change)
-    manifest = home.write(
-        apply_plan(plan, hashed), snapshot_id, [r.prefix for r in roots.collect()]
-    )
+    manifest = home.write(apply_plan(plan, hashed), snapshot_id, [given])
     home.drop_staging()
     hash_errors = failed.select("relative_path", F.lit("hash").alias("stage"), "error")
     errors = list_errors(listing).unionByName(hash_errors.select(*ERRORS.fieldNames()))

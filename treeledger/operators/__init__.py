@@ -1,11 +1,11 @@
 """DataFrame to DataFrame operators."""
 
 from .chunks import text_chunks, tree_digest
-from .compare import compare, mismatched, only_in, report, status_counts, verdict
-from .history import history
+from .comparison import compare, mismatched, only_in, report, status_counts, verdict
+from .timeline import history
 from .quality import self_check, violations
-from .reconcile import reconcile, reconcile_multiset
-from .refresh import (
+from .reconciliation import reconcile, reconcile_multiset
+from .planning import (
     action_counts,
     any_change,
     apply_plan,

@@ -17,7 +17,9 @@ def _div(a, b) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
-def text_chunks(df: DataFrame, key_cols: Sequence[str], content: Column, chunk_bytes: int, bits: int = 512):
+def text_chunks(
+    df: DataFrame, key_cols: Sequence[str], content: Column, chunk_bytes: int, bits: int = 512
+) -> DataFrame:
     """Chunk digests of a string or binary column: key, chunk_no, digest, chunks."""
     data = content.cast("binary")
     chunks = F.greatest(_div(F.octet_length(data).cast("bigint") + chunk_bytes - 1, chunk_bytes), F.lit(1))
@@ -33,35 +35,39 @@ def text_chunks(df: DataFrame, key_cols: Sequence[str], content: Column, chunk_b
     return rows.select(*key_cols, "chunk_no", F.unhex(F.sha2(part, bits)).alias("digest"), "chunks")
 
 
-def tree_digest(chunks: DataFrame, key_cols: Sequence[str], max_chunks: int, bits: int = 512, fan_out: int = FAN_OUT):
+def tree_digest(
+    chunks: DataFrame,
+    key_cols: Sequence[str],
+    max_chunks: int,
+    bits: int = 512,
+    fan_out: int = FAN_OUT,
+) -> DataFrame:
     """One digest per key from rows of key, chunk_no, digest and chunks (how many there are).
 
     NULL where chunks are missing.  ``max_chunks`` bounds the chunks of any key.
     """
     keys = list(key_cols)
     nodes = chunks.select(
-        *keys, F.col("chunk_no").alias("_no"), "digest", F.col("chunks").alias("_of"), F.lit(False).alias("_root")
+        *keys,
+        F.col("chunk_no").alias("_no"),
+        "digest",
+        F.col("chunks").alias("_of"),
+        F.lit(False).alias("_root"),
     )
     levels, left = 1, -(-max_chunks // fan_out)
     while left > 1:
         levels, left = levels + 1, -(-left // fan_out)
     for _ in range(levels):
-        group = _div(F.col("_no"), fan_out)
-        grouped = nodes.groupBy(*keys, group.alias("_no"), "_of", "_root").agg(
-            F.sort_array(F.collect_list(F.struct("_no", "digest"))).alias("_parts")
+        runs = nodes.groupBy(*keys, _div(F.col("_no"), fan_out).alias("_no"), "_of", "_root").agg(
+            F.count("digest").alias("_known"),
+            F.sort_array(F.collect_list(F.struct("_no", F.hex("digest").alias("hex")))).alias("_parts"),
         )
+        joined = F.unhex(F.array_join("_parts.hex", ""))
         expected = F.least(F.lit(fan_out).cast("bigint"), F.col("_of") - F.col("_no") * fan_out)
-        # A NULL digest makes the concatenation NULL, so a gap is never digested over.
-        joined = F.aggregate(
-            F.col("_parts"),
-            F.lit(b"").cast("binary"),
-            lambda done, part: F.concat(done, part["digest"]),
+        digest = F.when(F.col("_root"), joined).when(
+            F.col("_known") == expected, F.unhex(F.sha2(joined, bits))
         )
-        whole = F.size("_parts") == expected
-        digest = F.when(F.col("_root"), F.col("_parts")[0]["digest"]).when(
-            whole, F.unhex(F.sha2(joined, bits))
-        )
-        nodes = grouped.select(
+        nodes = runs.select(
             *keys,
             "_no",
             digest.alias("digest"),

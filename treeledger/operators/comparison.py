@@ -26,7 +26,10 @@ def mismatched(
     keys = list(key_cols)
     a = left.select(*keys, F.col(digest_col).alias("_left"))
     b = right.select(*keys, F.col(digest_col).alias("_right"))
-    return a.join(b, keys).where(F.col("_left") != F.col("_right")).select(*keys)
+    # coalesce keeps the optimizer from testing both digests for NULL below the
+    # join, which would compute a derived digest twice.
+    differ = F.coalesce(F.col("_left") != F.col("_right"), F.lit(False))
+    return a.join(b, keys).where(differ).select(*keys)
 
 
 def compare(

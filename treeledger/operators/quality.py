@@ -20,8 +20,10 @@ def _row_faults() -> dict:
 
 def violations(manifest: DataFrame) -> DataFrame:
     """One row per fault: relative_path and what is wrong with it."""
-    faults = F.array_compact(F.array(*[F.when(bad, name) for name, bad in _row_faults().items()]))
-    per_row = manifest.select("relative_path", F.explode(faults).alias("fault"))
+    faults = F.array(*[F.when(bad, name) for name, bad in _row_faults().items()])
+    per_row = manifest.select("relative_path", F.explode(faults).alias("fault")).where(
+        F.col("fault").isNotNull()
+    )
     repeated = (
         manifest.where(F.col("relative_path").isNotNull())
         .groupBy("relative_path")

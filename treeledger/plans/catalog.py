@@ -54,7 +54,6 @@ INCLUDE = ["/en/"]
 SHALLOW, DEEP = 2, 3
 CHUNK = 1024  # bytes; small so that documents have several chunks
 MAX_TEXT_CHUNKS = 2**31 // CHUNK  # a Spark string is at most 2 GiB
-FAN_OUT = 16
 
 
 def _documents(spark, folder):
@@ -132,7 +131,7 @@ def chunk_digests(spark, folder):
 
 def chunk_tree_digest(spark, folder):
     chunks = text_chunks(_documents(spark, folder), ["doc_id"], F.col("text"), CHUNK, bits=256)
-    roots = tree_digest(chunks, ["doc_id"], MAX_TEXT_CHUNKS, bits=256, fan_out=FAN_OUT)
+    roots = tree_digest(chunks, ["doc_id"], MAX_TEXT_CHUNKS, bits=256)
     return roots.select("doc_id", F.hex("tree_digest").alias("tree_sha256"))
 
 
@@ -360,7 +359,7 @@ def _table_files(spark, folder):
 def tree_sha512(spark, folder):
     files = _table_files(spark, folder)
     total = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
-    hashed = hash_files(files, folder, task_count(total.n, total.b or 0))
+    hashed = hash_files(files, folder, task_count(total.n, total.b or 0, spark.sparkContext.defaultParallelism))
     return hashed.select("relative_path", "size", F.hex("sha512").alias("sha512"), "error")
 
 

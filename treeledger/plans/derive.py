@@ -42,8 +42,8 @@ def copy_a(documents: DataFrame) -> DataFrame:
 
 def copy_b(documents: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
-    copies = F.array_compact(F.array(F.when(doc % 11 != 3, "kept"), F.when(doc % 13 == 5, "new")))
-    rows = documents.withColumn("copy", F.explode(copies))
+    copies = F.array(F.when(doc % 11 != 3, "kept"), F.when(doc % 13 == 5, "new"))
+    rows = documents.withColumn("copy", F.explode(copies)).where(F.col("copy").isNotNull())
     new = F.col("copy") == "new"
     path = F.when(new, F.concat(F.lit("new/"), document_path())).otherwise(document_path())
     base = F.lit(EPOCH_NS) + doc * 1_000_003
@@ -95,7 +95,7 @@ def url_path():
 
 def drifted_orders(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
-    copies = F.array_compact(F.array(F.when(key % 17 != 4, key), F.when(key % 23 == 6, -key - 1)))
+    copies = F.array(F.when(key % 17 != 4, key), F.when(key % 23 == 6, -key - 1))
     price = F.when(key % 13 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     status = F.when(key % 29 == 8, F.lit(None)).otherwise(F.col("o_orderstatus"))
     return orders.select(
@@ -103,7 +103,7 @@ def drifted_orders(orders: DataFrame) -> DataFrame:
         status.alias("o_orderstatus"),
         price.alias("o_totalprice"),
         "o_orderdate",
-    )
+    ).where(F.col("o_orderkey").isNotNull())
 
 
 def drifted_lineitem(lineitem: DataFrame) -> DataFrame:

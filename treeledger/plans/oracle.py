@@ -168,11 +168,11 @@ _LEVELS = """
 level0 AS (SELECT doc_id, chunk_no AS n, hex, chunks AS width, false AS root FROM chunks),""" + ",".join(
     f"""
 level{i + 1} AS (
-  SELECT doc_id, n // 16 AS n,
+  SELECT doc_id, n // 1024 AS n,
          CASE WHEN root THEN min(hex) ELSE sha256(unhex(string_agg(hex, '' ORDER BY n))) END AS hex,
-         (width + 15) // 16 AS width, root OR width <= 16 AS root
-  FROM level{i} GROUP BY doc_id, n // 16, width, root)"""
-    for i in range(6)
+         (width + 1023) // 1024 AS width, root OR width <= 1024 AS root
+  FROM level{i} GROUP BY doc_id, n // 1024, width, root)"""
+    for i in range(3)
 )
 
 _FAULTY = f"""{_A}, {_B},
@@ -258,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
             FROM a JOIN b ON a.relative_path = b.relative_path AND a.source = b.source AND a.digest <> b.digest""",
         "digest_documents": "SELECT doc_id, upper(sha256(text)) AS sha256 FROM documents",
         "chunk_digests": f"WITH {_CHUNKS} SELECT doc_id, chunk_no, upper(hex) AS chunk_sha256, chunks FROM chunks",
-        "chunk_tree_digest": f"WITH {_CHUNKS}, {_LEVELS} SELECT doc_id, upper(hex) AS tree_sha256 FROM level6",
+        "chunk_tree_digest": f"WITH {_CHUNKS}, {_LEVELS} SELECT doc_id, upper(hex) AS tree_sha256 FROM level3",
         "filter_ignore": f"WITH {_A} SELECT relative_path FROM a WHERE NOT regexp_matches(relative_path, '^src1/')",
         "filter_include_over_ignore": f"""WITH {_A} SELECT relative_path FROM a
             WHERE regexp_matches(relative_path, '/en/') OR NOT regexp_matches(relative_path, '^src1/')""",

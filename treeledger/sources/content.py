@@ -13,12 +13,11 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tree import in_batches, resolved_root
+from .tree import MAX_TASKS, in_batches, mounted_root, root_identity
 
 BLOCK = 1024 * 1024
 BYTES_PER_TASK = 128 * 1024 * 1024
 FILES_PER_TASK = 20_000
-MAX_TASKS = 20_000
 CHUNK_BYTES = 64 * 1024 * 1024
 
 FILE_KEY = ("relative_path", "size", "mtime_ns", "ctime_ns")
@@ -41,15 +40,15 @@ def read_digest(path: bytes, offset: int = 0, length: int | None = None) -> tupl
     return state.digest(), done
 
 
-def task_count(files: int, total_bytes: int) -> int:
-    """Hashing tasks for an amount of work: even in bytes, and not too many small files each."""
+def task_count(files: int, total_bytes: int, cores: int) -> int:
+    """Hashing tasks: even in bytes, not too many small files each, and no idle cores."""
     by_bytes, by_files = total_bytes // BYTES_PER_TASK, files // FILES_PER_TASK
-    return max(1, min(max(by_bytes, by_files) + 1, MAX_TASKS))
+    return min(max(by_bytes, by_files, min(files // 50, cores)) + 1, MAX_TASKS)
 
 
 def _hash_rows(rows: DataFrame, root: str, key: tuple, tasks: int, part: bool) -> DataFrame:
     """Hash one file or chunk per row, spread over ``tasks`` by the whole key."""
-    root_bytes = os.fsencode(resolved_root(root))
+    root_bytes, inode = root_identity(root)
     types = {"relative_path": pa.binary()}
     schema = pa.schema(
         [(c, types.get(c, pa.int64())) for c in key]
@@ -70,6 +69,7 @@ def _hash_rows(rows: DataFrame, root: str, key: tuple, tasks: int, part: bool) -
             return (*row, None, f"{type(e).__name__}: {e.strerror}")
 
     def run(batches):
+        mounted_root(root_bytes, inode)
         for batch in batches:
             rows = zip(*(column.to_pylist() for column in batch.columns))
             yield from in_batches(map(hashed, rows), schema)

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,7 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/treeledger-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, folder: str) -> DataFrame:
+def materialise(df: DataFrame, folder: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a table and read it back: lost executors cost a reread, not a rerun."""
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

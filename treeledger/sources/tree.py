@@ -26,6 +26,7 @@ from .scratch import fresh_folder, materialise
 BATCH_ROWS = 10_000
 NAMES_PER_DIRECTORY_TASK = 20_000
 PATHS_PER_STAT_TASK = 50_000
+MAX_TASKS = 20_000
 
 _FOUND = pa.schema(
     [
@@ -79,6 +80,19 @@ def is_gone(error: OSError) -> bool:
     return error.errno in (errno.ENOENT, errno.ENOTDIR, errno.ELOOP)
 
 
+def mounted_root(root: bytes, inode: int) -> int:
+    """The device of the root as this executor sees it.
+
+    Raises where the root is not the directory that the driver saw: an executor
+    without the mount must fail its task and not report files as gone.  Device
+    numbers differ between machines, inode numbers of a shared mount do not.
+    """
+    found = os.lstat(root)
+    if found.st_ino != inode:
+        raise OSError(f"{os.fsdecode(root)} is not the mounted root on this machine")
+    return found.st_dev
+
+
 def _directory(root: bytes, path: bytes, device: int, budget: int) -> Iterator[tuple]:
     """Names below one directory, until ``budget`` of them have been seen."""
     open_dirs, seen = [path], 0
@@ -152,9 +166,10 @@ def _details(root: bytes, path: bytes, opaque: bool, error: str | None) -> tuple
 
 def resolved_root(root: str) -> str:
     """The absolute path of a directory to scan; raises when it is not one."""
-    if "://" in root:
-        raise ValueError("the root must be a mounted path, not a URI")
-    full = os.path.realpath(root)
+    path = root.removeprefix("file://") if root.startswith("file:///") else root
+    if "://" in path:
+        raise ValueError(f"the root must be a mounted path: {root}")
+    full = os.path.realpath(path)
     if not os.path.exists(full):
         raise FileNotFoundError(f"no such root: {root}")
     if not os.path.isdir(full):
@@ -162,24 +177,30 @@ def resolved_root(root: str) -> str:
     return full
 
 
+def root_identity(root: str) -> tuple[bytes, int]:
+    full = os.fsencode(resolved_root(root))
+    return full, os.lstat(full).st_ino
+
+
 def scan_tree(spark: SparkSession, root: str, budget: int = NAMES_PER_DIRECTORY_TASK) -> DataFrame:
     """The listing of ``root`` (schema ``LISTING``), written once to the shared folder.
 
     Dot files, empty files and directories are included; the root itself is not.
     """
-    root_bytes = os.fsencode(resolved_root(root))
-    device = os.lstat(root_bytes).st_dev
+    root_bytes, inode = root_identity(root)
     folder = fresh_folder(spark)
     cores = spark.sparkContext.defaultParallelism
 
     def walk(batches):
+        device = mounted_root(root_bytes, inode)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 yield from in_batches(_directory(root_bytes, path, device, budget), _FOUND)
 
     def describe(batches):
+        mounted_root(root_bytes, inode)
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            rows = zip(*(column.to_pylist() for column in batch.columns))
             found = (_details(root_bytes, *row) for row in rows)
             yield from in_batches((row for row in found if row is not None), _DETAIL)
 
@@ -196,7 +217,8 @@ def scan_tree(spark: SparkSession, root: str, budget: int = NAMES_PER_DIRECTORY_
 
     found = spark.read.parquet(*[f"{folder}/round={i}" for i in range(len(rounds))])
     entries = found.where(~F.col("pending")).select("path", "opaque", "error")
-    tasks = max(1, min(entries.count() // PATHS_PER_STAT_TASK + 1, 100 * cores))
+    names = entries.count()
+    tasks = min(max(names // PATHS_PER_STAT_TASK, min(names // 500, cores)) + 1, MAX_TASKS)
     details = entries.repartition(tasks, "path").mapInArrow(describe, _DETAIL_DDL)
     name = F.col("path").cast("string")
     listing = details.select(
@@ -221,9 +243,10 @@ def still_present(paths: DataFrame, root: str) -> DataFrame:
     other file systems entered, and a path counts as present unless the file
     system says it is not there, so an unreadable directory never looks empty.
     """
-    root_bytes = os.fsencode(resolved_root(root))
+    root_bytes, inode = root_identity(root)
 
     def probe(batches):
+        mounted_root(root_bytes, inode)
         for batch in batches:
             rows = []
             for path in batch.column(0).to_pylist():
