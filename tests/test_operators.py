@@ -295,6 +295,16 @@ def test_reconcile_multiset_matches_brute_force(spark):
     assert got == expected
 
 
+def test_reconcile_by_fixed_width_values(spark):
+    rows = "(1, 0.0, DATE'2020-01-01', true), (2, CAST('NaN' AS DOUBLE), NULL, NULL), (3, 1.0, NULL, true)"
+    other = "(1, -0.0, DATE'2020-01-01', true), (2, CAST('NaN' AS DOUBLE), NULL, NULL), (3, 1.0, NULL, NULL)"
+    left, right = (spark.sql(f"SELECT * FROM VALUES {r} AS t(k, d, t, b)").selectExpr("int(k) k", "d", "t", "b") for r in (rows, other))
+    expected = {1: "match", 2: "match", 3: "mismatch"}
+    assert {r.k: r.status for r in reconcile(left, right, ["k"], ["d", "t", "b"]).collect()} == expected
+    texts = [df.withColumn("s", F.lit("x")) for df in (left, right)]  # the same through digests
+    assert {r.k: r.status for r in reconcile(*texts, ["k"], ["d", "t", "b", "s"]).collect()} == expected
+
+
 def test_self_check_names_every_fault(spark):
     good = {"fine": (5, 1, 1, sha("x"), None), "half": (5, 1, 1, None, 3), "empty": (0, 1, 1, sha(""), None)}
     ok = self_check(manifest(spark, good)).first()

@@ -11,23 +11,26 @@ def digest(content, bits: int = 512) -> Column:
 
 
 def _as_text(field: T.StructField) -> Column:
+    """The value as text that cannot run into the next one."""
     column = F.col(f"`{field.name}`")
     kind = field.dataType
     if isinstance(kind, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(column)), {"ignoreNullFields": "false"})
-    if isinstance(kind, (T.ArrayType, T.StructType)):
-        return F.to_json(column, {"ignoreNullFields": "false"})
-    if isinstance(kind, T.BinaryType):
+        text = F.to_json(F.array_sort(F.map_entries(column)), {"ignoreNullFields": "false"})
+    elif isinstance(kind, (T.ArrayType, T.StructType)):
+        text = F.to_json(column, {"ignoreNullFields": "false"})
+    elif isinstance(kind, T.StringType):
+        text = column
+    elif isinstance(kind, T.BinaryType):
         return F.hex(column)
-    return column.cast("string")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (column + F.lit(0.0).cast(kind)).cast("string")  # 0.0 and -0.0 are equal
+    else:  # numbers, times and booleans: their text holds no comma
+        return column.cast("string")
+    return F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
 
 
 def row_digest(df: DataFrame, value_cols: Sequence[str], bits: int = 512) -> Column:
-    """Digest of several columns: each value is length-prefixed and NULL is marked,
+    """Digest of several columns: free text is length-prefixed and NULL is marked,
     so that no two different rows share an encoding."""
-    fields = [df.schema[name] for name in value_cols]
-    parts = []
-    for text in map(_as_text, fields):
-        known = F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
-        parts.append(F.coalesce(known, F.lit("N")))
+    parts = [F.coalesce(_as_text(df.schema[name]), F.lit("N")) for name in value_cols]
     return digest(F.concat_ws(",", *parts), bits)

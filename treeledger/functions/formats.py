@@ -45,10 +45,14 @@ def format_bytes(size) -> Column:
 def format_duration(nanoseconds) -> Column:
     """``10y 9mon 1w 2d 3h 4min 5s 368ms 118μs 513ns``; ``0ns`` for 0, NULL below 0."""
     total = _col(nanoseconds).cast("bigint")
-    parts, rest = [], total
+    parts, rest, larger = [], total, []
     for unit, length in TIME_UNITS.items():
         parts.append(_shown(_div(rest, length), unit))
-        rest = rest % length
+        larger.append(length)
+        # Taking off every larger unit in turn is needed only where one of them
+        # is not a multiple of this one (a month is not a whole number of weeks).
+        nested = any(each % length for each in larger)
+        rest = (rest if nested else total) % length
     return F.when(total == 0, "0ns").when(total > 0, F.concat_ws(" ", *parts))
 
 

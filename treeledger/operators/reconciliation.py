@@ -7,21 +7,41 @@ group together like any other key.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import row_digest
 
 
-def _stacked(left, right, key_cols, value_cols) -> DataFrame:
+_FIXED_WIDTH = (
+    T.IntegralType,
+    T.FractionalType,
+    T.BooleanType,
+    T.DateType,
+    T.TimestampType,
+    T.TimestampNTZType,
+)
+_DIGEST_WORDS = 8  # a digest takes as much room as eight fixed-width values
+
+
+def _stacked(left, right, key_cols, value_cols) -> tuple[DataFrame, list[str]]:
+    """Both sides with their counts, and the columns that tell versions of a row apart:
+    the values themselves where they are no wider than a digest, else the digest."""
+
     def side(df, in_left):
         return df.select(
             *key_cols,
-            row_digest(df, value_cols).alias("_digest"),
+            *[F.col(name).alias(f"_v{i}") for i, name in enumerate(value_cols)],
             F.lit(in_left).cast("bigint").alias("_left"),
             F.lit(1 - in_left).cast("bigint").alias("_right"),
         )
 
-    return side(left, 1).unionByName(side(right, 0))
+    rows = side(left, 1).unionByName(side(right, 0))  # also brings types together
+    values = [f"_v{i}" for i in range(len(value_cols))]
+    kinds = [rows.schema[name].dataType for name in values]
+    if len(values) <= _DIGEST_WORDS and all(isinstance(k, _FIXED_WIDTH) for k in kinds):
+        return rows, values
+    digested = rows.select(*key_cols, row_digest(rows, values).alias("_digest"), "_left", "_right")
+    return digested, ["_digest"]
 
 
 def reconcile(
@@ -32,9 +52,9 @@ def reconcile(
     Keys must be unique on each side; the job fails on the first that is not.
     """
     keys = list(key_cols)
-    rows = _stacked(left, right, keys, value_cols)
+    rows, version = _stacked(left, right, keys, value_cols)
     # Partitioned by key first: the two groupings below then need no other shuffle.
-    versions = rows.repartition(*keys).groupBy(*keys, "_digest").agg(
+    versions = rows.repartition(*keys).groupBy(*keys, *version).agg(
         F.sum("_left").alias("_left"), F.sum("_right").alias("_right")
     )
     per_key = versions.groupBy(*keys).agg(
@@ -62,12 +82,13 @@ def reconcile_multiset(
     """One row per distinct row: its copies on each side and the status
     only_left, only_right, count_differs or match.
 
-    Grouping is by key and digest together, so a key holding very many
+    Grouping is by key and content together, so a key holding very many
     different rows is spread over all tasks, and equal copies are counted
     before the shuffle.
     """
     keys = list(key_cols)
-    per_row = _stacked(left, right, keys, value_cols).groupBy(*keys, "_digest").agg(
+    rows, version = _stacked(left, right, keys, value_cols)
+    per_row = rows.groupBy(*keys, *version).agg(
         F.sum("_left").alias("left_rows"), F.sum("_right").alias("right_rows")
     )
     status = (
@@ -76,6 +97,4 @@ def reconcile_multiset(
         .when(F.col("left_rows") != F.col("right_rows"), "count_differs")
         .otherwise("match")
     )
-    return per_row.select(
-        *keys, F.col("_digest").alias("digest"), "left_rows", "right_rows", status.alias("status")
-    )
+    return per_row.select(*keys, "left_rows", "right_rows", status.alias("status"))

@@ -301,8 +301,7 @@ def reconcile_orders(spark, folder):
 def reconcile_lineitem(spark, folder):
     lineitem = table(spark, folder, "lineitem")
     keys, values = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_tax"]
-    rows = reconcile_multiset(lineitem, derive.drifted_lineitem(lineitem), keys, values)
-    return rows.drop("digest")
+    return reconcile_multiset(lineitem, derive.drifted_lineitem(lineitem), keys, values)
 
 
 # Manifest quality and history
