@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -25,6 +26,26 @@ def test_query_without_sql_has_rows(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_sha512_of_pages(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
+    got = {r.page_id: r.sha512 for r in entry.queries()["digest_pages_sha512"](spark, FOLDER).collect()}
+    assert got == {i: hashlib.sha512(t.encode()).hexdigest().upper() for i, t in pages.items()}
+
+
+def test_sha512_of_the_table_files(spark):
+    got = {r.relative_path: (r["size"], r.sha512) for r in entry.queries()["tree_sha512"](spark, FOLDER).collect()}
+    chunked = {r.relative_path: r.tree_sha512 for r in entry.queries()["tree_chunk_sha512"](spark, FOLDER).collect()}
+    listed = {r.relative_path: (r.kind, r["size"], r.depth) for r in entry.queries()["tree_listing"](spark, FOLDER).collect()}
+    assert set(got) == set(chunked) == set(listed) == set(os.listdir(FOLDER))
+    for name, (size, digest) in got.items():
+        with open(f"{FOLDER}/{name}", "rb") as f:
+            data = f.read()
+        assert (size, digest) == (len(data), hashlib.sha512(data).hexdigest().upper())
+        assert listed[name] == ("file", size, 0)
+        parts = [hashlib.sha512(data[i : i + (1 << 20)]).digest() for i in range(0, len(data), 1 << 20)]
+        assert chunked[name] == hashlib.sha512(b"".join(parts)).hexdigest().upper()
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(entry.queries())
 

@@ -175,8 +175,7 @@ def test_digests_at_block_edges(spark, sized_tree):
 
 
 def test_an_unreadable_file_is_an_error(spark, tmp_path):
-    root, store = make_tree(tmp_path / "t", {"a": b"a", "b": b"b"}), str(tmp_path / "s")
-    build(spark, root, store)
+    root = make_tree(tmp_path / "t", {"a": b"a", "b": b"b"})
     missing = files_of(spark, root).withColumn("relative_path", F.concat("relative_path", F.lit("x")))
     rows = hash_files(missing, root, 1).collect()
     assert all(r.sha512 is None and "FileNotFoundError" in r.error for r in rows)
@@ -219,7 +218,7 @@ def test_an_interrupted_run_goes_on_where_it_stopped(spark, tmp_path):
     args = (due, staging, content.FILE_KEY, "sha512", "size")
     with pytest.raises(KeyboardInterrupt):
         hashing._hash_in_batches(*args, failing, 500)
-    finished = sum(calls[:2])
+    finished = spark.read.parquet(staging).count()
     assert 0 < finished < 20
     again = []
 

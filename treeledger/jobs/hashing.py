@@ -5,8 +5,11 @@ is staged for the same path, size and times; a file that changed in between no
 longer matches its staged row and is hashed again.
 """
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,12 +30,13 @@ BATCH_BYTES = 1 << 40
 
 def _staged(due: DataFrame, folder: str, key: tuple, digest: str) -> DataFrame:
     """Rows of the staging table that still describe a due file or chunk."""
+    schema = due.select(*key, F.lit(None).cast("binary").alias(digest), F.lit("").alias("error")).schema
     try:
-        staged = due.sparkSession.read.parquet(folder)
+        staged = due.sparkSession.read.schema(schema).parquet(folder).drop("batch")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return due.select(*key, F.lit(None).cast("binary").alias(digest), F.lit("").alias("error")).limit(0)
+        return due.sparkSession.createDataFrame([], schema)
     return staged.join(due.select(*key), list(key), "left_semi")
 
 
@@ -40,9 +44,10 @@ def _hash_in_batches(
     due: DataFrame, folder: str, key: tuple, digest: str, weight: str, hash_rows: Callable, batch_bytes: int
 ) -> tuple[DataFrame, DataFrame]:
     """Hash the due rows that are not staged yet; returns (done, failed)."""
+    spark = due.sparkSession
     total = due.agg(F.count(F.lit(1)).alias("rows"), F.sum(weight).alias("bytes")).first()
     batches = (total.bytes or 0) // batch_bytes + 1
-    cores = due.sparkSession.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
     tasks = task_count(total.rows // batches, (total.bytes or 0) // batches, cores)
     known = _staged(due, folder, key, digest).where(F.col(digest).isNotNull())
     hashed_key = F.xxhash64(*key)
@@ -51,10 +56,15 @@ def _hash_in_batches(
     )
     if batches > 1:  # one folder per batch, so that each batch reads only its rows
         todo = todo.repartition("batch", F.pmod(F.shiftright(hashed_key, 32), F.lit(8)))
-    todo = materialise(todo, fresh_folder(due.sparkSession), ["batch"])
-    for number in range(batches):
+        todo = materialise(todo, fresh_folder(spark), ["batch"])
+
+    def run(number: int) -> None:
         part = todo.where(F.col("batch") == number).drop("batch")
-        hash_rows(part, tasks).write.mode("append").parquet(folder)
+        hash_rows(part, tasks).write.parquet(f"{folder}/batch={uuid.uuid4().hex}")
+
+    # Two batches at a time: while one waits for its largest file, the other goes on.
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run), range(batches)))
     staged = _staged(due, folder, key, digest)
     done = staged.where(F.col(digest).isNotNull())
     failed = (

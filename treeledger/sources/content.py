@@ -24,15 +24,20 @@ FILE_KEY = ("relative_path", "size", "mtime_ns", "ctime_ns")
 CHUNK_KEY = (*FILE_KEY, "chunk_no", "chunk_off", "chunk_len")
 
 
-def read_digest(path: bytes, offset: int = 0, length: int | None = None) -> tuple[bytes, int]:
-    """SHA-512 of a file or of a part of it, and how many bytes were read."""
+def read_digest(
+    path: bytes, block: memoryview, offset: int = 0, length: int | None = None
+) -> tuple[bytes, int]:
+    """SHA-512 of a file or of a part of it, and how many bytes were read.
+
+    ``block`` is the buffer to read into, one for all files of a task.
+    """
     state, done = hashlib.sha512(), 0
-    block = memoryview(bytearray(BLOCK if length is None else min(BLOCK, max(length, 1))))
     with open(path, "rb", buffering=0) as f:
-        f.seek(offset)
+        if offset:
+            f.seek(offset)
         while length is None or done < length:
-            want = len(block) if length is None else min(len(block), length - done)
-            got = f.readinto(block[:want])
+            want = block if length is None else block[: length - done]
+            got = f.readinto(want)
             if not got:
                 break
             state.update(block[:got])
@@ -56,12 +61,12 @@ def _hash_rows(rows: DataFrame, root: str, key: tuple, tasks: int, part: bool) -
     )
     ddl = ", ".join(f"{c} {'binary' if c in types else 'bigint'}" for c in key)
 
-    def hashed(row):
+    def hashed(row, block):
         path = os.path.join(root_bytes, row[0])
         try:
             if not part:
-                return (*row, read_digest(path)[0], None)
-            digest, done = read_digest(path, row[-2], row[-1])
+                return (*row, read_digest(path, block)[0], None)
+            digest, done = read_digest(path, block, row[-2], row[-1])
             if done == row[-1]:
                 return (*row, digest, None)
             return (*row, None, f"read {done} of {row[-1]} bytes")
@@ -70,9 +75,10 @@ def _hash_rows(rows: DataFrame, root: str, key: tuple, tasks: int, part: bool) -
 
     def run(batches):
         mounted_root(root_bytes, inode)
+        block = memoryview(bytearray(BLOCK))
         for batch in batches:
             rows = zip(*(column.to_pylist() for column in batch.columns))
-            yield from in_batches(map(hashed, rows), schema)
+            yield from in_batches((hashed(row, block) for row in rows), schema)
 
     binary = rows.select(F.col(key[0]).cast("binary").alias(key[0]), *key[1:])
     out = binary.repartition(tasks, *key).mapInArrow(run, ddl + ", digest binary, error string")
