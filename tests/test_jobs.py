@@ -224,3 +224,25 @@ def test_compact_and_expire(spark, diff1, tmp_path):
     with pytest.raises(NoManifest):
         home.manifest(1)
     assert os.listdir(f"{store}/snapshots") == ["snapshot_id=2"]
+
+
+def test_manifests_of_chunk_digests(spark, diff1, tmp_path):
+    a, b, plain = (str(tmp_path / name) for name in ("a", "b", "plain"))
+    diff2 = make_tree(tmp_path / "diff2", DIFF2)
+    with pytest.raises(ValueError):
+        build(spark, diff1, a, digest="md5")
+    first = build(spark, diff1, a, digest="tree_sha512")
+    saved = {r.relative_path: bytes(r.tree_sha512) for r in first.manifest.collect()}
+    assert saved == {p: hashlib.sha512(hashlib.sha512(c).digest()).digest() for p, c in DIFF1.items()}
+    build(spark, diff2, b, digest="tree_sha512")
+    counts = {r.status: r.files for r in status_counts(compare_stores(spark, a, b)).collect()}
+    assert counts == {"match": 6, "mismatch": 5, "only_left": 1, "only_right": 1}
+    build(spark, diff1, plain)
+    with pytest.raises(ValueError):
+        compare_stores(spark, a, plain)
+    with open(f"{diff1}/1/AAA/BCB/CCC/a.txt", "ab") as f:
+        f.write(SPACE)
+    again = refresh(spark, diff1, a)
+    assert again.snapshot_id == 2 and again.manifest.columns == first.manifest.columns
+    changed = {r.relative_path: bytes(r.tree_sha512) for r in again.manifest.collect()}
+    assert {p for p in saved if saved[p] != changed[p]} == {"1/AAA/BCB/CCC/a.txt"}

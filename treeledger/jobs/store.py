@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import COMMITS, EXPIRED, MANIFEST, ROOTS
+from ..schemas import COMMITS, EXPIRED, ROOTS, manifest_schema
 
 SNAPSHOT_FILE_BYTES = 256 * 1024 * 1024
 ROW_BYTES = 256  # a manifest row on disk, generously
@@ -72,7 +72,7 @@ class Store:
     def read(self, commit) -> DataFrame:
         """The snapshot of a commit row."""
         folder = self._folder(commit.snapshot_id, commit.attempt)
-        return self.spark.read.schema(MANIFEST).parquet(folder)
+        return self.spark.read.schema(manifest_schema(commit.digest)).parquet(folder)
 
     def manifest(self, snapshot_id: int | None = None) -> DataFrame:
         """A committed snapshot; the newest by default."""
@@ -89,14 +89,16 @@ class Store:
         prefixes = commit.roots if commit else []
         return self.spark.createDataFrame([(p,) for p in prefixes], ROOTS)
 
-    def write(self, manifest: DataFrame, snapshot_id: int, roots: Sequence[str]) -> DataFrame:
+    def write(
+        self, manifest: DataFrame, snapshot_id: int, roots: Sequence[str], digest: str = "sha512"
+    ) -> DataFrame:
         """Write a snapshot and commit it."""
         attempt = uuid.uuid4().hex
-        folder = self._folder(snapshot_id, attempt)
-        manifest.select(*MANIFEST.fieldNames()).write.parquet(folder)
-        written = self.spark.read.schema(MANIFEST).parquet(folder)
+        folder, schema = self._folder(snapshot_id, attempt), manifest_schema(digest)
+        manifest.select(*schema.fieldNames()).write.parquet(folder)
+        written = self.spark.read.schema(schema).parquet(folder)
         total = written.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
-        row = (snapshot_id, attempt, list(roots), total.n, total.b or 0)
+        row = (snapshot_id, attempt, list(roots), digest, total.n, total.b or 0)
         self._append("commits", [row], COMMITS)
         return written
 
@@ -111,7 +113,7 @@ class Store:
             .repartitionByRange(files, "relative_path")
             .sortWithinPartitions("relative_path")
         )
-        return self.write(ordered, commit.snapshot_id + 1, commit.roots)
+        return self.write(ordered, commit.snapshot_id + 1, commit.roots, commit.digest)
 
     def expire(self, keep: int = 1) -> list[int]:
         """Withdraw all but the newest ``keep`` snapshots and delete their files."""

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.comparison import compare
 from ..operators.quality import self_check
 from ..operators.planning import any_change, apply_plan, plan_refresh, to_hash
-from ..schemas import ERRORS, MANIFEST
+from ..schemas import DIGESTS, ERRORS, manifest_schema
 from ..sources.scratch import fresh_folder, materialise
 from ..sources.tree import list_errors, scan_tree, still_present
-from .hashing import BATCH_BYTES, hash_due_files
+from .hashing import BATCH_BYTES, hash_due_chunks, hash_due_files
 from .store import ManifestExists, NoManifest, Store
 
 
@@ -34,9 +34,20 @@ class Refreshed:
     manifest: DataFrame | None
 
 
-def build(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
-    """Make the first manifest of ``root``; refuses when one exists.  Options as in ``refresh``."""
-    return _run(Store(spark, store), root, must_exist=False, **options)
+def build(
+    spark: SparkSession, root: str, store: str, digest: str = "sha512", **options
+) -> Refreshed:
+    """Make the first manifest of ``root``; refuses when one exists.  Options as in ``refresh``.
+
+    ``digest="tree_sha512"`` hashes files in chunks, so that a file holding a
+    large part of all bytes is hashed by many tasks; refreshes then do the same.
+    """
+    if digest not in DIGESTS:
+        raise ValueError(f"digest must be one of {DIGESTS}")
+    home = Store(spark, store)
+    if home.latest_commit() is not None:
+        raise ManifestExists(store)
+    return _run(home, root, None, digest, **options)
 
 
 def refresh(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
@@ -47,12 +58,16 @@ def refresh(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
     root than the saved one; mode: "incremental" or "full"; dry_run: plan only;
     batch_bytes: how much to hash between commits of the staging table.
     """
-    return _run(Store(spark, store), root, must_exist=True, **options)
+    home = Store(spark, store)
+    last = home.latest_commit()
+    if last is None:
+        raise NoManifest(store)
+    return _run(home, root, last, last.digest, **options)
 
 
-def checked(manifest: DataFrame) -> DataFrame:
+def checked(manifest: DataFrame, digest: str) -> DataFrame:
     """The manifest itself, after its self-check."""
-    result = self_check(manifest).first()
+    result = self_check(manifest, digest).first()
     if not result.ok:
         raise CorruptManifest(str(result.asDict()))
     return manifest
@@ -61,8 +76,9 @@ def checked(manifest: DataFrame) -> DataFrame:
 def _run(
     home: Store,
     root: str,
+    last,
+    digest: str,
     *,
-    must_exist: bool,
     ignore: Sequence[str] = (),
     include: Sequence[str] = (),
     maxdepth: int | None = None,
@@ -72,13 +88,11 @@ def _run(
     dry_run: bool = False,
     batch_bytes: int = BATCH_BYTES,
 ) -> Refreshed:
-    last = home.latest_commit()
-    if must_exist and last is None:
-        raise NoManifest(home.path)
-    if not must_exist and last is not None:
-        raise ManifestExists(home.path)
     spark = home.spark
-    saved = checked(home.read(last)) if last else spark.createDataFrame([], MANIFEST)
+    if last:
+        saved = checked(home.read(last), digest)
+    else:
+        saved = spark.createDataFrame([], manifest_schema(digest))
     given = os.path.abspath(root)
     foreign = [prefix for prefix in last.roots if prefix != given] if last else []
     if foreign and not allow_root_change:
@@ -89,7 +103,7 @@ def _run(
     found = listing.unionByName(still_present(unmet, root)) if last else listing
     plan = plan_refresh(
         found, saved, ignore=ignore, include=include, maxdepth=maxdepth,
-        clean_ignored=clean_ignored, mode=mode,
+        clean_ignored=clean_ignored, mode=mode, digest_col=digest,
     )
     plan = materialise(plan, fresh_folder(spark))
     changed = any_change(plan).first().any_change
@@ -100,9 +114,12 @@ def _run(
 
     snapshot_id = last.snapshot_id + 1 if last else 1
     staging = home.staging(snapshot_id, mode)
-    hashed, failed = hash_due_files(to_hash(plan), root, staging, batch_bytes)
-    failed = materialise(failed, fresh_folder(spark))
-    manifest = home.write(apply_plan(plan, hashed), snapshot_id, [given])
+    hash_due = hash_due_files if digest == "sha512" else hash_due_chunks
+    hashed, failed = hash_due(to_hash(plan), root, staging, batch_bytes=batch_bytes)
+    per_file = failed.groupBy("relative_path").agg(F.max("error").alias("error"))
+    failed = materialise(per_file, fresh_folder(spark))
+    new = apply_plan(plan, hashed, digest_col=digest)
+    manifest = home.write(new, snapshot_id, [given], digest)
     home.drop_staging()
     hash_errors = failed.select("relative_path", F.lit("hash").alias("stage"), "error")
     errors = list_errors(listing).unionByName(hash_errors.select(*ERRORS.fieldNames()))
@@ -111,6 +128,13 @@ def _run(
 
 def compare_stores(spark: SparkSession, left: str, right: str) -> DataFrame:
     """Compare the newest manifests of two stores, each after its self-check."""
-    return compare(
-        checked(Store(spark, left).manifest()), checked(Store(spark, right).manifest())
-    )
+    homes = [Store(spark, path) for path in (left, right)]
+    commits = [home.latest_commit() for home in homes]
+    for home, commit in zip(homes, commits):
+        if commit is None:
+            raise NoManifest(home.path)
+    digest = commits[0].digest
+    if commits[1].digest != digest:
+        raise ValueError(f"digests cannot be compared: {digest} and {commits[1].digest}")
+    sides = [checked(home.read(commit), digest) for home, commit in zip(homes, commits)]
+    return compare(*sides, digest_col=digest)

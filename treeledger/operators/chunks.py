@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import digest
+
 FAN_OUT = 1024
 
 
@@ -20,19 +22,32 @@ def _div(a, b) -> Column:
 def text_chunks(
     df: DataFrame, key_cols: Sequence[str], content: Column, chunk_bytes: int, bits: int = 512
 ) -> DataFrame:
-    """Chunk digests of a string or binary column: key, chunk_no, digest, chunks."""
+    """Chunk digests of a string or binary column: key, chunk_no, digest, chunks.
+
+    The bytes are read as Latin-1, one character each, and cut by one pass of a
+    regular expression; taking substrings instead would copy the whole content
+    once per chunk.
+    """
     data = content.cast("binary")
-    chunks = F.greatest(_div(F.octet_length(data).cast("bigint") + chunk_bytes - 1, chunk_bytes), F.lit(1))
-    rows = df.select(
+    pieces = F.regexp_extract_all(
+        F.decode(data, "ISO-8859-1"), F.lit(f"(?s).{{1,{chunk_bytes}}}"), F.lit(0)
+    )
+    cut = df.select(
         *key_cols,
-        data.alias("_data"),
-        chunks.alias("chunks"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk_no"),
+        F.when(F.octet_length(data) == 0, F.array(F.lit(""))).otherwise(pieces).alias("_pieces"),
+        F.greatest(
+            _div(F.octet_length(content).cast("bigint") + chunk_bytes - 1, chunk_bytes), F.lit(1)
+        ).alias("chunks"),
     )
-    part = F.substring(
-        F.col("_data"), (F.col("chunk_no") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes)
+    # The outer form: for the plain one the optimizer would cut twice, first to
+    # drop rows without pieces.
+    rows = cut.select(*key_cols, "chunks", F.posexplode_outer("_pieces").alias("_no", "_piece"))
+    return rows.where(F.col("_no").isNotNull()).select(
+        *key_cols,
+        F.col("_no").cast("bigint").alias("chunk_no"),
+        digest(F.encode("_piece", "ISO-8859-1"), bits).alias("digest"),
+        "chunks",
     )
-    return rows.select(*key_cols, "chunk_no", F.unhex(F.sha2(part, bits)).alias("digest"), "chunks")
 
 
 def tree_digest(
@@ -64,13 +79,11 @@ def tree_digest(
         )
         joined = F.unhex(F.array_join("_parts.hex", ""))
         expected = F.least(F.lit(fan_out).cast("bigint"), F.col("_of") - F.col("_no") * fan_out)
-        digest = F.when(F.col("_root"), joined).when(
-            F.col("_known") == expected, F.unhex(F.sha2(joined, bits))
-        )
+        node = F.when(F.col("_root"), joined).when(F.col("_known") == expected, digest(joined, bits))
         nodes = runs.select(
             *keys,
             "_no",
-            digest.alias("digest"),
+            node.alias("digest"),
             _div(F.col("_of") + fan_out - 1, fan_out).alias("_of"),
             (F.col("_root") | (F.col("_of") <= fan_out)).alias("_root"),
         )

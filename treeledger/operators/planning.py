@@ -16,6 +16,7 @@ from ..functions import (
 from ..functions.changes import NOT_COMPARED
 from ..schemas import DELETE_ACTIONS, HASH_ACTIONS
 
+PATH_KEY = ("relative_path",)
 _METADATA = ("size", "mtime_ns", "ctime_ns")
 
 
@@ -28,6 +29,8 @@ def plan_refresh(
     maxdepth: int | None = None,
     clean_ignored: bool = False,
     mode: str = "incremental",
+    key_cols: Sequence[str] = PATH_KEY,
+    digest_col: str = "sha512",
 ) -> DataFrame:
     """One row per path that the manifest holds or the refresh looks at.
 
@@ -35,22 +38,24 @@ def plan_refresh(
     hashed, while a recorded path is deleted only when it is not in the listing
     at all (or is a symlink to nothing).  ``mode="full"`` hashes unchanged files
     again, which is the only way to see content that changed under the same
-    metadata.
+    metadata.  ``key_cols`` has more than relative_path where several roots share
+    a manifest.
     """
+    keys = list(key_cols)
     if mode not in ("incremental", "full"):
         raise ValueError("mode must be 'incremental' or 'full'")
     now = listing.select(
-        "relative_path",
+        *keys,
         F.lit(True).alias("_listed"),
         F.col("kind").alias("_kind"),
         F.col("target_exists").alias("_target_exists"),
         *[F.col(c).alias("now_" + c) for c in _METADATA],
     )
     was = manifest.select(
-        "relative_path",
+        *keys,
         F.lit(True).alias("_saved"),
         *[F.col(c).alias("was_" + c) for c in _METADATA],
-        F.col("sha512").alias("was_sha512"),
+        F.col(digest_col).alias("was_" + digest_col),
         F.col("bytes_hashed").alias("was_bytes_hashed"),
     )
     path = F.col("relative_path")
@@ -65,7 +70,7 @@ def plan_refresh(
     complete = F.col("was_bytes_hashed").isNull()
     unchanged = same & complete if mode == "incremental" else F.lit(False)
 
-    joined = now.join(was, "relative_path", "full_outer").withColumn("change_mask", mask)
+    joined = now.join(was, keys, "full_outer").withColumn("change_mask", mask)
     action = (
         F.when(saved & F.lit(clean_ignored) & ignored, "DELETE_IGNORED")
         .when(saved & ~exists, "DELETE_MISSING")
@@ -82,55 +87,60 @@ def plan_refresh(
         joined.withColumn("action", action)
         .where(F.col("action").isNotNull())
         .select(
-            "relative_path",
+            *keys,
             "action",
             "change_mask",
             change_label("change_mask").alias("change_label"),
             *["was_" + c for c in _METADATA],
-            "was_sha512",
+            "was_" + digest_col,
             "was_bytes_hashed",
             *["now_" + c for c in _METADATA],
         )
     )
 
 
-def to_hash(plan: DataFrame) -> DataFrame:
+def to_hash(plan: DataFrame, key_cols: Sequence[str] = PATH_KEY) -> DataFrame:
     """The planned paths whose content must be read, with their current metadata."""
     return plan.where(F.col("action").isin(*HASH_ACTIONS)).select(
-        "relative_path", *[F.col("now_" + c).alias(c) for c in _METADATA]
+        *key_cols, *[F.col("now_" + c).alias(c) for c in _METADATA]
     )
 
 
-def _saved_row(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "relative_path",
-        *[F.col("was_" + c).alias(c) for c in _METADATA],
-        F.col("was_sha512").alias("sha512"),
-        F.col("was_bytes_hashed").alias("bytes_hashed"),
-    )
-
-
-def apply_plan(plan: DataFrame, hashed: DataFrame) -> DataFrame:
+def apply_plan(
+    plan: DataFrame,
+    hashed: DataFrame,
+    key_cols: Sequence[str] = PATH_KEY,
+    digest_col: str = "sha512",
+) -> DataFrame:
     """The next manifest: rows carried over, plus rows hashed now, minus deletions.
 
-    ``hashed`` holds relative_path, size, mtime_ns, ctime_ns (all as taken
-    before reading) and sha512.  A path that should have been hashed and was not
+    ``hashed`` holds the key, size, mtime_ns, ctime_ns (all as taken before
+    reading) and the digest.  A path that should have been hashed and was not
     keeps its old row if it had one and gets none otherwise.
     """
+    keys = list(key_cols)
+    stored = (*_METADATA, digest_col, "bytes_hashed")
     compared = F.col("change_mask") != NOT_COMPARED  # so an ignored path has a saved row
-    carried = _saved_row(
-        plan.where((F.col("action") == "KEEP") | ((F.col("action") == "IGNORED") & compared))
-    )
+    carried = plan.where(
+        (F.col("action") == "KEEP") | ((F.col("action") == "IGNORED") & compared)
+    ).select(*keys, *[F.col("was_" + c).alias(c) for c in stored])
+
     due = plan.where(F.col("action").isin(*HASH_ACTIONS))
-    done = hashed.select("relative_path", *_METADATA, F.col("sha512").alias("_sha512"))
-    fresh = due.join(done, "relative_path", "left")
-    is_done = F.col("_sha512").isNotNull()
-    pick = {c: F.when(is_done, F.col(c)).otherwise(F.col("was_" + c)).alias(c) for c in _METADATA}
-    rehashed = fresh.where(is_done | (F.col("action") != "ADD")).select(
-        "relative_path",
-        *pick.values(),
-        F.when(is_done, F.col("_sha512")).otherwise(F.col("was_sha512")).alias("sha512"),
-        F.when(~is_done, F.col("was_bytes_hashed")).alias("bytes_hashed"),
+    done = hashed.select(
+        *keys,
+        *_METADATA,
+        F.col(digest_col),
+        F.lit(None).cast("bigint").alias("bytes_hashed"),
+        F.col(digest_col).isNotNull().alias("_done"),
+    )
+    is_done = F.coalesce("_done", F.lit(False))
+    rehashed = (
+        due.join(done, keys, "left")
+        .where(is_done | (F.col("action") != "ADD"))
+        .select(
+            *keys,
+            *[F.when(is_done, F.col(c)).otherwise(F.col("was_" + c)).alias(c) for c in stored],
+        )
     )
     return carried.unionByName(rehashed)
 

@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 DIGEST_BYTES = 64
 
 
-def _row_faults() -> dict:
-    path, digest = F.col("relative_path"), F.col("sha512")
+def _row_faults(digest_col: str) -> dict:
+    path, digest = F.col("relative_path"), F.col(digest_col)
     hashed = F.col("bytes_hashed")
     return {
         "no_path": path.isNull() | (path == ""),
@@ -18,9 +18,9 @@ def _row_faults() -> dict:
     }
 
 
-def violations(manifest: DataFrame) -> DataFrame:
+def violations(manifest: DataFrame, digest_col: str = "sha512") -> DataFrame:
     """One row per fault: relative_path and what is wrong with it."""
-    faults = F.array(*[F.when(bad, name) for name, bad in _row_faults().items()])
+    faults = F.array(*[F.when(bad, name) for name, bad in _row_faults(digest_col).items()])
     per_row = manifest.select("relative_path", F.explode(faults).alias("fault")).where(
         F.col("fault").isNotNull()
     )
@@ -34,9 +34,9 @@ def violations(manifest: DataFrame) -> DataFrame:
     return per_row.unionByName(repeated)
 
 
-def self_check(manifest: DataFrame) -> DataFrame:
+def self_check(manifest: DataFrame, digest_col: str = "sha512") -> DataFrame:
     """One row of counts and ``ok``; rows of a repeated path are counted before the shuffle."""
-    faults = _row_faults()
+    faults = _row_faults(digest_col)
     per_path = manifest.groupBy("relative_path").agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(bad).alias(name) for name, bad in faults.items()],

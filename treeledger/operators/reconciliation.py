@@ -53,8 +53,8 @@ def reconcile(
     """
     keys = list(key_cols)
     rows, version = _stacked(left, right, keys, value_cols)
-    # Partitioned by key first: the two groupings below then need no other shuffle.
-    versions = rows.repartition(*keys).groupBy(*keys, *version).agg(
+    # By content first, so that a key repeated very often is counted all over the cluster.
+    versions = rows.groupBy(*keys, *version).agg(
         F.sum("_left").alias("_left"), F.sum("_right").alias("_right")
     )
     per_key = versions.groupBy(*keys).agg(

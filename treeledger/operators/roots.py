@@ -6,7 +6,8 @@ from ..functions import trim_trailing_slashes
 
 
 def normalised(roots: DataFrame) -> DataFrame:
-    return roots.select(trim_trailing_slashes("prefix").alias("prefix"))
+    """Each root once, without trailing slashes."""
+    return roots.select(trim_trailing_slashes("prefix").alias("prefix")).distinct()
 
 
 def unexpected_roots(saved: DataFrame, given: DataFrame) -> DataFrame:

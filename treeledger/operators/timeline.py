@@ -5,10 +5,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def history(snapshots: DataFrame, snapshot_ids: Sequence[int]) -> DataFrame:
+def history(
+    snapshots: DataFrame, snapshot_ids: Sequence[int], digest_col: str = "sha512"
+) -> DataFrame:
     """Events between neighbouring snapshots: added, removed, changed, unverified.
 
-    ``snapshots`` holds snapshot_id, relative_path and sha512, one row per path
+    ``snapshots`` holds snapshot_id, relative_path and a digest, one row per path
     and snapshot; ``snapshot_ids`` lists every snapshot in order, so that a
     snapshot without any rows still counts.  A window group is one path, with at
     most one row per snapshot.
@@ -17,22 +19,22 @@ def history(snapshots: DataFrame, snapshot_ids: Sequence[int]) -> DataFrame:
     by_path = Window.partitionBy("relative_path").orderBy("_at")
     rows = snapshots.select(
         "relative_path",
-        "sha512",
+        F.col(digest_col).alias("_digest"),
         F.array_position(ids, F.col("snapshot_id").cast("bigint")).cast("int").alias("_at"),
     ).where(F.col("_at") > 0)
     seen = rows.select(
         "relative_path",
         "_at",
-        "sha512",
+        "_digest",
         F.lag("_at").over(by_path).alias("_before"),
-        F.lag("sha512").over(by_path).alias("_old"),
+        F.lag("_digest").over(by_path).alias("_old"),
         F.lead("_at").over(by_path).alias("_after"),
     )
     continues = F.coalesce(F.col("_before") == F.col("_at") - 1, F.lit(False))
     arrived = (
         F.when(~continues, F.when(F.col("_at") > 1, "added"))
-        .when(F.col("sha512").isNull() | F.col("_old").isNull(), "unverified")
-        .when(F.col("sha512") != F.col("_old"), "changed")
+        .when(F.col("_digest").isNull() | F.col("_old").isNull(), "unverified")
+        .when(F.col("_digest") != F.col("_old"), "changed")
     )
     leaves = (F.col("_at") < len(snapshot_ids)) & (
         F.col("_after").isNull() | (F.col("_after") > F.col("_at") + 1)

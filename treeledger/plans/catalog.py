@@ -106,10 +106,7 @@ def compare_verdict_self(spark, folder):
 
 def compare_multi_root(spark, folder):
     """Several roots in one manifest: the key is the root and the path below it."""
-    a, b = (
-        m.withColumn("prefix", F.col("source")).withColumn("relative_path", relative_to("relative_path", "source"))
-        for m in (x.where(~F.col("relative_path").startswith("new/")) for x in _copies(spark, folder))
-    )
+    a, b = (derive.per_root(m) for m in _copies(spark, folder))
     return mismatched(a, b, key_cols=("prefix", "relative_path")).orderBy("prefix", "relative_path")
 
 
@@ -228,6 +225,15 @@ def refresh_plan_clean_ignored(spark, folder):
     return _shown(_plan(spark, folder, SHALLOW, clean_ignored=True))
 
 
+def refresh_plan_multi_root(spark, folder):
+    """Several roots in one manifest: the decision is made per root and path below it."""
+    saved, now = (derive.per_root(m) for m in _copies(spark, folder))
+    plan = plan_refresh(
+        derive.as_listing(now, "prefix"), saved, ignore=["^en/"], key_cols=("prefix", "relative_path")
+    )
+    return plan.select("prefix", "relative_path", "action", F.col("change_mask").cast("bigint").alias("change_mask"))
+
+
 def refresh_action_counts(spark, folder):
     counts = action_counts(_plan(spark, folder, SHALLOW, clean_ignored=True))
     return counts.withColumn("change_mask", F.col("change_mask").cast("bigint"))
@@ -391,6 +397,7 @@ QUERIES = [
     metadata_change_mask,
     refresh_plan,
     refresh_plan_clean_ignored,
+    refresh_plan_multi_root,
     refresh_action_counts,
     refresh_report,
     refresh_apply,

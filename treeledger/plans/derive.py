@@ -8,7 +8,7 @@ over the whole table.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import digest
+from ..functions import digest, relative_to
 
 EPOCH_NS = 1_700_000_000_000_000_000
 
@@ -62,9 +62,16 @@ def copy_c(documents: DataFrame) -> DataFrame:
     return _rows(rows, document_path(), body, mtime, mtime + 9, F.lit(False))
 
 
-def as_listing(manifest: DataFrame) -> DataFrame:
+def per_root(manifest: DataFrame) -> DataFrame:
+    """The same manifest with one root per source (``new/`` is a root of its own)."""
+    first = F.substring_index("relative_path", "/", 1)
+    return manifest.withColumns({"prefix": first, "relative_path": relative_to("relative_path", first)})
+
+
+def as_listing(manifest: DataFrame, *keys: str) -> DataFrame:
     """The listing of a tree with exactly these files."""
     return manifest.select(
+        *keys,
         "relative_path",
         F.lit("file").alias("kind"),
         "size",

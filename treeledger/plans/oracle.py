@@ -64,7 +64,7 @@ _MASK = """
     + (CASE WHEN a.mtime_ns <> b.mtime_ns THEN 4 ELSE 0 END) AS BIGINT)"""
 
 
-def _plan(maxdepth: int, clean_ignored: bool) -> str:
+def _plan(maxdepth: int, clean_ignored: bool, ignore="'^src1/'", include="'/en/'") -> str:
     return f"""{_A}, {_B},
 joined AS (
   SELECT coalesce(a.relative_path, b.relative_path) AS relative_path,
@@ -78,7 +78,7 @@ joined AS (
 judged AS (
   SELECT *,
          in_l AND length(relative_path) - length(replace(relative_path, '/', '')) <= {maxdepth} AS candidate,
-         NOT regexp_matches(relative_path, '/en/') AND regexp_matches(relative_path, '^src1/') AS ignored
+         NOT regexp_matches(relative_path, {include}) AND regexp_matches(relative_path, {ignore}) AS ignored
   FROM joined),
 masked AS (
   SELECT *, CASE WHEN in_m AND candidate THEN raw_mask ELSE -1 END AS change_mask FROM judged),
@@ -254,8 +254,9 @@ def oracle_sql() -> dict[str, str]:
             own AS (SELECT CASE WHEN digest IS NULL THEN 'unverified' ELSE 'match' END AS status FROM a)
             {_verdict('own')}""",
         "compare_multi_root": f"""WITH {_A}, {_B}
-            SELECT a.source AS prefix, substr(a.relative_path, length(a.source) + 2) AS relative_path
-            FROM a JOIN b ON a.relative_path = b.relative_path AND a.source = b.source AND a.digest <> b.digest""",
+            SELECT split_part(a.relative_path, '/', 1) AS prefix,
+                   substr(a.relative_path, strpos(a.relative_path, '/') + 1) AS relative_path
+            FROM a JOIN b ON a.relative_path = b.relative_path AND a.digest <> b.digest""",
         "digest_documents": "SELECT doc_id, upper(sha256(text)) AS sha256 FROM documents",
         "chunk_digests": f"WITH {_CHUNKS} SELECT doc_id, chunk_no, upper(hex) AS chunk_sha256, chunks FROM chunks",
         "chunk_tree_digest": f"WITH {_CHUNKS}, {_LEVELS} SELECT doc_id, upper(hex) AS tree_sha256 FROM level3",
@@ -289,6 +290,10 @@ def oracle_sql() -> dict[str, str]:
         "refresh_plan": f"WITH {_plan(3, False)} SELECT relative_path, action, change_mask, change_label FROM plan",
         "refresh_plan_clean_ignored": f"""WITH {_plan(2, True)}
             SELECT relative_path, action, change_mask, change_label FROM plan""",
+        "refresh_plan_multi_root": f"""WITH {_plan(32767, False, "'^[^/]+/en/'", "'never'")}
+            SELECT split_part(relative_path, '/', 1) AS prefix,
+                   substr(relative_path, strpos(relative_path, '/') + 1) AS relative_path, action, change_mask
+            FROM plan""",
         "refresh_action_counts": f"""WITH {_plan(2, True)}
             SELECT action, change_mask, change_label, count(*) AS files FROM plan GROUP BY ALL""",
         "refresh_report": f"""WITH {_plan(3, False)}

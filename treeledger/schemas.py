@@ -23,16 +23,25 @@ LISTING = T.StructType(
     ]
 )
 
-MANIFEST = T.StructType(
-    [
-        T.StructField("relative_path", T.StringType(), False),
-        T.StructField("size", T.LongType()),
-        T.StructField("mtime_ns", T.LongType()),
-        T.StructField("ctime_ns", T.LongType()),
-        T.StructField("sha512", T.BinaryType()),
-        T.StructField("bytes_hashed", T.LongType()),  # NULL: hashed to the end
-    ]
-)
+# Digests a manifest can hold: of the whole file, or of its chunk digests.  They
+# are different values and are never compared with each other.
+DIGESTS = ("sha512", "tree_sha512")
+
+
+def manifest_schema(digest: str = "sha512") -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("relative_path", T.StringType(), False),
+            T.StructField("size", T.LongType()),
+            T.StructField("mtime_ns", T.LongType()),
+            T.StructField("ctime_ns", T.LongType()),
+            T.StructField(digest, T.BinaryType()),
+            T.StructField("bytes_hashed", T.LongType()),  # NULL: hashed to the end
+        ]
+    )
+
+
+MANIFEST = manifest_schema()
 
 ERRORS = T.StructType(
     [
@@ -49,6 +58,7 @@ COMMITS = T.StructType(
         T.StructField("snapshot_id", T.LongType(), False),
         T.StructField("attempt", T.StringType(), False),
         T.StructField("roots", T.ArrayType(T.StringType()), False),
+        T.StructField("digest", T.StringType(), False),
         T.StructField("files", T.LongType()),
         T.StructField("bytes", T.LongType()),
     ]

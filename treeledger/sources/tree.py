@@ -260,6 +260,7 @@ def still_present(paths: DataFrame, root: str) -> DataFrame:
                 yield _batch(rows, pa.schema([("path", pa.binary())]))
 
     names = paths.select(F.col("relative_path").cast("binary").alias("path"))
+    names = names.repartition(paths.sparkSession.sparkContext.defaultParallelism, "path")
     found = names.mapInArrow(probe, "path binary").select(F.col("path").cast("string").alias("p"))
     filled = {
         "relative_path": F.col("p"),
