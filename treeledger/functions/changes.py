@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from .columns import as_column
+
 # Bits of the change mask, in the order their labels are shown.
 CHANGE_BITS = {"size": 1, "ctime": 2, "mtime": 4}
 NOT_COMPARED = -1
@@ -24,6 +26,6 @@ def change_mask(was: str = "was_", now: str = "now_", compared: Column | None =
 
 def change_label(mask) -> Column:
     """``size & ctime & mtime`` for the set bits; NULL when nothing changed."""
-    mask = F.col(mask) if isinstance(mask, str) else mask
+    mask = as_column(mask)
     names = [F.when(mask.bitwiseAND(bit) != 0, name) for name, bit in CHANGE_BITS.items()]
     return F.when(mask > 0, F.concat_ws(" & ", *names))

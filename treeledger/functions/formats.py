@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from .columns import as_column, div
+
 # Binary units by bit shift, largest first.
 BYTE_UNITS = {"EB": 60, "PB": 50, "TB": 40, "GB": 30, "MB": 20, "kB": 10, "B": 0}
 
@@ -20,21 +22,13 @@ TIME_UNITS = {
 }
 
 
-def _col(c):
-    return F.col(c) if isinstance(c, str) else c
-
-
-def _div(a, b: int) -> Column:
-    return F.call_function("div", a, F.lit(b))
-
-
 def _shown(amount, unit) -> Column:
     return F.when(amount > 0, F.concat(amount.cast("string"), F.lit(unit)))
 
 
 def format_bytes(size) -> Column:
     """``4EB 5PB 6TB 7GB 8MB 9kB 10B`` with zero parts left out; ``0B`` for 0."""
-    size = _col(size).cast("bigint")
+    size = as_column(size).cast("bigint")
     parts = [
         _shown(F.shiftright(size, shift).bitwiseAND(F.lit(1023).cast("bigint")), unit)
         for unit, shift in BYTE_UNITS.items()
@@ -44,10 +38,10 @@ def format_bytes(size) -> Column:
 
 def format_duration(nanoseconds) -> Column:
     """``10y 9mon 1w 2d 3h 4min 5s 368ms 118μs 513ns``; ``0ns`` for 0, NULL below 0."""
-    total = _col(nanoseconds).cast("bigint")
+    total = as_column(nanoseconds).cast("bigint")
     parts, rest, larger = [], total, []
     for unit, length in TIME_UNITS.items():
-        parts.append(_shown(_div(rest, length), unit))
+        parts.append(_shown(div(rest, length), unit))
         larger.append(length)
         # Taking off every larger unit in turn is needed only where one of them
         # is not a multiple of this one (a month is not a whole number of weeks).
@@ -58,9 +52,9 @@ def format_duration(nanoseconds) -> Column:
 
 def format_time(nanoseconds) -> Column:
     """UTC ``yyyy-MM-dd HH:mm:ss.nnnnnnnnn`` whatever the session time zone."""
-    ns = _col(nanoseconds).cast("bigint")
+    ns = as_column(nanoseconds).cast("bigint")
     fraction = F.pmod(ns, F.lit(1_000_000_000))
-    seconds = _div(ns - fraction, 1_000_000_000).cast("decimal(18,6)")
+    seconds = div(ns - fraction, 1_000_000_000).cast("decimal(18,6)")
     moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), seconds
     )
@@ -70,6 +64,6 @@ def format_time(nanoseconds) -> Column:
 
 def format_grouped(number) -> Column:
     """``1,234,567.89``: thousands grouped, at most nine decimals, no trailing zeros."""
-    number = _col(number)
+    number = as_column(number)
     text = F.regexp_replace(F.format_number(number, 9), r"\.?0+$", "")
     return F.when(F.abs(number) < 1e-10, "0").otherwise(text)

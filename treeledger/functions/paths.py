@@ -2,37 +2,35 @@
 
 from pyspark.sql import Column, functions as F
 
-MAX_DEPTH = 32767
-
+from .columns import as_column
 
-def _col(c):
-    return F.col(c) if isinstance(c, str) else c
+MAX_DEPTH = 32767
 
 
 def trim_trailing_slashes(path) -> Column:
     """Drop trailing slashes, but never the first character (``//`` -> ``/``)."""
-    path = _col(path)
+    path = as_column(path)
     trimmed = F.rtrim(path, F.lit("/"))
     return F.when(trimmed == "", F.substring(path, 1, 1)).otherwise(trimmed)
 
 
 def leading_slashes(path) -> Column:
     """How many slashes the path starts with."""
-    path = _col(path)
+    path = as_column(path)
     return F.octet_length(path) - F.octet_length(F.ltrim(path, F.lit("/")))
 
 
 def relative_to(path, prefix) -> Column:
     """The path below ``prefix`` without leading slashes; NULL when not below it."""
-    path, prefix = _col(path), F.rtrim(_col(prefix), F.lit("/"))
+    path, prefix = as_column(path), F.rtrim(as_column(prefix), F.lit("/"))
     rest = F.substr(path, F.char_length(prefix) + 1)
     below = path.startswith(prefix) & ((rest == "") | rest.startswith("/"))
     return F.when(below, F.ltrim(rest, F.lit("/")))
 
 
 def join_path(prefix, relative_path) -> Column:
-    prefix = F.rtrim(_col(prefix), F.lit("/"))
-    return F.concat(prefix, F.lit("/"), _col(relative_path))
+    prefix = F.rtrim(as_column(prefix), F.lit("/"))
+    return F.concat(prefix, F.lit("/"), as_column(relative_path))
 
 
 def base_name(path) -> Column:
@@ -41,14 +39,14 @@ def base_name(path) -> Column:
 
 def parent_path(path) -> Column:
     """The directory part; empty for a name directly under the root."""
-    path = _col(path)
+    path = as_column(path)
     cut = F.char_length(path) - F.char_length(F.substring_index(path, "/", -1)) - 1
     return F.when(cut > 0, F.substring(path, F.lit(1), cut)).otherwise(F.lit(""))
 
 
 def path_depth(path) -> Column:
     """Directories between the root and the name: 0 for a file in the root."""
-    path = _col(path)
+    path = as_column(path)
     bare = F.replace(path, F.lit("/"), F.lit(""))
     return F.octet_length(path) - F.octet_length(bare)
 

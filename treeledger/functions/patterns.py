@@ -16,6 +16,8 @@ from operator import or_
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession, functions as F
 
+from .columns import as_column
+
 _QUOTED_ESCAPE_OR_CLASS = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\[\^?\]?((?:\\.|[^\]\\])*)\]", re.S)
 _UNGREEDY_FLAG = re.compile(r"\(\?-?[a-zA-Z^]*U")
 
@@ -47,7 +49,7 @@ def matches_any(path, patterns: Sequence[str]) -> Column:
     """True where any pattern is found in the path; false when there are none."""
     if isinstance(patterns, str):
         raise TypeError("patterns must be a list of strings")
-    path = F.col(path) if isinstance(path, str) else path
+    path = as_column(path)
     check_patterns(patterns)
     return reduce(or_, [path.rlike("(?d)" + p) for p in patterns], F.lit(False))
 

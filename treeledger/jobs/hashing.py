@@ -13,6 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import div
 from ..operators.chunks import tree_digest
 from ..sources.content import (
     CHUNK_BYTES,
@@ -106,7 +107,7 @@ def hash_due_chunks(
     done, failed = _hash_in_batches(
         chunks, ledger, CHUNK_KEY, "chunk_sha512", "chunk_len", run, batch_bytes
     )
-    of = F.greatest(F.call_function("div", F.col("size") + chunk_bytes - 1, F.lit(chunk_bytes)), F.lit(1))
+    of = F.greatest(div(F.col("size") + chunk_bytes - 1, chunk_bytes), F.lit(1))
     parts = done.select(*FILE_KEY, "chunk_no", F.col("chunk_sha512").alias("digest"), of.alias("chunks"))
     largest = files.agg(F.max("size")).first()[0] or 0
     digests = tree_digest(parts, FILE_KEY, max(1, -(-largest // chunk_bytes)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.comparison import compare
 from ..operators.quality import self_check
 from ..operators.planning import any_change, apply_plan, plan_refresh, to_hash
-from ..schemas import DIGESTS, ERRORS, manifest_schema
+from ..schemas import DIGESTS, manifest_schema
 from ..sources.scratch import fresh_folder, materialise
 from ..sources.tree import list_errors, scan_tree, still_present
 from .hashing import BATCH_BYTES, hash_due_chunks, hash_due_files
@@ -122,7 +122,7 @@ def _run(
     manifest = home.write(new, snapshot_id, [given], digest)
     home.drop_staging()
     hash_errors = failed.select("relative_path", F.lit("hash").alias("stage"), "error")
-    errors = list_errors(listing).unionByName(hash_errors.select(*ERRORS.fieldNames()))
+    errors = list_errors(listing).unionByName(hash_errors)
     return Refreshed(plan, listing, errors, changed, snapshot_id, manifest)
 
 

@@ -11,14 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import digest
+from ..functions.columns import div
 
 FAN_OUT = 1024
 
 
-def _div(a, b) -> Column:
-    return F.call_function("div", a, F.lit(b))
-
-
 def text_chunks(
     df: DataFrame, key_cols: Sequence[str], content: Column, chunk_bytes: int, bits: int = 512
 ) -> DataFrame:
@@ -36,7 +33,7 @@ def text_chunks(
         *key_cols,
         F.when(F.octet_length(data) == 0, F.array(F.lit(""))).otherwise(pieces).alias("_pieces"),
         F.greatest(
-            _div(F.octet_length(content).cast("bigint") + chunk_bytes - 1, chunk_bytes), F.lit(1)
+            div(F.octet_length(content).cast("bigint") + chunk_bytes - 1, chunk_bytes), F.lit(1)
         ).alias("chunks"),
     )
     # The outer form: for the plain one the optimizer would cut twice, first to
@@ -73,7 +70,7 @@ def tree_digest(
     while left > 1:
         levels, left = levels + 1, -(-left // fan_out)
     for _ in range(levels):
-        runs = nodes.groupBy(*keys, _div(F.col("_no"), fan_out).alias("_no"), "_of", "_root").agg(
+        runs = nodes.groupBy(*keys, div(F.col("_no"), fan_out).alias("_no"), "_of", "_root").agg(
             F.count("digest").alias("_known"),
             F.sort_array(F.collect_list(F.struct("_no", F.hex("digest").alias("hex")))).alias("_parts"),
         )
@@ -84,7 +81,7 @@ def tree_digest(
             *keys,
             "_no",
             node.alias("digest"),
-            _div(F.col("_of") + fan_out - 1, fan_out).alias("_of"),
+            div(F.col("_of") + fan_out - 1, fan_out).alias("_of"),
             (F.col("_root") | (F.col("_of") <= fan_out)).alias("_root"),
         )
     return nodes.select(*keys, F.col("digest").alias("tree_digest"))

@@ -83,19 +83,15 @@ def plan_refresh(
         .when(saved & ~complete, "REHASH")
         .when(saved, "CHANGED")
     )
-    return (
-        joined.withColumn("action", action)
-        .where(F.col("action").isNotNull())
-        .select(
-            *keys,
-            "action",
-            "change_mask",
-            change_label("change_mask").alias("change_label"),
-            *["was_" + c for c in _METADATA],
-            "was_" + digest_col,
-            "was_bytes_hashed",
-            *["now_" + c for c in _METADATA],
-        )
+    return joined.where(saved | candidate).select(
+        *keys,
+        action.alias("action"),
+        "change_mask",
+        change_label("change_mask").alias("change_label"),
+        *["was_" + c for c in _METADATA],
+        "was_" + digest_col,
+        "was_bytes_hashed",
+        *["now_" + c for c in _METADATA],
     )
 
 

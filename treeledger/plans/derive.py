@@ -9,6 +9,7 @@ over the whole table.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import digest, relative_to
+from ..functions.columns import div
 
 EPOCH_NS = 1_700_000_000_000_000_000
 
@@ -29,7 +30,7 @@ def _rows(df: DataFrame, path, body, mtime, ctime, unfinished) -> DataFrame:
         mtime.cast("bigint").alias("mtime_ns"),
         ctime.cast("bigint").alias("ctime_ns"),
         F.when(~unfinished, digest(body)).alias("sha512"),
-        F.when(unfinished, F.call_function("div", size, F.lit(2))).alias("bytes_hashed"),
+        F.when(unfinished, div(size, 2)).alias("bytes_hashed"),
         "source",
         "lang",
     )

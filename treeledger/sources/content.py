@@ -13,6 +13,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import div
 from .tree import MAX_TASKS, in_batches, mounted_root, root_identity
 
 BLOCK = 1024 * 1024
@@ -93,8 +94,9 @@ def hash_files(files: DataFrame, root: str, tasks: int) -> DataFrame:
 
 def file_chunks(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per chunk of each file; an empty file has one empty chunk."""
-    last = F.greatest(F.call_function("div", F.col("size") - 1, F.lit(chunk_bytes)), F.lit(0))
-    numbered = files.select(*FILE_KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_no"))
+    last = F.greatest(div(F.col("size") - 1, chunk_bytes), F.lit(0))
+    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    numbered = files.select(*FILE_KEY, numbers.alias("chunk_no"))
     offset = F.col("chunk_no") * chunk_bytes
     return numbered.select(
         *FILE_KEY,

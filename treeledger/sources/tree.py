@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import path_depth
-from ..schemas import ERRORS, LISTING
+from ..schemas import LISTING
 from .scratch import fresh_folder, materialise
 
 BATCH_ROWS = 10_000
@@ -276,8 +276,6 @@ def still_present(paths: DataFrame, root: str) -> DataFrame:
 
 
 def list_errors(listing: DataFrame) -> DataFrame:
-    """What could not be listed, as rows of ``ERRORS``."""
+    """What could not be listed, as rows of ``schemas.ERRORS``."""
     rows = listing.where(F.col("error").isNotNull())
-    return rows.select("relative_path", F.lit("list").alias("stage"), "error").select(
-        *ERRORS.fieldNames()
-    )
+    return rows.select("relative_path", F.lit("list").alias("stage"), "error")
