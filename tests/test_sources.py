@@ -181,6 +181,15 @@ def test_an_unreadable_file_is_an_error(spark, tmp_path):
     assert all(r.sha512 is None and "FileNotFoundError" in r.error for r in rows)
 
 
+def test_a_file_replaced_by_a_pipe_is_an_error(spark, tmp_path):
+    root = make_tree(tmp_path / "t", {"a": b"a"})
+    files = files_of(spark, root)
+    os.remove(f"{root}/a")
+    os.mkfifo(f"{root}/a")
+    row = hash_files(files, root, 1).first()
+    assert row.sha512 is None and "not a regular file" in row.error
+
+
 def test_unreadable_file_during_refresh_keeps_the_old_row(spark, tmp_path, monkeypatch):
     """The files vanish between listing and hashing."""
     root, store = make_tree(tmp_path / "t", {"old": b"1", "other": b"1"}), str(tmp_path / "s")
@@ -190,9 +199,9 @@ def test_unreadable_file_during_refresh_keeps_the_old_row(spark, tmp_path, monke
 
     plain = jobs.hash_due_files
 
-    def vanish(due, *args):
+    def vanish(due, *args, **options):
         os.remove(f"{root}/old"), os.remove(f"{root}/new")
-        return plain(due, *args)
+        return plain(due, *args, **options)
 
     monkeypatch.setattr(jobs, "hash_due_files", vanish)
     done = refresh(spark, root, store)

@@ -7,8 +7,10 @@ is shared out, and an interrupted run resumes inside it.  The two digests are
 different values and are kept in different columns.
 """
 
+import errno
 import hashlib
 import os
+import stat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,6 +27,15 @@ FILE_KEY = ("relative_path", "size", "mtime_ns", "ctime_ns")
 CHUNK_KEY = (*FILE_KEY, "chunk_no", "chunk_off", "chunk_len")
 
 
+def _regular(path: bytes, flags: int) -> int:
+    """Open a regular file; anything else now under its name must not block the task."""
+    fd = os.open(path, flags | os.O_NONBLOCK)
+    if not stat.S_ISREG(os.fstat(fd).st_mode):
+        os.close(fd)
+        raise OSError(errno.EINVAL, "not a regular file")
+    return fd
+
+
 def read_digest(
     path: bytes, block: memoryview, offset: int = 0, length: int | None = None
 ) -> tuple[bytes, int]:
@@ -33,7 +44,7 @@ def read_digest(
     ``block`` is the buffer to read into, one for all files of a task.
     """
     state, done = hashlib.sha512(), 0
-    with open(path, "rb", buffering=0) as f:
+    with open(path, "rb", buffering=0, opener=_regular) as f:
         if offset:
             f.seek(offset)
         while length is None or done < length:
