@@ -212,7 +212,8 @@ def test_unreadable_file_during_refresh_keeps_the_old_row(spark, tmp_path, monke
 
 
 def test_an_interrupted_run_goes_on_where_it_stopped(spark, tmp_path):
-    root = make_tree(tmp_path / "t", {f"f{i}": bytes([i]) * 100 for i in range(20)})
+    count = 10 * 4 * spark.sparkContext.defaultParallelism  # enough for ten batches
+    root = make_tree(tmp_path / "t", {f"f{i}": b"%03d" % i * 10 for i in range(count)})
     staging, due = str(tmp_path / "staging"), files_of(spark, root)
     calls = []
 
@@ -226,9 +227,9 @@ def test_an_interrupted_run_goes_on_where_it_stopped(spark, tmp_path):
 
     args = (due, staging, content.FILE_KEY, "sha512", "size")
     with pytest.raises(KeyboardInterrupt):
-        hashing._hash_in_batches(*args, failing, 500)
+        hashing._hash_in_batches(*args, failing, count * 3)
     finished = spark.read.parquet(staging).count()
-    assert 0 < finished < 20
+    assert 0 < finished < count
     again = []
 
     def counting(part, tasks):
@@ -238,10 +239,10 @@ def test_an_interrupted_run_goes_on_where_it_stopped(spark, tmp_path):
     with open(f"{root}/f0", "wb") as f:  # changed in between: its staged digest is not used
         f.write(b"other")
     due = files_of(spark, root)
-    done, failed = hashing._hash_in_batches(due, *args[1:], counting, 500)
-    assert sum(again) in (20 - finished, 20 - finished + 1)
+    done, failed = hashing._hash_in_batches(due, *args[1:], counting, count * 3)
+    assert sum(again) in (count - finished, count - finished + 1)
     got = {r.relative_path: bytes(r.sha512) for r in done.collect()}
-    for i in range(20):
+    for i in range(count):
         with open(f"{root}/f{i}", "rb") as f:
             assert got[f"f{i}"] == hashlib.sha512(f.read()).digest()
     assert failed.count() == 0

@@ -26,7 +26,8 @@ from ..sources.content import (
 )
 from ..sources.scratch import fresh_folder, materialise
 
-BATCH_BYTES = 1 << 40
+BATCH_BYTES_PER_CORE = 16 << 30
+BATCH_ROWS_PER_CORE = 4  # so that large files do not make batches too few to go round
 
 
 def _staged(due: DataFrame, folder: str, key: tuple, digest: str) -> DataFrame:
@@ -42,13 +43,20 @@ def _staged(due: DataFrame, folder: str, key: tuple, digest: str) -> DataFrame:
 
 
 def _hash_in_batches(
-    due: DataFrame, folder: str, key: tuple, digest: str, weight: str, hash_rows: Callable, batch_bytes: int
+    due: DataFrame,
+    folder: str,
+    key: tuple,
+    digest: str,
+    weight: str,
+    hash_rows: Callable,
+    batch_bytes: int | None,
 ) -> tuple[DataFrame, DataFrame]:
     """Hash the due rows that are not staged yet; returns (done, failed)."""
     spark = due.sparkSession
     total = due.agg(F.count(F.lit(1)).alias("rows"), F.sum(weight).alias("bytes")).first()
-    batches = (total.bytes or 0) // batch_bytes + 1
     cores = spark.sparkContext.defaultParallelism
+    by_bytes = (total.bytes or 0) // (batch_bytes or BATCH_BYTES_PER_CORE * cores) + 1
+    batches = max(1, min(by_bytes, total.rows // (BATCH_ROWS_PER_CORE * cores)))
     tasks = task_count(total.rows // batches, (total.bytes or 0) // batches, cores)
     known = _staged(due, folder, key, digest).where(F.col(digest).isNotNull())
     hashed_key = F.xxhash64(*key)
@@ -78,7 +86,7 @@ def _hash_in_batches(
 
 
 def hash_due_files(
-    due: DataFrame, root: str, folder: str, batch_bytes: int = BATCH_BYTES
+    due: DataFrame, root: str, folder: str, batch_bytes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """sha512 of the due files, staged in ``folder``: (done, failed)."""
 
@@ -93,7 +101,7 @@ def hash_due_chunks(
     root: str,
     ledger: str,
     chunk_bytes: int = CHUNK_BYTES,
-    batch_bytes: int = BATCH_BYTES,
+    batch_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """tree_sha512 of the files through the chunk ledger table: (digests, failed chunks).
 

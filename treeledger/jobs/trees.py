@@ -12,7 +12,7 @@ from ..operators.planning import any_change, apply_plan, plan_refresh, to_hash
 from ..schemas import DIGESTS, manifest_schema
 from ..sources.scratch import fresh_folder, materialise
 from ..sources.tree import list_errors, scan_tree, still_present
-from .hashing import BATCH_BYTES, hash_due_chunks, hash_due_files
+from .hashing import hash_due_chunks, hash_due_files
 from .store import ManifestExists, NoManifest, Store
 
 
@@ -56,7 +56,8 @@ def refresh(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
     ignore, include: patterns; maxdepth: how deep to look; clean_ignored: also
     drop recorded paths that are ignored; allow_root_change: accept another
     root than the saved one; mode: "incremental" or "full"; dry_run: plan only;
-    batch_bytes: how much to hash between commits of the staging table.
+    batch_bytes: how much to hash between commits of the staging table (by default
+    16 GiB per core).
     """
     home = Store(spark, store)
     last = home.latest_commit()
@@ -86,7 +87,7 @@ def _run(
     allow_root_change: bool = False,
     mode: str = "incremental",
     dry_run: bool = False,
-    batch_bytes: int = BATCH_BYTES,
+    batch_bytes: int | None = None,
 ) -> Refreshed:
     spark = home.spark
     if last:
