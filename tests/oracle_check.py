@@ -50,7 +50,8 @@ def difference(spark, con, query, sql, folder):
     }
     ours, theirs = rows_of(df.columns, df.collect()), rows_of(names, result.fetchall())
     if ours != theirs:
-        return f"rows {sum(ours.values())}/{sum(theirs.values())}: {list((ours - theirs).items())[:3]} <> {list((theirs - ours).items())[:3]}"
+        extra, missing = (list(d.items())[:3] for d in (ours - theirs, theirs - ours))
+        return f"rows {sum(ours.values())}/{sum(theirs.values())}: {extra} <> {missing}"
     return f"types {wrong}" if wrong else None
 
 

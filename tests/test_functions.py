@@ -121,7 +121,22 @@ def test_include_wins_over_ignore(spark):
 
 @pytest.mark.parametrize(
     "pattern",
-    ["(", "[[:digit:]]", "[a[:alpha:]]", "(?R)", "(?1)", "(?|a)", r"a\Kb", "(*FAIL)", "[a[b]", "[a&&b]", "(?U)a+", "(?iU)a"],
+    [
+        "(",
+        "[[:digit:]]",
+        "[:digit:]",
+        "[a[:alpha:]]",
+        "(?R)",
+        "(?1)",
+        "(?|a)",
+        r"a\Kb",
+        "(*FAIL)",
+        "[a[b]",
+        "[a&&b]",
+        "(?U)a+",
+        "(?iU)a",
+        "(?x)[ a]",
+    ],
 )
 def test_patterns_with_another_meaning_are_refused(spark, pattern):
     with pytest.raises(ValueError):
@@ -129,7 +144,21 @@ def test_patterns_with_another_meaning_are_refused(spark, pattern):
 
 
 @pytest.mark.parametrize(
-    "pattern", [r"[\[\]]", "[]a]", r"\[", "a{2,3}", r"\Q[[\E", "(?i)abc", r"\p{Digit}+", "^.*/x/.*$", "(?<n>a)", r"[^/]+\.txt"]
+    "pattern",
+    [
+        r"[\[\]]",
+        "[]a]",
+        "[:,]",
+        r"\[",
+        "a{2,3}",
+        r"\Q[[\E",
+        "(?i)abc",
+        "(?x) a b",
+        r"\p{Digit}+",
+        "^.*/x/.*$",
+        "(?<n>a)",
+        r"[^/]+\.txt",
+    ],
 )
 def test_usable_patterns_are_accepted(spark, pattern):
     tf.check_patterns([pattern])
@@ -142,8 +171,9 @@ def test_row_digest_tells_rows_apart(spark):
 
 
 def test_row_digest_of_nested_values(spark):
-    a = spark.sql("SELECT map('x', 1, 'y', 2) AS m, named_struct('p', CAST(NULL AS INT), 'q', array(1)) AS s, X'00ff' AS b")
-    b = spark.sql("SELECT map('y', 2, 'x', 1) AS m, named_struct('p', CAST(NULL AS INT), 'q', array(1)) AS s, X'00ff' AS b")
+    rest = "named_struct('p', CAST(NULL AS INT), 'q', array(1)) AS s, X'00ff' AS b"
+    a = spark.sql(f"SELECT map('x', 1, 'y', 2) AS m, {rest}")
+    b = spark.sql(f"SELECT map('y', 2, 'x', 1) AS m, {rest}")
     columns = ["m", "s", "b"]
     first, second = (d.select(tf.row_digest(d, columns).alias("d")).first().d for d in (a, b))
     assert first == second

@@ -33,9 +33,12 @@ def test_sha512_of_pages(spark):
 
 
 def test_sha512_of_the_table_files(spark):
-    got = {r.relative_path: (r["size"], r.sha512) for r in entry.queries()["tree_sha512"](spark, FOLDER).collect()}
-    chunked = {r.relative_path: r.tree_sha512 for r in entry.queries()["tree_chunk_sha512"](spark, FOLDER).collect()}
-    listed = {r.relative_path: (r.kind, r["size"], r.depth) for r in entry.queries()["tree_listing"](spark, FOLDER).collect()}
+    def rows(name):
+        return entry.queries()[name](spark, FOLDER).collect()
+
+    got = {r.relative_path: (r["size"], r.sha512) for r in rows("tree_sha512")}
+    chunked = {r.relative_path: r.tree_sha512 for r in rows("tree_chunk_sha512")}
+    listed = {r.relative_path: (r.kind, r["size"], r.depth) for r in rows("tree_listing")}
     assert set(got) == set(chunked) == set(listed) == set(os.listdir(FOLDER))
     for name, (size, digest) in got.items():
         with open(f"{FOLDER}/{name}", "rb") as f:

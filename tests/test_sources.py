@@ -88,6 +88,24 @@ def test_scan_in_many_rounds(spark, tmp_path, budget):
     assert len(listed) == len(set(listed)) and set(listed) == set(walk(root))
 
 
+def test_a_full_directory_is_shared_out(spark, tmp_path):
+    """Metadata of one directory's files is read by all tasks alike."""
+    root = make_tree(tmp_path / "t", {f"hot/{i}": b"" for i in range(4000)})
+    written = scan_tree(spark, root).groupBy(F.input_file_name()).count().collect()
+    assert len(written) >= 8 and max(r["count"] for r in written) < 1000
+
+
+def test_a_large_file_is_shared_out(spark):
+    """The chunks of one file fall into all hashing tasks alike."""
+    schema = "relative_path string, size long, mtime_ns long, ctime_ns long"
+    file = spark.createDataFrame([("big", 1 << 40, 1, 1)], schema)
+    chunks = content.file_chunks(file)
+    assert chunks.count() == (1 << 40) // content.CHUNK_BYTES
+    assert chunks.agg(F.sum("chunk_len")).first()[0] == 1 << 40
+    spread = chunks.repartition(8, *content.CHUNK_KEY).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 3000
+
+
 def test_bad_roots(spark, tmp_path):
     (tmp_path / "file").write_bytes(b"")
     with pytest.raises(FileNotFoundError):

@@ -4,8 +4,8 @@ Patterns are unanchored, case-sensitive searches over the relative path.  They
 run as Java regular expressions; ``(?d)`` makes newline the only line
 terminator, so ``.`` matches every other character.  A pattern whose Java
 meaning would silently differ from the usual Perl meaning is refused, and a
-pattern Java cannot compile is refused before any job starts.  Counted
-wildcards over non-ASCII names count characters, not bytes.
+pattern Java cannot compile is refused before any job starts.  Over non-ASCII names, wildcards match
+characters rather than bytes and ``\\b`` knows letters other than a-z.
 """
 
 import re
@@ -19,18 +19,21 @@ from pyspark.sql import Column, SparkSession, functions as F
 from .columns import as_column
 
 _QUOTED_ESCAPE_OR_CLASS = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\[\^?\]?((?:\\.|[^\]\\])*)\]", re.S)
-_UNGREEDY_FLAG = re.compile(r"\(\?-?[a-zA-Z^]*U")
+_FLAGS = re.compile(r"\(\?([a-zA-Z]*)")
 
 
 def _refuse_changed_meaning(pattern: str) -> None:
+    flags = "".join(_FLAGS.findall(_QUOTED_ESCAPE_OR_CLASS.sub("", pattern)))
+    if "U" in flags:
+        raise ValueError(f"flag U in {pattern!r} means something else here: write lazy quantifiers")
     for found in _QUOTED_ESCAPE_OR_CLASS.finditer(pattern):
-        body = re.sub(r"\\.", "", found.group(1) or "", flags=re.S)
-        if "[:" in found.group(0)[:3] or "[:" in body:
+        text, body = found.group(0), re.sub(r"\\.", "", found.group(1) or "", flags=re.S)
+        if "[:" in body or (text.startswith("[:") and text.endswith(":]")):
             raise ValueError(f"POSIX class in {pattern!r}: write \\p{{Digit}}, \\p{{Alpha}} and so on")
         if "[" in body or "&&" in body:
             raise ValueError(f"unescaped [ or && inside a class in {pattern!r}: write \\[ or \\&\\&")
-    if _UNGREEDY_FLAG.search(_QUOTED_ESCAPE_OR_CLASS.sub("", pattern)):
-        raise ValueError(f"flag U in {pattern!r} means something else here: write lazy quantifiers")
+        if "x" in flags and re.search(r"[\s#]", body):
+            raise ValueError(f"blank or # in a class under flag x in {pattern!r}: escape it")
 
 
 def check_patterns(patterns: Sequence[str]) -> None:

@@ -154,13 +154,12 @@ def filter_maxdepth(spark, folder):
 
 def path_normalise(spark, folder):
     root = F.regexp_extract("url", "^https?://[^/]+", 0)
+    slashes = F.repeat(F.lit("/"), (F.col("page_id") % 4).cast("int"))
     return table(spark, folder, "pages").select(
         "page_id",
         trim_trailing_slashes("url").alias("trimmed"),
-        trim_trailing_slashes(F.concat(F.repeat(F.lit("/"), (F.col("page_id") % 4).cast("int")))).alias("only_slashes"),
-        leading_slashes(F.concat(F.repeat(F.lit("/"), (F.col("page_id") % 4).cast("int")), "url"))
-        .cast("bigint")
-        .alias("slashes"),
+        trim_trailing_slashes(slashes).alias("only_slashes"),
+        leading_slashes(F.concat(slashes, "url")).cast("bigint").alias("slashes"),
         relative_to("url", root).alias("relative"),
         base_name("url").alias("base"),
         join_path(root, derive.url_path()).alias("joined"),
@@ -228,10 +227,9 @@ def refresh_plan_clean_ignored(spark, folder):
 def refresh_plan_multi_root(spark, folder):
     """Several roots in one manifest: the decision is made per root and path below it."""
     saved, now = (derive.per_root(m) for m in _copies(spark, folder))
-    plan = plan_refresh(
-        derive.as_listing(now, "prefix"), saved, ignore=["^en/"], key_cols=("prefix", "relative_path")
-    )
-    return plan.select("prefix", "relative_path", "action", F.col("change_mask").cast("bigint").alias("change_mask"))
+    keys = ("prefix", "relative_path")
+    plan = plan_refresh(derive.as_listing(now, "prefix"), saved, ignore=["^en/"], key_cols=keys)
+    return plan.select(*keys, "action", F.col("change_mask").cast("bigint").alias("change_mask"))
 
 
 def refresh_action_counts(spark, folder):

@@ -239,7 +239,6 @@ stacked AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    slashes = "repeat('/', CAST(page_id % 4 AS INTEGER))"
     key = "o_orderkey"
     return {
         "compare_missing_left": f"WITH {_A}, {_B} SELECT relative_path FROM b ANTI JOIN a USING (relative_path)",
@@ -274,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
                    ltrim(substr(url, length({_URL_ROOT}) + 1), '/') AS relative,
                    regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$', 0) AS base,
                    {_URL_ROOT} || '/' || {_URL_PATH} AS joined
-            FROM pages""".replace("{slashes}", slashes),
+            FROM pages""",
         "tree_totals": f"WITH {_TREE} SELECT {_totals(1)} FROM tree",
         "tree_totals_by_source": f"WITH {_TREE} SELECT top, {_totals(0)} FROM tree GROUP BY top",
         "tree_totals_maxdepth": f"""
@@ -292,7 +291,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT relative_path, action, change_mask, change_label FROM plan""",
         "refresh_plan_multi_root": f"""WITH {_plan(32767, False, "'^[^/]+/en/'", "'never'")}
             SELECT split_part(relative_path, '/', 1) AS prefix,
-                   substr(relative_path, strpos(relative_path, '/') + 1) AS relative_path, action, change_mask
+                   substr(relative_path, strpos(relative_path, '/') + 1) AS relative_path,
+                   action, change_mask
             FROM plan""",
         "refresh_action_counts": f"""WITH {_plan(2, True)}
             SELECT action, change_mask, change_label, count(*) AS files FROM plan GROUP BY ALL""",
