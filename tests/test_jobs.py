@@ -213,6 +213,14 @@ def test_corrupt_manifest_is_refused(spark, diff1, tmp_path):
         refresh(spark, diff1, store)
 
 
+def test_discard_leaves_the_store_alone(spark, diff1, tmp_path):
+    built = build(spark, diff1, str(tmp_path / "s"))
+    assert os.path.isdir(built.work)
+    built.discard()
+    assert not os.path.exists(built.work)
+    assert built.manifest.count() == 12 and sorted(os.listdir(tmp_path / "s")) == ["commits", "snapshots"]
+
+
 def test_compact_and_expire(spark, diff1, tmp_path):
     store = str(tmp_path / "s")
     before = paths(build(spark, diff1, store).manifest)

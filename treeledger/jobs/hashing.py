@@ -24,7 +24,7 @@ from ..sources.content import (
     hash_files,
     task_count,
 )
-from ..sources.scratch import fresh_folder, materialise
+from ..sources.scratch import delete_folder, fresh_folder, materialise
 
 BATCH_BYTES_PER_CORE = 16 << 30
 BATCH_ROWS_PER_CORE = 4  # so that large files do not make batches too few to go round
@@ -63,9 +63,10 @@ def _hash_in_batches(
     todo = due.join(known, list(key), "left_anti").select(
         *key, F.pmod(hashed_key, F.lit(batches)).alias("batch")
     )
+    work = fresh_folder(spark)
     if batches > 1:  # one folder per batch, so that each batch reads only its rows
         todo = todo.repartition("batch", F.pmod(F.shiftright(hashed_key, 32), F.lit(8)))
-        todo = materialise(todo, fresh_folder(spark), ["batch"])
+        todo = materialise(todo, work, ["batch"])
 
     def run(number: int) -> None:
         part = todo.where(F.col("batch") == number).drop("batch")
@@ -74,6 +75,7 @@ def _hash_in_batches(
     # Two batches at a time: while one waits for its largest file, the other goes on.
     with ThreadPoolExecutor(2) as pool:
         list(pool.map(inheritable_thread_target(spark)(run), range(batches)))
+    delete_folder(spark, work)
     staged = _staged(due, folder, key, digest)
     done = staged.where(F.col(digest).isNotNull())
     failed = (

@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import COMMITS, EXPIRED, ROOTS, manifest_schema
+from ..sources.scratch import delete_folder
 
 SNAPSHOT_FILE_BYTES = 256 * 1024 * 1024
 ROW_BYTES = 256  # a manifest row on disk, generously
@@ -43,17 +44,12 @@ class Store:
         table = self.spark.createDataFrame(rows, schema).coalesce(1)
         table.write.mode("append").parquet(f"{self.path}/{name}")
 
-    def _delete(self, folder: str) -> None:
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(conf).delete(target, True)
-
     def staging(self, snapshot_id: int, mode: str) -> str:
         """Where digests for the coming snapshot are collected until it is committed."""
         return f"{self.path}/staging/snapshot_id={snapshot_id}-{mode}"
 
     def drop_staging(self) -> None:
-        self._delete(f"{self.path}/staging")
+        delete_folder(self.spark, f"{self.path}/staging")
 
     def commits(self) -> DataFrame:
         expired = self._table("expired", EXPIRED)
@@ -124,7 +120,7 @@ class Store:
         if old:
             self._append("expired", [(i,) for i in old], EXPIRED)
         for snapshot_id in old:
-            self._delete(f"{self.path}/snapshots/snapshot_id={snapshot_id}")
+            delete_folder(self.spark, f"{self.path}/snapshots/snapshot_id={snapshot_id}")
         return old
 
     def snapshots(self) -> tuple[DataFrame, list[int]]:

@@ -10,7 +10,7 @@ from ..operators.comparison import compare
 from ..operators.quality import self_check
 from ..operators.planning import any_change, apply_plan, plan_refresh, to_hash
 from ..schemas import DIGESTS, manifest_schema
-from ..sources.scratch import fresh_folder, materialise
+from ..sources.scratch import delete_folder, fresh_folder, materialise
 from ..sources.tree import list_errors, scan_tree, still_present
 from .hashing import hash_due_chunks, hash_due_files
 from .store import ManifestExists, NoManifest, Store
@@ -32,6 +32,11 @@ class Refreshed:
     changed: bool
     snapshot_id: int | None  # the snapshot that is now the newest; None after a dry run
     manifest: DataFrame | None
+    work: str
+
+    def discard(self) -> None:
+        """Delete the tables that plan, listing and errors are read from."""
+        delete_folder(self.plan.sparkSession, self.work)
 
 
 def build(
@@ -99,32 +104,33 @@ def _run(
     if foreign and not allow_root_change:
         raise RootMismatch(f"saved {foreign}, given {given}")
 
-    listing = scan_tree(spark, root)
+    work = fresh_folder(spark)
+    listing = scan_tree(spark, root, folder=f"{work}/scan")
     unmet = saved.select("relative_path").join(listing, "relative_path", "left_anti")
     found = listing.unionByName(still_present(unmet, root)) if last else listing
     plan = plan_refresh(
         found, saved, ignore=ignore, include=include, maxdepth=maxdepth,
         clean_ignored=clean_ignored, mode=mode, digest_col=digest,
     )
-    plan = materialise(plan, fresh_folder(spark))
+    plan = materialise(plan, f"{work}/plan")
     changed = any_change(plan).first().any_change
     if dry_run:
-        return Refreshed(plan, listing, list_errors(listing), changed, None, None)
+        return Refreshed(plan, listing, list_errors(listing), changed, None, None, work)
     if last and not changed and not foreign:
-        return Refreshed(plan, listing, list_errors(listing), False, last.snapshot_id, saved)
+        return Refreshed(plan, listing, list_errors(listing), False, last.snapshot_id, saved, work)
 
     snapshot_id = last.snapshot_id + 1 if last else 1
     staging = home.staging(snapshot_id, mode)
     hash_due = hash_due_files if digest == "sha512" else hash_due_chunks
     hashed, failed = hash_due(to_hash(plan), root, staging, batch_bytes=batch_bytes)
     per_file = failed.groupBy("relative_path").agg(F.max("error").alias("error"))
-    failed = materialise(per_file, fresh_folder(spark))
+    failed = materialise(per_file, f"{work}/failed")
     new = apply_plan(plan, hashed, digest_col=digest)
     manifest = home.write(new, snapshot_id, [given], digest)
     home.drop_staging()
     hash_errors = failed.select("relative_path", F.lit("hash").alias("stage"), "error")
     errors = list_errors(listing).unionByName(hash_errors)
-    return Refreshed(plan, listing, errors, changed, snapshot_id, manifest)
+    return Refreshed(plan, listing, errors, changed, snapshot_id, manifest, work)
 
 
 def compare_stores(spark: SparkSession, left: str, right: str) -> DataFrame:

@@ -30,3 +30,8 @@ def materialise(df: DataFrame, folder: str, partition_by: Sequence[str] = ()) ->
     """Write ``df`` as a table and read it back: lost executors cost a reread, not a rerun."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

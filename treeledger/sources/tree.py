@@ -182,13 +182,19 @@ def root_identity(root: str) -> tuple[bytes, int]:
     return full, os.lstat(full).st_ino
 
 
-def scan_tree(spark: SparkSession, root: str, budget: int = NAMES_PER_DIRECTORY_TASK) -> DataFrame:
-    """The listing of ``root`` (schema ``LISTING``), written once to the shared folder.
+def scan_tree(
+    spark: SparkSession,
+    root: str,
+    budget: int = NAMES_PER_DIRECTORY_TASK,
+    folder: str | None = None,
+) -> DataFrame:
+    """The listing of ``root`` (schema ``LISTING``), written once to ``folder``, by
+    default a new one in the shared folder.
 
     Dot files, empty files and directories are included; the root itself is not.
     """
     root_bytes, inode = root_identity(root)
-    folder = fresh_folder(spark)
+    folder = folder or fresh_folder(spark)
     cores = spark.sparkContext.defaultParallelism
 
     def walk(batches):
