@@ -78,12 +78,11 @@ def _hash_in_batches(
     delete_folder(spark, work)
     staged = _staged(due, folder, key, digest)
     done = staged.where(F.col(digest).isNotNull())
-    failed = (
-        staged.where(F.col(digest).isNull())
-        .join(done.select(*key), list(key), "left_anti")
-        .groupBy(*key)
-        .agg(F.max("error").alias("error"))
-    )
+    failed = staged.where(F.col(digest).isNull()).select(*key, "error")
+    if failed.isEmpty():
+        failed = spark.createDataFrame([], failed.schema)
+    else:
+        failed = failed.join(done, list(key), "left_anti").groupBy(*key).agg(F.max("error").alias("error"))
     return done.select(*key, digest), failed
 
 

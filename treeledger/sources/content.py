@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import div
-from .tree import MAX_TASKS, in_batches, mounted_root, root_identity
+from .tree import even_tasks, in_batches, mounted_root, root_identity
 
 BLOCK = 1024 * 1024
 BYTES_PER_TASK = 128 * 1024 * 1024
@@ -60,7 +60,7 @@ def read_digest(
 def task_count(files: int, total_bytes: int, cores: int) -> int:
     """Hashing tasks: even in bytes, not too many small files each, and no idle cores."""
     by_bytes, by_files = total_bytes // BYTES_PER_TASK, files // FILES_PER_TASK
-    return min(max(by_bytes, by_files, min(files // 50, cores)) + 1, MAX_TASKS)
+    return even_tasks(max(by_bytes, by_files, min(files // 50, cores)), cores)
 
 
 def _hash_rows(rows: DataFrame, root: str, key: tuple, tasks: int, part: bool) -> DataFrame:

@@ -75,6 +75,12 @@ def _batch(rows, schema):
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def even_tasks(wanted: int, cores: int) -> int:
+    """A number of tasks that fills the cores in whole rounds."""
+    rounds = -(-wanted // cores)
+    return min(max(wanted, 1) if rounds <= 1 else rounds * cores, MAX_TASKS)
+
+
 def is_gone(error: OSError) -> bool:
     """Did the file system say that the path is not there (rather than fail)?"""
     return error.errno in (errno.ENOENT, errno.ENOTDIR, errno.ELOOP)
@@ -224,7 +230,7 @@ def scan_tree(
     found = spark.read.parquet(*[f"{folder}/round={i}" for i in range(len(rounds))])
     entries = found.where(~F.col("pending")).select("path", "opaque", "error")
     names = entries.count()
-    tasks = min(max(names // PATHS_PER_STAT_TASK, min(names // 500, cores)) + 1, MAX_TASKS)
+    tasks = even_tasks(max(names // PATHS_PER_STAT_TASK, min(names // 500, cores)), cores)
     details = entries.repartition(tasks, "path").mapInArrow(describe, _DETAIL_DDL)
     name = F.col("path").cast("string")
     listing = details.select(
