@@ -1,5 +1,6 @@
 """Where intermediate tables are written."""
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -7,19 +8,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The temporary folder of each local session that names none, by application id.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Only a local session may go without: its driver and executors are one machine.
+    Only a session inside one process may go without: it gets a temporary folder of its own, kept
+    here because Spark does not let a running session change the setting.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="treeledger-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.conf.get("spark.app.id")
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="treeledger-")
+    return _own_folders[application]
 
 
 def fresh_folder(spark: SparkSession) -> str:
