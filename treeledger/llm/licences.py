@@ -9,8 +9,8 @@ not, because the method compares entire texts.
 The known licences are a table (licence, text): the notices below, and any others given.  Their number is
 checked before they are sent to all tasks; beyond ``broadcast_rows`` the join shuffles digests instead.
 
-Defined cases: NULL and empty texts match nothing (the digest of NULL is NULL); neither does a line without letters or digits.  Rows
-that repeat are answered each.  Copies of a known licence under two names report both.
+Defined cases: NULL and empty texts match nothing (the digest of NULL is NULL); neither does a line
+without letters or digits.  Rows that repeat are answered each.  Copies of a known licence under two names report both.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,12 +74,12 @@ def _whole(canonical: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """licence and digest of the canonical text, distinct."""
+    """licence, digest and length of the canonical text, distinct."""
     rows = spark.createDataFrame(NOTICES, "licence string, text string")
     if known is not None:
         rows = rows.unionByName(known.select("licence", "text"))
     digests = rows.select("licence", _whole(canonical_lines("text")).alias("text")).where("text <> ''")
-    return digests.select("licence", F.sha2("text", 256).alias("digest")).distinct()
+    return digests.select("licence", F.sha2("text", 256).alias("digest"), F.length("text").alias("size")).distinct()
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,16 +87,22 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, broadcast_row
     text_digest of every row of ``docs``."""
     digests = written(known_digests(docs.sparkSession, known))
     if digests.count() <= broadcast_rows:
+        # A line of another length than every known text is none of them: it needs no digest.
+        sizes = [row.size for row in digests.select("size").distinct().collect()]
+        possible = lambda line: F.length(line).isin(sizes)
         digests = F.broadcast(digests)
+    else:
+        possible = lambda line: F.length(line) > 0
     docs = docs.select("doc_id", canonical_lines("text").alias("canonical"))
     docs = docs.select("doc_id", _whole(F.col("canonical")).alias("whole"), F.split("canonical", "\n", -1).alias("lines"))
-    lines = F.transform("lines", lambda line: F.sha2(F.trim(line), 256))
+    trimmed = F.filter(F.transform("lines", lambda line: F.trim(line)), possible)
+    lines = F.transform(trimmed, lambda line: F.sha2(line, 256))
     # One row per document from here on, with its digests; written, so that its number is fixed.
     units = docs.select("doc_id", F.sha2("whole", 256).alias("text_digest"), lines.alias("lines"))
     units = written(units.withColumn("row", F.monotonically_increasing_id()))
     entire = units.select("row", F.col("text_digest").alias("digest"), F.lit(1).alias("entire"))
     single = units.select("row", F.explode("lines").alias("digest"), F.lit(0).alias("entire"))
-    hits = entire.unionByName(single).join(digests, "digest")
+    hits = entire.unionByName(single).join(digests.select("licence", "digest"), "digest")
     found = hits.groupBy("row").agg(
         F.array_sort(F.collect_set("licence")).alias("licences"),
         F.sum(1 - F.col("entire")).alias("n_notices"),
