@@ -8,8 +8,8 @@ calibrated by a logistic fit; its probability is the score.
 Both dictionaries are raw content and end in the same ordinary windows, at the same distance from the
 text, so that ordinary phrases cost the same with either and the difference comes from what only the
 toxic dictionary holds: word beginnings and ends that occur in many more toxic than ordinary documents
-(log odds at least 4.2 standard errors and 12 times as often).  Windows are encoded in UTF-16, because
-a match costs some three bytes and would not pay for a short word otherwise.
+(12 times as often, beyond 4.2 standard errors; near copies in the sample count once).  Windows are
+encoded in UTF-16, because a match costs some three bytes and would not pay for a short word otherwise.
 
 Fitting reads a bounded sample: ``sample_toxic`` and ``sample_ordinary`` labelled documents of at most
 ``sample_chars`` code points, those with the smallest hash of doc_id; a third of it is only used for the
@@ -21,6 +21,7 @@ labels).  Several labels of a document count as toxic if one is.  Every row of `
 """
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -37,6 +38,7 @@ SAMPLE_CHARS = 8_000
 _SAVED = (1, 2, 3, 5)  # bytes
 _ORDINARY_BYTES = 16_384
 _TOXIC_BYTES = 4_096
+_LEAST_STRENGTH = 18  # of the likelihood ratio statistic: 4.2 standard errors
 _PARAMETERS = {
     "window_log": 15, "chain_log": 15, "hash_log": 15, "search_log": 5, "min_match": 4, "target_length": 8,
     "strategy": zstandard.STRATEGY_LAZY, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
@@ -62,19 +64,40 @@ def _edges(text: str) -> set[str]:
     return found
 
 
+def _apart(texts: list[str]) -> list[str]:
+    """The texts without near copies of earlier ones, which would count their words again and again.
+
+    Near copies share most of the four smallest hashes of their long words.
+    """
+    seen: set[int] = set()
+    kept = []
+    for text in texts:
+        hashes = {zlib.crc32(word.encode("utf-8", "replace")) for word in text.lower().split() if len(word) > 7}
+        least = sorted(hashes)[:4]
+        if len(least) < 4 or sum(value in seen for value in least) < 2:
+            kept.append(text)
+        seen.update(least)
+    return kept
+
+
 def _toxic_content(toxic: list[str], ordinary: list[str]) -> str:
+    """Word edges that mark toxic text: by likelihood ratio against an equal share, strongest last."""
     seen, usual = Counter(), Counter()
     for text in toxic:
         seen.update(_edges(text))
     for text in ordinary:
         usual.update(_edges(text))
-    chosen = []
+    share, chosen = len(toxic) / max(1, len(toxic) + len(ordinary)), []
     for edge, count in seen.items():
         others = usual[edge]
         ratio = (count + 0.5) / (len(toxic) + 1) / ((others + 0.5) / (len(ordinary) + 1))
-        error = math.sqrt(1 / (count + 0.5) + 1 / (others + 0.5))
-        if count >= 5 and ratio >= 12 and math.log(ratio) >= 4.2 * error:
-            chosen.append((math.log(ratio) / error, edge))
+        if count < max(4, 0.015 * len(toxic)) or ratio < 12:
+            continue
+        strength = count * math.log(count / (count + others) / share)
+        if others:
+            strength += others * math.log(others / (count + others) / (1 - share))
+        if 2 * strength >= _LEAST_STRENGTH:
+            chosen.append((strength, edge))
     content = ""
     for _, edge in sorted(chosen, reverse=True):
         if edge not in content and 2 * (len(content) + len(edge)) <= _TOXIC_BYTES:
@@ -141,6 +164,7 @@ def _logistic(features: np.ndarray, labels: np.ndarray, importance: np.ndarray)
 
 def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> ToxicityModel:
     """Dictionaries from two thirds of each class, thresholds from the last third."""
+    toxic, ordinary = _apart(toxic), _apart(ordinary)
     share = min(max(toxic_share, 1e-6), 1 - 1e-6)
     prior = math.log(share / (1 - share))
     cut, usual_cut = -(-2 * len(toxic) // 3), -(-2 * len(ordinary) // 3)
