@@ -4,17 +4,19 @@ A document is the set of its distinct word shingles.  Two documents are linked i
 similarity of their sets is at least the threshold; components of linked documents are groups.
 
 1. Documents with equal sets become one class (one row from here on, however many copies).
-2. Each class gets 200 MinHash values, folded into 40 band keys of five values and into an *odd sketch*:
-   a bitmap of 512 parity bits, where each value flips one.  The XOR of two sketches has a population
-   count that tells how many values differ, and most precisely where few do.
+2. Each class gets 200 MinHash values for 40 band keys of five values each, and the 1,024 smallest hashes
+   of its set (a MinHash sample of another kind, which is the whole set if it is that small), folded into
+   an *odd sketch*: a bitmap of 2,048 parity bits, where each sampled hash flips one.  The population
+   count of the XOR of two sketches never exceeds the number of hashes in only one of the two samples, and
+   is close to it where the similarity is high.
 3. Classes that share a band key are candidates.  Not all pairs of a bucket are tested: first each
-   member against one centre (two rounds, with other centres), then only those pairs that the links
-   found so far have not already joined.  A group of thousands of near copies costs one test each.
+   member against one centre (the one that shares most band keys, then others), then only those pairs that
+   the links found so far have not joined.  A group of thousands of near copies costs one test each.
 4. A pair whose sketches differ too much for the threshold, or whose set sizes do, is dropped; the
    others are confirmed on their full sets.  Nothing is capped.
 
-A link at exactly 0.8 is missed with probability (1 - 0.8^5)^40 = 1.2e-7 by the bands and less than
-1e-6 by the sketch; both fall quickly above.
+A link at exactly 0.8 is missed with probability (1 - 0.8^5)^40 = 1.2e-7 by the bands and 3e-7 by the
+sketch (never by the sketch if both sets have at most 1,024 shingles); both fall quickly above 0.8.
 
 Defined cases: no text or no words: empty set, linked with nothing.  Fewer words than a shingle has:
 the whole sequence is one shingle.  Rows with one doc_id are one document.  A NULL doc_id takes no
@@ -22,6 +24,7 @@ part: it gets a NULL component and is kept.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,10 @@ from .common import written
 
 BANDS = 40
 ROWS = 5
-SKETCH_BITS = 512
+SAMPLE = 1_024
+SKETCH_BITS = 2_048
+FOLDED = 8  # words of a folded sketch
+BROADCAST_IDS = 1_000_000  # most doc_ids sent to every task (8 MB); more are joined by a shuffle
 _MASK = (1 << 64) - 1
 _SIGNATURE = "n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
@@ -69,7 +75,6 @@ class _Signer:
         samples = BANDS * ROWS
         self.factors = draw.integers(1, _MASK, samples, dtype=np.uint64) | np.uint64(1)
         self.shifts = draw.integers(0, _MASK, samples, dtype=np.uint64)
-        self.salts = draw.integers(0, _MASK, samples, dtype=np.uint64)
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
         least = np.full(len(self.factors), _MASK, np.uint64)
@@ -82,23 +87,25 @@ class _Signer:
         return least
 
     def sign(self, shingles: np.ndarray) -> tuple[list[int], list[int]]:
-        minima = _mixed(self.minima(shingles) ^ self.salts)
+        minima = self.minima(shingles)
         key = np.zeros(BANDS, np.uint64)
         with np.errstate(over="ignore"):
             for column in minima.reshape(BANDS, ROWS).T:
                 key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
-        parity = np.bincount((minima % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        # The smallest hashes share their high bits; the low ones say which bit to flip.
+        flips = (shingles[:SAMPLE] % np.uint64(SKETCH_BITS)).astype(np.int64)
+        parity = np.bincount(flips, minlength=SKETCH_BITS) & 1
         sketch = np.packbits(parity.astype(np.uint8)).view(np.int64)
         return key.view(np.int64).tolist(), sketch.tolist()
 
 
 def sketch_limit(threshold: float) -> int:
-    """The most XORed bits that a pair at the threshold shows, but for one pair in some millions."""
-    samples = BANDS * ROWS
-    differing = samples * (1 - threshold) + 5 * math.sqrt(samples * threshold * (1 - threshold))
-    flips = min(2 * samples, 2 * differing)
-    share = (1 - (1 - 2 / SKETCH_BITS) ** flips) / 2
-    return math.ceil(SKETCH_BITS * share + 5 * math.sqrt(SKETCH_BITS * share * (1 - share)))
+    """The most XORed bits that a pair of large sets at the threshold shows, but for 3 pairs in ten millions.
+
+    Of the smallest ``SAMPLE`` hashes of the union, a binomial number is common, and common to both samples.
+    """
+    common = SAMPLE * threshold - 5 * math.sqrt(SAMPLE * threshold * (1 - threshold))
+    return math.ceil(2 * (SAMPLE - common))
 
 
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -143,14 +150,35 @@ def connected(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(roots)
 
 
-def _close(threshold: float):
-    """Whether two sketches and set sizes allow the threshold (columns of both sides by prefix)."""
-    bits = sum(
-        (F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH_BITS // 64)),
-        F.lit(0),
-    )
+def _alike(bits, threshold: float):
+    """Whether so many XORed bits, and the set sizes of the sides x and y, allow the threshold."""
     small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-    return (small * 100 >= large * round(threshold * 100)) & (bits <= sketch_limit(threshold))
+    share = round(threshold * 100)
+    # Whole sets in the sketches: what may lie in only one of them follows from the sizes.
+    apart = (small + large) * (100 - share) / (100 + share)
+    limit = F.when(large <= SAMPLE, apart).otherwise(F.lit(float(sketch_limit(threshold))))
+    return (small * 100 >= large * share) & (bits <= limit)
+
+
+def _close(threshold: float):
+    """The test of two whole sketches."""
+    apart = F.zip_with("x.sketch", "y.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return _alike(F.aggregate(apart, F.lit(0), lambda a, b: a + b), threshold)
+
+
+def _folded() -> list:
+    """A sketch's words folded to 512 bits (their XOR is the parity of the same hashes in fewer bins)."""
+    words = SKETCH_BITS // 64
+    return [
+        reduce(lambda a, b: a.bitwiseXOR(b), [F.col("sketch")[i] for i in range(start, words, FOLDED)]).alias(f"w{start}")
+        for start in range(FOLDED)
+    ]
+
+
+def _close_when_folded(threshold: float):
+    """The same limit for folded sketches, which never show more bits: short enough to be compiled well."""
+    bits = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(FOLDED)), F.lit(0))
+    return _alike(bits, threshold)
 
 
 def _screened(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -179,43 +207,56 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, threshold:
 
     pairs = written(pairs)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
     held = written(texts.select(F.col("doc_id").alias("node"), sets(F.col("text").cast("binary")).alias("set")))
     joined = pairs.join(held.alias("y"), F.col("b") == F.col("y.node"))
     joined = joined.join(held.alias("x"), F.col("a") == F.col("x.node"))
     return written(joined.where(alike("x.set", "y.set")).select("a", "b").distinct())
 
 
-def _starred(bands: DataFrame, seed: str | None) -> DataFrame:
-    """Each bucket's members against its centre; ``seed`` names a column that mixes the choice of it."""
-    draw = F.xxhash64("node", seed) if seed else F.xxhash64("node")
-    centres = bands.groupBy("key").agg(
-        F.min(F.struct(draw.alias("draw"), "node", "component")).alias("c"), F.count("*").alias("members")
-    )
-    joined = bands.join(centres.where("members > 1"), "key")
-    different = joined.where((F.col("component") != F.col("c.component")) & (F.col("node") != F.col("c.node")))
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, node) of the band keys that several classes share, with ``weight``: how many members the
+    buckets of the node have together.  Written once; most keys are not shared."""
+    bands = classes.select("node", F.explode("bands").alias("key"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = written(bands.join(sizes, "key"))
+    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    return written(shared.select("key", "node").join(weights, "node"))
+
+
+def _starred(buckets: DataFrame, mixing: bool) -> DataFrame:
+    """Each bucket's members against its centre: the heaviest one, or any (another in each bucket)."""
+    draw = F.xxhash64("node", "key") if mixing else F.struct("weight", F.xxhash64("node"))
+    centres = buckets.groupBy("key").agg(
+        F.max(F.struct(draw.alias("draw"), "node", "component")).alias("c"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+    )
+    joined = buckets.join(centres.where("low < high").select("key", "c"), "key")
+    different = joined.where(F.col("component") != F.col("c.component"))
     return different.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def _crossing(bands: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _crossing(buckets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """All pairs of a bucket that lie in different components, screened inside the join.
 
     Every such pair has a member outside the bucket's largest component, so only those are held
     against the bucket: members of the largest one never meet each other.
     """
-    sizes = bands.groupBy("key", "component").agg(F.count("*").alias("members"))
-    buckets = sizes.groupBy("key").agg(
+    sizes = buckets.groupBy("key", "component").agg(F.count("*").alias("members"))
+    parts = sizes.groupBy("key").agg(
         F.max(F.struct("members", "component"))["component"].alias("main"), F.count("*").alias("components")
     )
-    mixed = bands.join(buckets.where("components > 1").select("key", "main"), "key")
-    side = classes.select("node", "n_shingles", "sketch")
+    mixed = buckets.join(parts.where("components > 1").select("key", "main"), "key")
+    side = classes.select("node", "n_shingles", *_folded())
     mixed = written(mixed.join(side, "node"))
     outside = mixed.where("component <> main").alias("x")
     condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
     # A pair with both members outside is met twice: keep the order of its nodes.
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    joined = outside.join(mixed.alias("y"), condition & once & _close(threshold))
-    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    joined = outside.join(mixed.alias("y"), condition & once & _close_when_folded(threshold))
+    pairs = joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return _screened(pairs.distinct(), classes, threshold)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -231,20 +272,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
             F.first("sketch").alias("sketch"),
         )
     )
-    exploded = classes.select("node", F.explode("bands").alias("key"))
+    buckets = _buckets(classes)
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     components = spark.createDataFrame([], "node long, component long")
     for step in ("star", "other star", "crossing"):
-        labelled = exploded.join(components, "node", "left").select(
-            "node", "key", F.coalesce("component", "node").alias("component")
+        labelled = buckets.join(components, "node", "left").select(
+            "node", "key", "weight", F.coalesce("component", "node").alias("component")
         )
-        if step == "star":
-            pairs = _screened(_starred(labelled, None), classes, threshold)
-        elif step == "other star":
-            pairs = _screened(_starred(labelled, "key"), classes, threshold)
-        else:
+        if step == "crossing":
             pairs = _crossing(labelled, classes, threshold)
+        else:
+            pairs = _screened(_starred(labelled, step == "other star"), classes, threshold)
         found = _confirmed(pairs, docs, shingle_words, threshold)
         if not found.isEmpty():
             links = links.unionByName(found)
