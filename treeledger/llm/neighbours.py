@@ -21,8 +21,8 @@ Spark applies before the shuffle.
 
 Defined cases: vectors that are NULL, empty, all zero, of another length than most or with a NULL or
 non-finite component take no part.  Ties go to the smaller id.  With fewer candidates than ``k`` all are
-returned.  Rows that repeat an id are separate candidates, but never for a query of their own id.  Rows
-with a NULL id take no part.
+returned.  Equal rows count once; an id with two vectors is two candidates and two queries, but never a
+candidate for its own id.  Rows with a NULL id take no part.
 """
 
 from itertools import combinations
@@ -152,7 +152,7 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of ``vectors`` (vec_id, embedding) to each of ``queries``."""
     usable, dim = _usable(vectors, dim)
-    asked, _ = _usable(queries, dim)
+    asked = _usable(queries, dim)[0].distinct()
     # The k + 1 smallest ids of a class: all that can be among k answers besides the query itself.
     ids = usable.select("vec_id", "embedding").distinct()
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))

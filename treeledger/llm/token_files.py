@@ -34,7 +34,7 @@ from .common import offsets
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 _SAMPLE = 256
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 300_000  # words remembered; some 200 bytes each
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _SEGMENT = (
     "part int, segment int, first long, n_docs long, n_ids long, doc_ids array<long>, width int, ids binary, "
@@ -97,29 +97,73 @@ class EliasFano:
 class WordEncoder:
     """Encodes texts through the library, each distinct word once while it is remembered.
 
-    For vocabularies whose pre-tokenizer never joins characters across ASCII white space, the ids of a
-    text are those of its words one after the other.  At most ``_CACHED_WORDS`` words are remembered.
+    For vocabularies that lower-case, mark the ends of words and never join characters across ASCII white
+    space, the ids of a text are those of its words one after the other, and those of a word with
+    punctuation behind a letter or digit are those of the two parts.  Words of letters only are encoded
+    many at a time and told apart by the ends of words; should their number not fit, one by one.
     """
 
     def __init__(self, path: str):
-        self.path, self.tokenizer, self.known = path, None, {}
+        self.path = path
+        self._forget()
+        self.tokenizer = self.ends = None
 
     def __getstate__(self):
-        return {"path": self.path, "tokenizer": None, "known": {}}
+        return {"path": self.path, "tokenizer": None, "ends": None, "words": {}, "parts": {}}
+
+    def _forget(self):
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _open(self):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(self.path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(code.ids, np.uint32) for code in codes]
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        decoded = [(part, part.decode("utf-8", "replace")) for part in parts]
+        letters = [pair for pair in decoded if pair[1].isalpha()]
+        single = [pair for pair in decoded if not pair[1].isalpha()]
+        for start in range(0, len(letters), 1_000):
+            group = letters[start : start + 1_000]
+            ids = self._ids([" ".join(text for _, text in group)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                for (part, _), begin, end in zip(group, [0, *ends.tolist()], ends.tolist(), strict=False):
+                    self.parts[part] = ids[begin:end].tobytes()
+            else:
+                single += group
+        for start in range(0, len(single), 1_000):
+            group = single[start : start + 1_000]
+            for (part, _), ids in zip(group, self._ids([text for _, text in group]), strict=True):
+                self.parts[part] = ids.tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        cut = {}
+        for word in words:
+            core = word.rstrip(b".,;:!?")
+            whole = len(core) == len(word) or not core.decode("utf-8", "replace")[-1:].isalnum()
+            cut[word] = (word,) if whole else (core, word[len(core) :])
+        self._learn_parts(list({part for parts in cut.values() for part in parts} - self.parts.keys()))
+        for word, parts in cut.items():
+            self.words[word] = b"".join([self.parts[part] for part in parts])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if self.tokenizer is None:
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_file(self.path)
-        words = [(text or b"").split() for text in texts]
-        new = list({word for each in words for word in each if word not in self.known})
-        if len(self.known) + len(new) > _CACHED_WORDS:
-            self.known, new = {}, list({word for each in words for word in each})
-        decoded = [word.decode("utf-8", "replace") for word in new]
-        for word, code in zip(new, self.tokenizer.encode_batch(decoded, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(code.ids, np.uint32).tobytes()
-        known = self.known
+            self._open()
+        # A special token is spelt in lower case: lower-casing must not make one.
+        lowered = [b"" if text is None else text if b"<|" in text else text.lower() for text in texts]
+        words = [text.split() for text in lowered]
+        if len(self.words) > _CACHED_WORDS:
+            self._forget()
+        known = self.words
+        self._learn({word for each in words for word in each if word not in known})
         return [np.frombuffer(b"".join([known[word] for word in each]), np.uint32) for each in words]
 
 
@@ -138,8 +182,8 @@ def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
             return pd.DataFrame([values], columns=[column.split()[0] for column in _SEGMENT.split(", ")])
 
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                piece = batch.iloc[start : start + 500]
+            for start in range(0, len(batch), 200):
+                piece = batch.iloc[start : start + 200]
                 codes = encoder.encode(list(piece["text"]))
                 for doc_id, ids in zip(piece["doc_id"].tolist(), codes, strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))

@@ -16,8 +16,8 @@ Fitting reads a bounded sample: ``sample_toxic`` and ``sample_ordinary`` labelle
 thresholds.  The share of toxic documents is counted over all labelled rows.  Scoring reads whole texts.
 
 Defined cases: NULL and empty texts have no windows and get the score of a document without any saving
-window.  Without toxic or without ordinary examples the score is the share of toxic labels (0 without
-labels).  Several labels of a document count as toxic if one is.  Every row of ``docs`` gives one row.
+window.  Without toxic or without ordinary examples the score is the share of toxic labels (one in
+a million without labels).  Several labels of a document count as toxic if one is.  Every row of ``docs`` gives one row.
 """
 
 import math
