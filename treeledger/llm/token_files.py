@@ -21,10 +21,12 @@ are ordered by a hash of their text.  An empty table gives an empty file.  A doc
 segment is one.
 """
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from .common import offsets
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 _SAMPLE = 256
-_CACHED_WORDS = 300_000  # words remembered; some 200 bytes each
+_CACHED_WORDS = 200_000  # words remembered; some 200 bytes each
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _SEGMENT = (
     "part int, segment int, first long, n_docs long, n_ids long, doc_ids array<long>, width int, ids binary, "
@@ -111,6 +113,11 @@ class WordEncoder:
     def __getstate__(self):
         return {"path": self.path, "tokenizer": None, "ends": None, "words": {}, "parts": {}}
 
+    def close(self):
+        """Free what is remembered at once; a task's objects may otherwise outlive it in its process."""
+        self._forget()
+        self.tokenizer = self.ends = None
+
     def _forget(self):
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
@@ -144,27 +151,56 @@ class WordEncoder:
             for (part, _), ids in zip(group, self._ids([text for _, text in group]), strict=True):
                 self.parts[part] = ids.tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        cut = {}
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words not seen before.  No containers are made per word: they would only be collected."""
+        parts, cut = set(), []
         for word in words:
             core = word.rstrip(b".,;:!?")
-            whole = len(core) == len(word) or not core.decode("utf-8", "replace")[-1:].isalnum()
-            cut[word] = (word,) if whole else (core, word[len(core) :])
-        self._learn_parts(list({part for parts in cut.values() for part in parts} - self.parts.keys()))
-        for word, parts in cut.items():
-            self.words[word] = b"".join([self.parts[part] for part in parts])
+            last = core[-1:]
+            if len(core) < len(word) and (last.isalnum() or last >= b"\x80" and core.decode("utf-8", "replace")[-1].isalnum()):
+                parts.add(core)
+                cut.append(len(core))
+            else:
+                parts.add(word)
+                cut.append(0)
+        self._learn_parts(list(parts - self.parts.keys()))
+        known, ids = self.parts, self.words
+        for word, size in zip(words, cut, strict=True):
+            if size:
+                tail = word[size:]
+                if tail not in known:
+                    self._learn_parts([tail])
+                ids[word] = known[word[:size]] + known[tail]
+            else:
+                ids[word] = known[word]
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if self.tokenizer is None:
             self._open()
         # A special token is spelt in lower case: lower-casing must not make one.
         lowered = [b"" if text is None else text if b"<|" in text else text.lower() for text in texts]
-        words = [text.split() for text in lowered]
+        words, bounds = [], [0]
+        for text in lowered:
+            words += text.split()
+            bounds.append(len(words))
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.words) > _CACHED_WORDS:
             self._forget()
-        known = self.words
-        self._learn({word for each in words for word in each if word not in known})
-        return [np.frombuffer(b"".join([known[word] for word in each]), np.uint32) for each in words]
+        gc.disable()  # hundreds of thousands of small objects that all stay
+        try:
+            self._learn([word for word in distinct if word not in self.words])
+        finally:
+            gc.enable()
+        held = [self.words[word] for word in distinct]
+        flat, sizes = np.frombuffer(b"".join(held), np.uint32), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        index = coded.indices.to_numpy()
+        each = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        first = (np.cumsum(sizes) - sizes)[index]
+        ids = flat[np.repeat(first - ends[:-1], each) + np.arange(ends[-1])]
+        ends = ends[bounds]
+        return [ids[start:end] for start, end in zip(ends, ends[1:], strict=False)]
 
 
 def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
@@ -182,8 +218,8 @@ def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
             return pd.DataFrame([values], columns=[column.split()[0] for column in _SEGMENT.split(", ")])
 
         for batch in batches:
-            for start in range(0, len(batch), 200):
-                piece = batch.iloc[start : start + 200]
+            for start in range(0, len(batch), 2_000):
+                piece = batch.iloc[start : start + 2_000]
                 codes = encoder.encode(list(piece["text"]))
                 for doc_id, ids in zip(piece["doc_id"].tolist(), codes, strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
@@ -196,6 +232,7 @@ def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
                         doc_ids, held, ends, size = [], [], [], 0
         if ends:
             yield row()
+        encoder.close()
 
     return write
 
