@@ -26,6 +26,7 @@ from .common import offsets, ordered_table, written
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+BROADCAST_SOURCES = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,6 +93,8 @@ def mixed(
         F.min("bin").alias("last"), F.min(F.struct("bin", F.col("up_to") - F.col("size")))["col2"].alias("before")
     )
     plan = targets.join(last.withColumnRenamed("named", "other"), F.col("named").eqNullSafe(F.col("other")), "left")
+    # One row per source: sent to every task while they are few, so that a hot source stays where it lies.
+    plan = F.broadcast(plan) if targets.count() <= BROADCAST_SOURCES else plan
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("named")), "left")
     # Without such a bin the quota is 0 words of nothing: no document of the source has a word.
     sorted_bin = F.col("bin") == F.col("last")
