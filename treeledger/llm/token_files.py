@@ -36,7 +36,7 @@ from .common import offsets
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 _SAMPLE = 256
-_CACHED_WORDS = 200_000  # words remembered; some 200 bytes each
+_CACHED_WORDS = 100_000  # words remembered; some 200 bytes each
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _SEGMENT = (
     "part int, segment int, first long, n_docs long, n_ids long, doc_ids array<long>, width int, ids binary, "
@@ -198,7 +198,9 @@ class WordEncoder:
         each = sizes[index]
         ends = np.concatenate([[0], np.cumsum(each)])
         first = (np.cumsum(sizes) - sizes)[index]
-        ids = flat[np.repeat(first - ends[:-1], each) + np.arange(ends[-1])]
+        place = np.repeat(first - ends[:-1], each)
+        place += np.arange(ends[-1])
+        ids = flat[place]
         ends = ends[bounds]
         return [ids[start:end] for start, end in zip(ends, ends[1:], strict=False)]
 
@@ -218,8 +220,8 @@ def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
             return pd.DataFrame([values], columns=[column.split()[0] for column in _SEGMENT.split(", ")])
 
         for batch in batches:
-            for start in range(0, len(batch), 2_000):
-                piece = batch.iloc[start : start + 2_000]
+            for start in range(0, len(batch), 1_000):
+                piece = batch.iloc[start : start + 1_000]
                 codes = encoder.encode(list(piece["text"]))
                 for doc_id, ids in zip(piece["doc_id"].tolist(), codes, strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
