@@ -254,3 +254,13 @@ def test_manifests_of_chunk_digests(spark, diff1, tmp_path):
     assert again.snapshot_id == 2 and again.manifest.columns == first.manifest.columns
     changed = {r.relative_path: bytes(r.tree_sha512) for r in again.manifest.collect()}
     assert {p for p in saved if saved[p] != changed[p]} == {"1/AAA/BCB/CCC/a.txt"}
+
+
+def test_a_root_is_recorded_alike_with_and_without_scheme(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a").write_text("a")
+    build(spark, f"file://{root}", store)
+    monkeypatch.chdir(tmp_path)
+    assert not refresh(spark, str(root), store).changed
+    assert not refresh(spark, "tree", store).changed

@@ -398,3 +398,53 @@ def test_tree_digest_of_a_gap_is_null(spark):
         holes = chunks.where(f"NOT ({gap})")
         got = {r.id: r.tree_digest for r in tree_digest(holes, ["id"], 16, fan_out=4).collect()}
         assert got[1] is None and got[2] is not None
+
+
+def _same(spark, left, right, kind, extra=False):
+    """Statuses of reconciling one value with another, alone or beside free text."""
+    from treeledger.operators import reconcile
+
+    names = ["v", "note"] if extra else ["v"]
+    sides = [
+        spark.range(1).selectExpr("id AS k", f"CAST({value} AS {kind}) AS v", "'a,b' AS note") for value in (left, right)
+    ]
+    return [row.status for row in reconcile(*sides, ["k"], names).collect()]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize("extra", [False, True])
+def test_reconcile_tells_instants_nested_values_and_bytes_apart(spark, zone, extra):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        first, second = "timestamp'2024-11-03 05:30:00Z'", "timestamp'2024-11-03 06:30:00Z'"
+        micro = ["timestamp_micros(1700000000000001)", "timestamp_micros(1700000000000999)"]
+        differing = [
+            (first, second, "timestamp"),
+            (*[f"array({m})" for m in micro], "array<timestamp>"),
+            (*[f"named_struct('t', {m})" for m in micro], "struct<t:timestamp>"),
+            ("array(CAST(x'ff' AS string))", "array(CAST(x'fe' AS string))", "array<string>"),
+            ("array('a', 'b')", "array('a,1:b')", "array<string>"),
+            ("array(CAST(NULL AS string))", "array('N')", "array<string>"),
+            ("CAST(NULL AS struct<a:int>)", "named_struct('a', CAST(NULL AS int))", "struct<a:int>"),
+        ]
+        for left, right, kind in differing:
+            assert _same(spark, left, right, kind, extra) == ["mismatch"], kind
+            assert _same(spark, left, left, kind, extra) == ["match"], kind
+        equal = [
+            ("array(-0.0D)", "array(0.0D)", "array<double>"),
+            ("named_struct('m', map('a', 1, 'b', 2))", "named_struct('m', map('b', 2, 'a', 1))", "struct<m:map<string,int>>"),
+        ]
+        for left, right, kind in equal:
+            assert _same(spark, left, right, kind, extra) == ["match"], kind
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_tree_digest_fails_where_its_bound_is_too_small(spark):
+    from treeledger.operators import tree_digest
+
+    chunks = spark.range(5).selectExpr("'a' AS k", "id AS chunk_no", "unhex(sha2(CAST(id AS string), 256)) AS digest", "5L AS chunks")
+    assert tree_digest(chunks, ["k"], 5, 256, fan_out=2).count() == 1
+    with pytest.raises(Exception, match="more than 1 chunks"):
+        tree_digest(chunks, ["k"], 1, 256, fan_out=2).collect()

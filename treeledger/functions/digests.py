@@ -10,27 +10,37 @@ def digest(content, bits: int = 512) -> Column:
     return F.unhex(F.sha2(content, bits))
 
 
-def _as_text(field: T.StructField) -> Column:
-    """The value as text that cannot run into the next one."""
-    column = F.col(f"`{field.name}`")
-    kind = field.dataType
+def _marked(column: Column, kind: T.DataType) -> Column:
+    return F.coalesce(_as_text(column, kind), F.lit("N"))
+
+
+def _as_text(column: Column, kind: T.DataType) -> Column:
+    """The value as text that cannot run into the next one; NULL for NULL."""
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(column, lambda item: _marked(item, kind.elementType))
+        return F.concat(F.size(column).cast("string"), F.lit("["), F.array_join(items, ","))
     if isinstance(kind, T.MapType):
-        text = F.to_json(F.array_sort(F.map_entries(column)), {"ignoreNullFields": "false"})
-    elif isinstance(kind, (T.ArrayType, T.StructType)):
-        text = F.to_json(column, {"ignoreNullFields": "false"})
-    elif isinstance(kind, T.StringType):
-        text = column
-    elif isinstance(kind, T.BinaryType):
+        pairs = F.transform(
+            F.map_entries(column),
+            lambda e: F.concat(_marked(e["key"], kind.keyType), F.lit("="), _marked(e["value"], kind.valueType)),
+        )
+        return F.concat(F.size(column).cast("string"), F.lit("{"), F.array_join(F.array_sort(pairs), ","))
+    if isinstance(kind, T.StructType):
+        parts = [_marked(column[field.name], field.dataType) for field in kind.fields]
+        return F.when(column.isNotNull(), F.concat(F.lit("("), F.concat_ws(",", *parts)))
+    if isinstance(kind, T.StringType):  # as its bytes, valid or not
+        return F.concat(F.octet_length(column).cast("string"), F.lit(":"), column)
+    if isinstance(kind, T.BinaryType):
         return F.hex(column)
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
         return (column + F.lit(0.0).cast(kind)).cast("string")  # 0.0 and -0.0 are equal
-    else:  # numbers, times and booleans: their text holds no comma
-        return column.cast("string")
-    return F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+    if isinstance(kind, T.TimestampType):  # the instant: local times repeat when clocks go back
+        return F.unix_micros(column).cast("string")
+    return column.cast("string")  # numbers, dates and booleans: their text holds no comma
 
 
 def row_digest(df: DataFrame, value_cols: Sequence[str], bits: int = 512) -> Column:
-    """Digest of several columns: free text is length-prefixed and NULL is marked,
-    so that no two different rows share an encoding."""
-    parts = [F.coalesce(_as_text(df.schema[name]), F.lit("N")) for name in value_cols]
+    """Digest of several columns: free text is length-prefixed and NULL is marked, also inside arrays, maps
+    and structs, so that no two different rows share an encoding and equal ones do."""
+    parts = [_marked(F.col(f"`{name}`"), df.schema[name].dataType) for name in value_cols]
     return digest(F.concat_ws(",", *parts), bits)

@@ -1,6 +1,5 @@
 """Building, refreshing and comparing manifests of file trees."""
 
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ from ..operators.quality import self_check
 from ..operators.planning import any_change, apply_plan, plan_refresh, to_hash
 from ..schemas import DIGESTS, manifest_schema
 from ..sources.scratch import delete_folder, fresh_folder, materialise
-from ..sources.tree import list_errors, scan_tree, still_present
+from ..sources.tree import list_errors, recorded_root, scan_tree, still_present
 from .hashing import hash_due_chunks, hash_due_files
 from .store import ManifestExists, NoManifest, Store
 
@@ -99,7 +98,7 @@ def _run(
         saved = checked(home.read(last), digest)
     else:
         saved = spark.createDataFrame([], manifest_schema(digest))
-    given = os.path.abspath(root)
+    given = recorded_root(root)
     foreign = [prefix for prefix in last.roots if prefix != given] if last else []
     if foreign and not allow_root_change:
         raise RootMismatch(f"saved {foreign}, given {given}")

@@ -56,7 +56,7 @@ def tree_digest(
 ) -> DataFrame:
     """One digest per key from rows of key, chunk_no, digest and chunks (how many there are).
 
-    NULL where chunks are missing.  ``max_chunks`` bounds the chunks of any key.
+    NULL where chunks are missing.  ``max_chunks`` bounds the chunks of any key; a key with more fails the job.
     """
     keys = list(key_cols)
     nodes = chunks.select(
@@ -84,4 +84,5 @@ def tree_digest(
             div(F.col("_of") + fan_out - 1, fan_out).alias("_of"),
             (F.col("_root") | (F.col("_of") <= fan_out)).alias("_root"),
         )
-    return nodes.select(*keys, F.col("digest").alias("tree_digest"))
+    short = F.raise_error(F.lit(f"a key has more than {max_chunks} chunks")).cast("binary")
+    return nodes.select(*keys, F.when(F.col("_root"), F.col("digest")).otherwise(short).alias("tree_digest"))

@@ -170,12 +170,17 @@ def _details(root: bytes, path: bytes, opaque: bool, error: str | None) -> tuple
     )
 
 
-def resolved_root(root: str) -> str:
-    """The absolute path of a directory to scan; raises when it is not one."""
+def recorded_root(root: str) -> str:
+    """The root as a manifest records it: absolute and without a scheme, links kept."""
     path = root.removeprefix("file://") if root.startswith("file:///") else root
     if "://" in path:
         raise ValueError(f"the root must be a mounted path: {root}")
-    full = os.path.realpath(path)
+    return os.path.abspath(path)
+
+
+def resolved_root(root: str) -> str:
+    """The absolute path of a directory to scan; raises when it is not one."""
+    full = os.path.realpath(recorded_root(root))
     if not os.path.exists(full):
         raise FileNotFoundError(f"no such root: {root}")
     if not os.path.isdir(full):
