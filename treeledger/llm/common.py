@@ -1,13 +1,15 @@
 """Helpers that the text operators share."""
 
+import sys
 from collections.abc import Sequence
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.sources.scratch import fresh_folder, materialise
 
-__all__ = ["fold", "free_name", "materialise", "offsets", "ordered_table", "table", "written"]
+__all__ = ["fold", "free_name", "materialise", "offsets", "ordered_table", "process_cache", "table", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,3 +51,12 @@ def offsets(totals: DataFrame, part: str, amount: str) -> DataFrame:
         rows.append((row[0], running))
         running += row[1] or 0
     return totals.sparkSession.createDataFrame(rows, f"{part} int, base long")
+
+
+def process_cache() -> dict:
+    """What a Python worker process keeps from one task to the next, for things that cost much to open.
+
+    A module of its own holds it: globals of functions that are shipped by value are new in every task.
+    """
+    keeper = sys.modules.setdefault("_treeledger_process_cache", ModuleType("_treeledger_process_cache"))
+    return keeper.__dict__.setdefault("kept", {})

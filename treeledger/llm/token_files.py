@@ -21,27 +21,32 @@ are ordered by a hash of their text.  An empty table gives an empty file.  A doc
 segment is one.
 """
 
-import gc
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import offsets
+from .common import offsets, process_cache
 
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 _SAMPLE = 256
-_CACHED_WORDS = 100_000  # words remembered; some 200 bytes each
+_PIECE_BYTES = 8 << 20  # text encoded at a time: its distinct words go through the tokenizer once
+_GROUP = 1_000  # words per call of the tokenizer
+_KNOWN_PARTS = 500_000  # parts of words remembered by a worker process; some 50 bytes each
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _SEGMENT = (
     "part int, segment int, first long, n_docs long, n_ids long, doc_ids array<long>, width int, ids binary, "
     "low_bits int, low binary, high binary, samples array<long>"
 )
+_ARROW_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_ARROW_SEGMENT = pa.schema([(name, _ARROW_KINDS[kind]) for name, kind in map(str.split, _SEGMENT.split(", "))])
 
 
 class EliasFano:
@@ -96,136 +101,135 @@ class EliasFano:
         return high | (low.reshape(self.count, -1).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
 
+def _gather(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` (of the given sizes, one after the other) numbered by ``index``, joined."""
+    each = sizes[index]
+    ends = np.cumsum(each, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[index] - (ends - each)
+    place = np.repeat(shift.astype(kind), each)
+    place += np.arange(total, dtype=kind)
+    return flat[place]
+
+
 class WordEncoder:
-    """Encodes texts through the library, each distinct word once while it is remembered.
+    """Encodes texts through the library, each distinct word of a call once.
 
     For vocabularies that lower-case, mark the ends of words and never join characters across ASCII white
     space, the ids of a text are those of its words one after the other, and those of a word with
     punctuation behind a letter or digit are those of the two parts.  Words of letters only are encoded
     many at a time and told apart by the ends of words; should their number not fit, one by one.
+    The opened vocabulary and a bounded table of parts of words stay with the worker process.
     """
 
     def __init__(self, path: str):
         self.path = path
-        self._forget()
-        self.tokenizer = self.ends = None
-
-    def __getstate__(self):
-        return {"path": self.path, "tokenizer": None, "ends": None, "words": {}, "parts": {}}
-
-    def close(self):
-        """Free what is remembered at once; a task's objects may otherwise outlive it in its process."""
-        self._forget()
-        self.tokenizer = self.ends = None
-
-    def _forget(self):
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _open(self):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(self.path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(code.ids, np.uint32) for code in codes]
-
-    def _learn_parts(self, parts: list[bytes]) -> None:
-        decoded = [(part, part.decode("utf-8", "replace")) for part in parts]
-        letters = [pair for pair in decoded if pair[1].isalpha()]
-        single = [pair for pair in decoded if not pair[1].isalpha()]
-        for start in range(0, len(letters), 1_000):
-            group = letters[start : start + 1_000]
-            ids = self._ids([" ".join(text for _, text in group)])[0]
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(group):
-                for (part, _), begin, end in zip(group, [0, *ends.tolist()], ends.tolist(), strict=False):
-                    self.parts[part] = ids[begin:end].tobytes()
-            else:
-                single += group
-        for start in range(0, len(single), 1_000):
-            group = single[start : start + 1_000]
-            for (part, _), ids in zip(group, self._ids([text for _, text in group]), strict=True):
-                self.parts[part] = ids.tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of words not seen before.  No containers are made per word: they would only be collected."""
-        parts, cut = set(), []
-        for word in words:
-            core = word.rstrip(b".,;:!?")
-            last = core[-1:]
-            if len(core) < len(word) and (last.isalnum() or last >= b"\x80" and core.decode("utf-8", "replace")[-1].isalnum()):
-                parts.add(core)
-                cut.append(len(core))
-            else:
-                parts.add(word)
-                cut.append(0)
-        self._learn_parts(list(parts - self.parts.keys()))
-        known, ids = self.parts, self.words
-        for word, size in zip(words, cut, strict=True):
-            if size:
-                tail = word[size:]
-                if tail not in known:
-                    self._learn_parts([tail])
-                ids[word] = known[word[:size]] + known[tail]
-            else:
-                ids[word] = known[word]
+
+    def _kept(self) -> dict:
+        """tokenizer; word_ends: which of its ids end a word; parts known so far, their ids in a row and how many each has."""
+        kept = process_cache()
+        if self.path not in kept:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(self.path)
+            ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            ends[[number for token, number in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+            kept[self.path] = {"tokenizer": tokenizer, "word_ends": ends}
+            self._forget(kept[self.path])
+        return kept[self.path]
+
+    def _forget(self, kept: dict) -> None:
+        kept |= {"parts": pa.array([], pa.large_string()), "ids": np.zeros(0, np.uint32), "sizes": np.zeros(0, np.int32)}
+
+    def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of known parts in a row, how many each has, and the number of each of ``parts`` among them."""
+        kept = self._kept()
+        if len(kept["parts"]) > _KNOWN_PARTS:
+            self._forget(kept)
+        missing = parts.filter(pc.invert(pc.is_in(parts, value_set=kept["parts"])))
+        if len(missing):
+            is_word = pc.utf8_is_alpha(missing)
+            words, others = missing.filter(is_word), missing.filter(pc.invert(is_word))
+            held, sizes = [kept["ids"]], [kept["sizes"]]
+            for group in (words, others):
+                for start in range(0, len(group), _GROUP):
+                    ids, each = self._tokenize(group.slice(start, _GROUP).to_pylist(), group is words)
+                    held.append(ids)
+                    sizes.append(each)
+            kept["parts"] = pa.concat_arrays([kept["parts"], words, others])
+            kept["ids"], kept["sizes"] = np.concatenate(held), np.concatenate(sizes)
+        return kept["ids"], kept["sizes"], pc.index_in(parts, value_set=kept["parts"]).to_numpy()
+
+    def _tokenize(self, texts: list[str], are_words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts in a row, and how many each has."""
+        kept = self._kept()
+        tokenizer = kept["tokenizer"]
+        if are_words:
+            code = tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0]
+            ids = np.array(code.ids, np.uint32)
+            ends = np.flatnonzero(kept["word_ends"][ids]) + 1
+            if len(ends) == len(texts) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0).astype(np.int32)
+        codes = [code.ids for code in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in codes for i in ids], np.uint32), np.array([len(ids) for ids in codes], np.int32)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        if self.tokenizer is None:
-            self._open()
         # A special token is spelt in lower case: lower-casing must not make one.
-        lowered = [b"" if text is None else text if b"<|" in text else text.lower() for text in texts]
-        words, bounds = [], [0]
-        for text in lowered:
-            words += text.split()
-            bounds.append(len(words))
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.words) > _CACHED_WORDS:
-            self._forget()
-        gc.disable()  # hundreds of thousands of small objects that all stay
-        try:
-            self._learn([word for word in distinct if word not in self.words])
-        finally:
-            gc.enable()
-        held = [self.words[word] for word in distinct]
-        flat, sizes = np.frombuffer(b"".join(held), np.uint32), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        lowered = ["" if t is None else (t if b"<|" in t else t.lower()).decode("utf-8", "replace") for t in texts]
+        split = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary
+        # Punctuation behind a letter or digit is a part of its own.
+        core = pc.ascii_rtrim(words, characters=".,;:!?")
+        apart = pc.and_(pc.not_equal(core, words), pc.utf8_is_alnum(pc.utf8_slice_codeunits(core, -1)))
+        tails = pc.replace_substring_regex(words.filter(apart), r"(?s)^.*[^.,;:!?]", "")
+        parts = pa.concat_arrays([pc.if_else(apart, core, words), tails]).dictionary_encode()
+        flat, sizes, place = self._encode_parts(parts.dictionary)
+        number = place[parts.indices.to_numpy()]
+        apart = apart.to_numpy(zero_copy_only=False)
+        first = np.arange(len(words)) + np.cumsum(apart) - apart
+        order = np.empty(len(number), np.int64)
+        order[first] = number[: len(words)]
+        order[first[apart] + 1] = number[len(words) :]
+        word_sizes = sizes[number[: len(words)]]
+        word_sizes[apart] += sizes[number[len(words) :]]
         index = coded.indices.to_numpy()
-        each = sizes[index]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        first = (np.cumsum(sizes) - sizes)[index]
-        place = np.repeat(first - ends[:-1], each)
-        place += np.arange(ends[-1])
-        ids = flat[place]
-        ends = ends[bounds]
+        ids = _gather(_gather(flat, sizes, order), word_sizes, index)
+        ends = np.concatenate([[0], np.cumsum(word_sizes[index], dtype=np.int64)])[split.offsets.to_numpy()]
         return [ids[start:end] for start, end in zip(ends, ends[1:], strict=False)]
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``_PIECE_BYTES`` of text, or one row with more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    number = np.cumsum(sizes, dtype=np.int64) // _PIECE_BYTES
+    starts = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
+    for start, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+        yield batch.slice(start, stop - start)
+
+
 def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
     kind = np.dtype("<u2" if width == 2 else "<u4")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         doc_ids, held, ends, size, first, number = [], [], [], 0, 0, 0
 
         def row():
             code = EliasFano.encode(np.array(ends))
-            ids = np.concatenate(held).astype(kind).tobytes()
-            values = (part, number, first, len(ends), size, doc_ids, width, ids)
+            values = (part, number, first, len(ends), size, doc_ids, width, np.concatenate(held).tobytes())
             values += (code.low_bits, code.low, code.high, code.samples)
-            return pd.DataFrame([values], columns=[column.split()[0] for column in _SEGMENT.split(", ")])
+            columns = [pa.array([v], k) for v, k in zip(values, _ARROW_SEGMENT.types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, schema=_ARROW_SEGMENT)
 
         for batch in batches:
-            for start in range(0, len(batch), 1_000):
-                piece = batch.iloc[start : start + 1_000]
-                codes = encoder.encode(list(piece["text"]))
-                for doc_id, ids in zip(piece["doc_id"].tolist(), codes, strict=True):
-                    doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    held.append(np.append(ids, np.uint32(end_id)))
+            for piece in _pieces(batch):
+                codes = encoder.encode(piece.column("text").to_pylist())
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), codes, strict=True):
+                    doc_ids.append(doc_id)
+                    held.append(np.append(ids, np.uint32(end_id)).astype(kind))
                     size += len(ids) + 1
                     ends.append(size)
                     if size >= segment_ids:
@@ -234,7 +238,6 @@ def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
                         doc_ids, held, ends, size = [], [], [], 0
         if ends:
             yield row()
-        encoder.close()
 
     return write
 
@@ -249,10 +252,8 @@ def write_tokens(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    # As text: pandas would turn a long column with NULLs into floats.
-    placed = placed.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     writer = _segments(WordEncoder(vocabulary), end_id, segment_ids, width)
-    placed.mapInPandas(writer, _SEGMENT).write.mode("overwrite").parquet(folder)
+    placed.mapInArrow(writer, _SEGMENT).write.mode("overwrite").parquet(folder)
 
 
 def _with_base(spark: SparkSession, folder: str) -> DataFrame:
