@@ -264,3 +264,32 @@ def test_a_root_is_recorded_alike_with_and_without_scheme(spark, tmp_path, monke
     monkeypatch.chdir(tmp_path)
     assert not refresh(spark, str(root), store).changed
     assert not refresh(spark, "tree", store).changed
+
+
+@pytest.mark.parametrize("run_id", [None, "audit"])
+def test_a_full_run_takes_only_digests_it_is_told_to_resume(spark, tmp_path, monkeypatch, run_id):
+    root, store = make_tree(tmp_path / "t", {"a": b"one"}), str(tmp_path / "s")
+    build(spark, root, store)
+
+    def interrupted(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Store, "write", interrupted)
+        with pytest.raises(KeyboardInterrupt):
+            refresh(spark, root, store, mode="full", run_id=run_id)
+    # What was staged is marked, to see whether it is taken.
+    (left,) = (tmp_path / "s" / "staging" / "snapshot_id=2").glob("run=*")
+    staged = spark.read.parquet(str(left)).drop("batch").withColumn("sha512", F.lit(b"\1" * 64))
+    rows = spark.createDataFrame(staged.collect(), staged.schema)
+    rows.write.mode("overwrite").parquet(f"{left}/{next(left.glob('batch=*')).name}")
+    full = refresh(spark, root, store, mode="full", run_id=run_id)
+    saved = bytes(full.manifest.first().sha512)
+    assert saved == (hashlib.sha512(b"one").digest() if run_id is None else b"\1" * 64)
+
+
+def test_staging_is_kept_apart_by_all_that_a_digest_depends_on(spark, tmp_path):
+    home = Store(spark, str(tmp_path))
+    runs = [("/a", "sha512", 1), ("/b", "sha512", 1), ("/a", "tree_sha512", 1), ("/a", "sha512", 2)]
+    assert len({home.staging(1, *run) for run in runs}) == len(runs)
+    assert home.staging(1, *runs[0]) == home.staging(1, *runs[0])

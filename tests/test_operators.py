@@ -448,3 +448,11 @@ def test_tree_digest_fails_where_its_bound_is_too_small(spark):
     assert tree_digest(chunks, ["k"], 5, 256, fan_out=2).count() == 1
     with pytest.raises(Exception, match="more than 1 chunks"):
         tree_digest(chunks, ["k"], 1, 256, fan_out=2).collect()
+
+
+def test_null_content_keeps_its_key(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id int, t string")
+    chunks = text_chunks(df, ["id"], F.col("t"), 2)
+    digests = {r.id: r.tree_digest for r in tree_digest(chunks, ["id"], 2).collect()}
+    assert digests.keys() == {1, 2, 3}
+    assert digests[2] is None and None not in (digests[1], digests[3])

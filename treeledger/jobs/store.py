@@ -5,6 +5,7 @@ appended to the ``commits`` table; nothing that is being read is overwritten, so
 an interrupted job leaves the last committed snapshot as it was.
 """
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -44,12 +45,14 @@ class Store:
         table = self.spark.createDataFrame(rows, schema).coalesce(1)
         table.write.mode("append").parquet(f"{self.path}/{name}")
 
-    def staging(self, snapshot_id: int, mode: str) -> str:
-        """Where digests for the coming snapshot are collected until it is committed."""
-        return f"{self.path}/staging/snapshot_id={snapshot_id}-{mode}"
+    def staging(self, snapshot_id: int, *identity) -> str:
+        """Where digests for the coming snapshot are collected until it is committed.
 
-    def drop_staging(self) -> None:
-        delete_folder(self.spark, f"{self.path}/staging")
+        ``identity`` is all that a digest depends on besides the file's path, size and times: runs
+        that differ in it never take each other's digests.
+        """
+        name = hashlib.sha256("\0".join(map(str, identity)).encode()).hexdigest()[:32]
+        return f"{self.path}/staging/snapshot_id={snapshot_id}/run={name}"
 
     def commits(self) -> DataFrame:
         expired = self._table("expired", EXPIRED)
@@ -112,7 +115,8 @@ class Store:
         return self.write(ordered, commit.snapshot_id + 1, commit.roots, commit.digest)
 
     def expire(self, keep: int = 1) -> list[int]:
-        """Withdraw all but the newest ``keep`` snapshots and delete their files."""
+        """Withdraw all but the newest ``keep`` snapshots and delete their files, with
+        what interrupted runs had staged for them."""
         if keep < 1:
             raise ValueError("keep at least one snapshot")
         _, ids = self.snapshots()
@@ -121,6 +125,7 @@ class Store:
             self._append("expired", [(i,) for i in old], EXPIRED)
         for snapshot_id in old:
             delete_folder(self.spark, f"{self.path}/snapshots/snapshot_id={snapshot_id}")
+            delete_folder(self.spark, f"{self.path}/staging/snapshot_id={snapshot_id}")
         return old
 
     def snapshots(self) -> tuple[DataFrame, list[int]]:

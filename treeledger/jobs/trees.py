@@ -1,14 +1,17 @@
 """Building, refreshing and comparing manifests of file trees."""
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.chunks import FAN_OUT
 from ..operators.comparison import compare
 from ..operators.quality import self_check
 from ..operators.planning import any_change, apply_plan, plan_refresh, to_hash
 from ..schemas import DIGESTS, manifest_schema
+from ..sources.content import CHUNK_BYTES
 from ..sources.scratch import delete_folder, fresh_folder, materialise
 from ..sources.tree import list_errors, recorded_root, scan_tree, still_present
 from .hashing import hash_due_chunks, hash_due_files
@@ -59,7 +62,9 @@ def refresh(spark: SparkSession, root: str, store: str, **options) -> Refreshed:
 
     ignore, include: patterns; maxdepth: how deep to look; clean_ignored: also
     drop recorded paths that are ignored; allow_root_change: accept another
-    root than the saved one; mode: "incremental" or "full"; dry_run: plan only;
+    root than the saved one; mode: "incremental" or "full"; run_id: a name for a full
+    run: given again after an interruption, the run goes on with what it had hashed
+    (a full run without one reads every file); dry_run: plan only;
     batch_bytes: how much to hash between commits of the staging table (by default
     16 GiB per core).
     """
@@ -90,6 +95,7 @@ def _run(
     clean_ignored: bool = False,
     allow_root_change: bool = False,
     mode: str = "incremental",
+    run_id: str | None = None,
     dry_run: bool = False,
     batch_bytes: int | None = None,
 ) -> Refreshed:
@@ -119,14 +125,16 @@ def _run(
         return Refreshed(plan, listing, list_errors(listing), False, last.snapshot_id, saved, work)
 
     snapshot_id = last.snapshot_id + 1 if last else 1
-    staging = home.staging(snapshot_id, mode)
+    if mode == "full" and run_id is None:
+        run_id = uuid.uuid4().hex
+    staging = home.staging(snapshot_id, given, digest, CHUNK_BYTES, FAN_OUT, mode, run_id or "")
     hash_due = hash_due_files if digest == "sha512" else hash_due_chunks
     hashed, failed = hash_due(to_hash(plan), root, staging, batch_bytes=batch_bytes)
     per_file = failed.groupBy("relative_path").agg(F.max("error").alias("error"))
     failed = materialise(per_file, f"{work}/failed")
     new = apply_plan(plan, hashed, digest_col=digest)
     manifest = home.write(new, snapshot_id, [given], digest)
-    home.drop_staging()
+    delete_folder(spark, staging)
     hash_errors = failed.select("relative_path", F.lit("hash").alias("stage"), "error")
     errors = list_errors(listing).unionByName(hash_errors)
     return Refreshed(plan, listing, errors, changed, snapshot_id, manifest, work)

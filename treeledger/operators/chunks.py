@@ -21,6 +21,8 @@ def text_chunks(
 ) -> DataFrame:
     """Chunk digests of a string or binary column: key, chunk_no, digest, chunks.
 
+    A NULL column has one chunk with a NULL digest.
+
     The bytes are read as Latin-1, one character each, and cut by one pass of a
     regular expression; taking substrings instead would copy the whole content
     once per chunk.
@@ -36,12 +38,11 @@ def text_chunks(
             div(F.octet_length(content).cast("bigint") + chunk_bytes - 1, chunk_bytes), F.lit(1)
         ).alias("chunks"),
     )
-    # The outer form: for the plain one the optimizer would cut twice, first to
-    # drop rows without pieces.
+    # The outer form keeps rows without pieces, whose content is NULL.
     rows = cut.select(*key_cols, "chunks", F.posexplode_outer("_pieces").alias("_no", "_piece"))
-    return rows.where(F.col("_no").isNotNull()).select(
+    return rows.select(
         *key_cols,
-        F.col("_no").cast("bigint").alias("chunk_no"),
+        F.coalesce("_no", F.lit(0)).cast("bigint").alias("chunk_no"),
         digest(F.encode("_piece", "ISO-8859-1"), bits).alias("digest"),
         "chunks",
     )

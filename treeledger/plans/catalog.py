@@ -308,6 +308,18 @@ def reconcile_lineitem(spark, folder):
     return reconcile_multiset(lineitem, derive.drifted_lineitem(lineitem), keys, values)
 
 
+def reconcile_documents(spark, folder):
+    documents = table(spark, folder, "documents")
+    return reconcile(documents, derive.drifted_documents(documents), ["doc_id"], ["text", "lang"])
+
+
+def reconcile_events(spark, folder):
+    """Instants beside free text and once more inside a nested value."""
+    events = table(spark, folder, "events").withColumn("marks", F.array(F.struct("ts", "user_id")))
+    values = ["ts", "event_type", "props", "marks"]
+    return reconcile(events, derive.drifted_events(events), ["event_id"], values)
+
+
 # Manifest quality and history
 
 
@@ -405,6 +417,8 @@ QUERIES = [
     format_values,
     reconcile_orders,
     reconcile_lineitem,
+    reconcile_documents,
+    reconcile_events,
     manifest_self_check,
     manifest_self_check_clean,
     manifest_violations,

@@ -122,3 +122,26 @@ def drifted_lineitem(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", tax.alias("l_tax"), copies.alias("_copy")
     ).drop("_copy")
+
+
+def drifted_documents(documents: DataFrame) -> DataFrame:
+    """Some documents gone, some with other text or without a language, some new ones with negative ids."""
+    doc = F.col("doc_id")
+    kept = documents.where(doc % 11 != 3).select(
+        "doc_id",
+        F.when(doc % 7 == 2, F.concat("text", F.lit(" "))).otherwise(F.col("text")).alias("text"),
+        F.when(doc % 13 != 5, F.col("lang")).alias("lang"),
+    )
+    return kept.union(documents.where(doc % 17 == 4).select(-doc - 1, "text", "lang"))
+
+
+def drifted_events(events: DataFrame) -> DataFrame:
+    """Some events gone, some a microsecond later, some so only in their nested copy, some with other text."""
+    event, later = F.col("event_id"), F.expr("ts + INTERVAL '0.000001' SECOND")
+    return events.where(event % 9 != 2).select(
+        "event_id",
+        F.when(event % 5 == 1, later).otherwise(F.col("ts")).alias("ts"),
+        "event_type",
+        F.when(event % 8 == 6, F.concat("props", F.lit(","))).otherwise(F.col("props")).alias("props"),
+        F.array(F.struct(F.when(event % 7 == 3, later).otherwise(F.col("ts")).alias("ts"), "user_id")).alias("marks"),
+    )

@@ -343,6 +343,28 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN right_rows = 0 THEN 'only_left' WHEN left_rows = 0 THEN 'only_right'
                         WHEN left_rows <> right_rows THEN 'count_differs' ELSE 'match' END AS status
             FROM counted""",
+        "reconcile_documents": """WITH moved AS (
+                SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN text || ' ' ELSE text END AS text,
+                       CASE WHEN doc_id % 13 = 5 THEN NULL ELSE lang END AS lang
+                FROM documents WHERE doc_id % 11 <> 3
+                UNION ALL SELECT -doc_id - 1, text, lang FROM documents WHERE doc_id % 17 = 4)
+            SELECT coalesce(d.doc_id, m.doc_id) AS doc_id,
+                   CASE WHEN m.doc_id IS NULL THEN 'only_left' WHEN d.doc_id IS NULL THEN 'only_right'
+                        WHEN (d.text, d.lang) IS NOT DISTINCT FROM (m.text, m.lang) THEN 'match'
+                        ELSE 'mismatch' END AS status
+            FROM documents d FULL JOIN moved m ON d.doc_id = m.doc_id""",
+        "reconcile_events": """WITH moved AS (
+                SELECT event_id, event_type,
+                       CASE WHEN event_id % 5 = 1 THEN ts + INTERVAL 1 MICROSECOND ELSE ts END AS ts,
+                       CASE WHEN event_id % 7 = 3 THEN ts + INTERVAL 1 MICROSECOND ELSE ts END AS mark,
+                       CASE WHEN event_id % 8 = 6 THEN props || ',' ELSE props END AS props
+                FROM events WHERE event_id % 9 <> 2)
+            SELECT e.event_id,
+                   CASE WHEN m.event_id IS NULL THEN 'only_left'
+                        WHEN (e.ts, e.ts, e.event_type, e.props)
+                             IS NOT DISTINCT FROM (m.ts, m.mark, m.event_type, m.props) THEN 'match'
+                        ELSE 'mismatch' END AS status
+            FROM events e LEFT JOIN moved m ON e.event_id = m.event_id""",
         "manifest_self_check": f"WITH {_FAULTY} {_self_check()}",
         "manifest_self_check_clean": f"WITH {_CLEAN} {_self_check()}",
         "manifest_violations": f"WITH {_FAULTY} "
