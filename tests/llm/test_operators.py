@@ -470,3 +470,29 @@ def test_cuckoo_filter_inserts_and_deletes():
     assert all(cuckoo.delete(*key) for key in keys[:2500])
     assert all(key in cuckoo for key in keys[2500:])
     assert sum(key in cuckoo for key in keys[:2500]) <= 2 and not cuckoo.delete(*others[0])
+
+
+def test_word_encoder_equals_the_tokenizer_on_whole_texts():
+    """Special tokens in both cases, combining and joined letters, several digits, bytes that are no text."""
+    from tokenizers import Tokenizer
+
+    texts = [
+        "İstanbul ÀB² x. a!? <|EndOfText|> <|endoftext|>. <|startoftext|>q, é ñ.".encode(),
+        "'S it's. don't, 12.5 ２. x y.\x1fz \x0b\x85 ½; ́a. 漢字。한국어. ᄒ ᅡ ﬁ. Ǆ ß. ﻿".encode(),
+        b"\xff\xfe a. \xc3", b"A\x00b.", b" \n ", b"", None, b"again again. AGAIN," * 50,
+    ]
+    tokenizer, encoder = Tokenizer.from_file(VOCABULARY), token_files.WordEncoder(VOCABULARY)
+    for _ in range(2):  # the second time from what is remembered
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            whole = "" if text is None else text.decode("utf-8", "replace")
+            assert ids.tolist() == tokenizer.encode(whole, add_special_tokens=False).ids
+    assert encoder.encode([]) == []
+
+
+def test_word_encoder_forgets_beyond_its_bound(monkeypatch):
+    monkeypatch.setattr(token_files, "_KNOWN_PARTS", 3)
+    encoder = token_files.WordEncoder(VOCABULARY)
+    first = [ids.tolist() for ids in encoder.encode([b"one two three four five, six"])]
+    encoder.encode([b"seven eight"])
+    assert len(encoder._kept()["parts"]) < 6
+    assert [ids.tolist() for ids in encoder.encode([b"one two three four five, six"])] == first
