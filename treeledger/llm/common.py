@@ -1,15 +1,19 @@
 """Helpers that the text operators share."""
 
+import ctypes
 import sys
 from collections.abc import Sequence
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeledger.sources.scratch import fresh_folder, materialise
 
-__all__ = ["fold", "free_name", "materialise", "offsets", "ordered_table", "process_cache", "table", "written"]
+__all__ = [
+    "fold", "free_name", "materialise", "offsets", "ordered_table", "process_cache", "release_memory", "table", "written"
+]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,3 +64,14 @@ def process_cache() -> dict:
     """
     keeper = sys.modules.setdefault("_treeledger_process_cache", ModuleType("_treeledger_process_cache"))
     return keeper.__dict__.setdefault("kept", {})
+
+
+def release_memory() -> None:
+    """Give what this worker process has freed back to the system.
+
+    Worker processes outlive their tasks; what they keep for reuse is missing beside them.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # where the C library has it
+        trim(0)

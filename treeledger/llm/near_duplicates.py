@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release_memory, written
 
 BANDS = 40
 ROWS = 5
@@ -120,6 +120,7 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
                 rows.append((len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), *signer.sign(shingles)))
             else:
                 rows.append((0, None, None, None))
+        release_memory()
         return pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
 
     return docs.select("doc_id", sign(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")

@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import offsets, process_cache
+from .common import offsets, process_cache, release_memory
 
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 _SAMPLE = 256
-_PIECE_BYTES = 8 << 20  # text encoded at a time: its distinct words go through the tokenizer once
+_PIECE_BYTES = 4 << 20  # text encoded at a time: its distinct words go through the tokenizer once
 _GROUP = 1_000  # words per call of the tokenizer
 _KNOWN_PARTS = 500_000  # parts of words remembered by a worker process; some 50 bytes each
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.int64)
@@ -214,6 +214,7 @@ def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
     kind = np.dtype("<u2" if width == 2 else "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # of earlier tasks
         part = TaskContext.get().partitionId()
         doc_ids, held, ends, size, first, number = [], [], [], 0, 0, 0
 
@@ -236,6 +237,8 @@ def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
                         yield row()
                         number, first = number + 1, first + size
                         doc_ids, held, ends, size = [], [], [], 0
+                codes = None
+                release_memory()
         if ends:
             yield row()
 
