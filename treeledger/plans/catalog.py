@@ -121,6 +121,13 @@ def digest_pages_sha512(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.hex(digest("html")).alias("sha512"))
 
 
+def digest_copies(spark, folder):
+    """Equal content found by its SHA-512: the smallest id and the number of copies of each."""
+    hashed = _documents(spark, folder).select("doc_id", digest("text").alias("sha512"))
+    copies = hashed.groupBy("sha512").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return copies.drop("sha512")
+
+
 def chunk_digests(spark, folder):
     chunks = text_chunks(_documents(spark, folder), ["doc_id"], F.col("text"), CHUNK, bits=256)
     return chunks.select("doc_id", "chunk_no", F.hex("digest").alias("chunk_sha256"), "chunks")
@@ -395,6 +402,7 @@ QUERIES = [
     compare_multi_root,
     digest_documents,
     digest_pages_sha512,
+    digest_copies,
     chunk_digests,
     chunk_tree_digest,
     filter_ignore,

@@ -257,6 +257,7 @@ def oracle_sql() -> dict[str, str]:
                    substr(a.relative_path, strpos(a.relative_path, '/') + 1) AS relative_path
             FROM a JOIN b ON a.relative_path = b.relative_path AND a.digest <> b.digest""",
         "digest_documents": "SELECT doc_id, upper(sha256(text)) AS sha256 FROM documents",
+        "digest_copies": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text",
         "chunk_digests": f"WITH {_CHUNKS} SELECT doc_id, chunk_no, upper(hex) AS chunk_sha256, chunks FROM chunks",
         "chunk_tree_digest": f"WITH {_CHUNKS}, {_LEVELS} SELECT doc_id, upper(hex) AS tree_sha256 FROM level3",
         "filter_ignore": f"WITH {_A} SELECT relative_path FROM a WHERE NOT regexp_matches(relative_path, '^src1/')",
