@@ -204,6 +204,27 @@ def test_neighbours_with_copies_and_unusable_vectors(spark):
     assert neighbours.nearest(table.limit(0), table).count() == 0
 
 
+def test_neighbours_hold_a_bounded_block_of_queries(spark):
+    """As many queries as vectors: no group holds all of either, and the answers are those of one group."""
+    draw = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in row]) for i, row in enumerate(draw.normal(size=(600, 12)))]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    numbered = table.select("embedding", table["vec_id"].alias("query"))
+    classes, wanted = neighbours._paired(table, numbered, 3, 10)
+    for side, most in ((classes, 300), (wanted, 120)):
+        sizes = [row["count"] for row in side.groupBy("block", "query_block").count().collect()]
+        assert len(sizes) == 30 and max(sizes) <= most
+    met = classes.select("block", "query_block", "vec_id").join(wanted.drop("embedding"), ["block", "query_block"])
+    assert met.count() == met.select("vec_id", "query").distinct().count() == 600 * 600
+    answers = [
+        sorted(map(tuple, neighbours.nearest(table, table, block_rows=200, query_rows=rows, enough=200).collect()))
+        for rows in (60, 600)
+    ]
+    assert answers[0] == answers[1]
+    want = brute_nearest(vectors, vectors)
+    assert [v for q, _, v, _ in answers[0]] == [v for q in sorted(want) for v, _ in want[q]]
+
+
 # --- mixing
 
 

@@ -15,9 +15,10 @@ These are ranked by the cosine of the original vectors in double precision.
 Equal vectors are one class: only classes are indexed and searched, each with its smallest ids, as many
 as can be among the answers, so a vector that fills a third of the table is one entry.
 
-Blocks are groups of a hash of the vector; queries are copied to each block (their number is a fixed
-share of the rows, and only they are copied), the best of each block are merged by a window whose limit
-Spark applies before the shuffle.
+Blocks are groups of a hash of the vector, and so are blocks of about ``query_rows`` queries.  Every block
+meets every block of queries in a task of its own, which holds these two and nothing else, whatever the
+size of the table.  Answers carry the number of the query, not its vector; the best of each block are
+merged by a window whose limit Spark applies before the shuffle.
 
 Defined cases: vectors that are NULL, empty, all zero, of another length than most or with a NULL or
 non-finite component take no part.  Ties go to the smaller id.  With fewer candidates than ``k`` all are
@@ -37,6 +38,7 @@ from .common import written
 BITS = 128
 PIECE_BITS = 16
 BLOCK_ROWS = 16_384
+QUERY_ROWS = 4_096
 ENOUGH = 600
 SAMPLE = 4_096
 
@@ -140,6 +142,20 @@ def learn(classes: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> Rotatio
     return Rotations(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), bits)
 
 
+def _paired(classes: DataFrame, wanted: DataFrame, blocks: int, query_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both with ``block`` and ``query_block``: each class meets each query in one group of the two columns."""
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    block = F.pmod(F.xxhash64(F.lit(3), "embedding"), F.lit(blocks).cast("long"))
+    query_block = F.pmod(F.xxhash64(F.lit(5), "embedding"), F.lit(query_blocks).cast("long"))
+    return (
+        classes.withColumn("block", block).withColumn("query_block", every(query_blocks)),
+        wanted.withColumn("query_block", query_block).withColumn("block", every(blocks)),
+    )
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -149,6 +165,7 @@ def nearest(
     enough: int = ENOUGH,
     sample: int = SAMPLE,
     dim: int | None = None,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of ``vectors`` (vec_id, embedding) to each of ``queries``."""
     usable, dim = _usable(vectors, dim)
@@ -163,39 +180,40 @@ def nearest(
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rotations = learn(classes, bits, sample)
     blocks = -(-count // block_rows)
-    wanted = written(asked.select("embedding").distinct().withColumn("query", F.xxhash64("embedding")))
-    schema = "asked array<double>, members array<long>, score double"
+    # Written, so that its numbers are fixed.
+    wanted = written(asked.select("embedding").distinct().withColumn("query", F.monotonically_increasing_id()))
+    query_blocks = max(1, -(-wanted.count() // query_rows))
+    schema = "query long, members array<long>, score double"
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=["asked", "members", "score"])
+        empty = pd.DataFrame(columns=["query", "members", "score"])
         if left.empty or right.empty:
             return empty
         base, query = np.stack(left["embedding"]), np.stack(right["embedding"])
         size, query_size = np.linalg.norm(base, axis=1), np.linalg.norm(query, axis=1)
         index = MultiIndex(rotations.codes(base / size[:, None]))
         codes = rotations.codes(query / query_size[:, None])
-        members, found = left["members"].to_numpy(), []
+        members, numbers, found = left["members"].to_numpy(), right["query"].to_numpy(), []
         for i, code in enumerate(codes):
             rows = index.search(code, enough)
             score = base[rows] @ query[i] / (size[rows] * query_size[i])
             firsts = np.fromiter((members[row][0] for row in rows), np.int64, len(rows))
             for j in np.lexsort((firsts, -score))[: k + 1]:
-                found.append((query[i], members[rows[j]], float(score[j])))
-        return pd.DataFrame(found, columns=["asked", "members", "score"]) if found else empty
-
-    block = F.pmod(F.xxhash64(F.lit(3), "embedding"), F.lit(blocks))
-    base = classes.withColumn("block", block).groupBy("block")
-    copies = wanted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = base.cogroup(copies.groupBy("block")).applyInPandas(search, schema)
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), F.col("members")[0])
+                found.append((numbers[i], members[rows[j]], float(score[j])))
+        return pd.DataFrame(found, columns=["query", "members", "score"]) if found else empty
+
+    base, copies = (side.groupBy("block", "query_block") for side in _paired(classes, wanted, blocks, query_blocks))
+    found = base.cogroup(copies).applyInPandas(search, schema)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("members")[0])
     kept = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-    answers = written(kept.groupBy("asked").agg(F.collect_list(F.struct("score", "members")).alias("near")))
+    answers = written(kept.groupBy("query").agg(F.collect_list(F.struct("score", "members")).alias("near")))
     # Each query against the members of its few classes.
     spread = F.flatten(
         F.transform("near", lambda c: F.transform(c["members"], lambda m: F.struct((-c["score"]).alias("s"), m.alias("m"))))
     )
     # A query's answers come from its own row: rank is the place after sorting.
-    rows = asked.join(answers, F.col("embedding") == F.col("asked")).select(F.col("vec_id").alias("query_id"), spread.alias("all"))
+    rows = asked.join(wanted, "embedding").select(F.col("vec_id").alias("query_id"), "query").join(answers, "query")
+    rows = rows.select("query_id", spread.alias("all"))
     own = F.filter("all", lambda c: c["m"] != F.col("query_id"))
     ranked = rows.select("query_id", F.posexplode(F.slice(F.array_sort(own), 1, k)).alias("at", "c"))
     return ranked.select(
