@@ -354,6 +354,8 @@ def test_cross_parsing_counts_greedy_phrases():
 
 # --- licences
 
+TITLED = ("MIT", "BSD-2-Clause", "BSD-3-Clause")
+
 
 def test_licences_in_any_spelling(spark):
     isc = dict((name, text) for name, text in licences.NOTICES if name == "ISC")["ISC"]
@@ -378,6 +380,27 @@ def test_licences_in_any_spelling(spark):
     assert licences.scan_licences(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_licences_that_are_whole_documents(spark):
+    """Every full text as it is kept, rewrapped and commented, and with holders of its own."""
+    texts, want = [], []
+    kept = {name: text.strip("\n") for name, text in licences.full_texts()}
+    assert kept.keys() >= {"MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"}
+    for name, text in sorted(kept.items()):
+        texts += [text, "\n".join(f" * {line}  " for line in text.split("\n"))]
+        want += [name] * 2
+    plain = {name: kept[name][kept[name].index("Redistribution" if "BSD" in name else "Permission") :] for name in TITLED}
+    for name, body in plain.items():
+        for head in ("Copyright (c) 2019, A. Author\nAll rights reserved.\n", "Copyright The X Authors\n", "© 2020 B\n", ""):
+            texts.append(f"{head}\n{body}")
+            want.append(name)
+    named = plain["BSD-3-Clause"].replace("the University", "Initech").replace("REGENTS", "COPYRIGHT HOLDERS")
+    apache = kept["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Initech")
+    texts += [f"Copyright Initech Inc.\n{named}", apache, apache.split("APPENDIX")[0], plain["MIT"] + "\nbut not for Initech"]
+    want += ["BSD-3-Clause", "Apache-2.0", "Apache-2.0", ""]
+    rows = {row.doc_id: row for row in licences.scan_licences(documents(spark, texts)).collect()}
+    assert [(",".join(rows[i].licences), rows[i].entire) for i in range(len(texts))] == [(name, name != "") for name in want]
+
+
 # --- near duplicates
 
 
