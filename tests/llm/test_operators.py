@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from treeledger.llm import (
     decontamination,
@@ -533,6 +533,29 @@ def test_word_encoder_equals_the_tokenizer_on_whole_texts():
     assert encoder.encode([]) == []
 
 
+def test_word_encoder_at_letters_that_end_in_a_mark():
+    """Letters that lower-case or compose to a letter and a mark, before punctuation."""
+    tokenizer, encoder = Tokenizer.from_file(VOCABULARY), token_files.WordEncoder(VOCABULARY)
+    texts = ["evİ.", "GELDİ. evİ, İ! ev.", "\u0958. a\u0958; \ufb1d? \ufb2a!", "é. ß, ж: 語! ٣. x1. Σ."]
+    for text, ids in zip(texts, encoder.encode([text.encode() for text in texts]), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_of_a_large_vocabulary(spark, tmp_path):
+    """Ids of 65,536 and more keep their value, or the width is refused."""
+    path, folder = str(tmp_path / "large.json"), str(tmp_path / "tokens")
+    tokenizer = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    tokenizer.save(path)
+    docs = documents(spark, ["w69999 w1 w65536"])
+    token_files.write_tokens(docs, folder, path)
+    assert [row.ids for row in token_files.read_tokens(spark, folder).collect()] == [[69999, 1, 65536, 2]]
+    with pytest.raises(ValueError, match="width 2"):
+        token_files.write_tokens(docs, folder, path, width=2)
+    with pytest.raises(ValueError, match="width 2"):
+        token_files.write_tokens(docs, folder, VOCABULARY, end_id=70_000, width=2)
+
+
 def test_word_encoder_forgets_beyond_its_bound(monkeypatch):
     monkeypatch.setattr(token_files, "_KNOWN_PARTS", 3)
     encoder = token_files.WordEncoder(VOCABULARY)

@@ -118,7 +118,8 @@ class WordEncoder:
 
     For vocabularies that lower-case, mark the ends of words and never join characters across ASCII white
     space, the ids of a text are those of its words one after the other, and those of a word with
-    punctuation behind a letter or digit are those of the two parts.  Words of letters only are encoded
+    punctuation behind an ASCII letter or digit are those of the two parts.  Other letters may end in a
+    combining mark once they are normalised, which the punctuation would join.  Words of letters only are encoded
     many at a time and told apart by the ends of words; should their number not fit, one by one.
     The opened vocabulary and a bounded table of parts of words stay with the worker process.
     """
@@ -181,9 +182,9 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
         coded = split.values.dictionary_encode()
         words = coded.dictionary
-        # Punctuation behind a letter or digit is a part of its own.
+        # Punctuation behind an ASCII letter or digit is a part of its own.
         core = pc.ascii_rtrim(words, characters=".,;:!?")
-        apart = pc.and_(pc.not_equal(core, words), pc.utf8_is_alnum(pc.utf8_slice_codeunits(core, -1)))
+        apart = pc.and_(pc.not_equal(core, words), pc.match_substring_regex(core, "[A-Za-z0-9]$"))
         tails = pc.replace_substring_regex(words.filter(apart), r"(?s)^.*[^.,;:!?]", "")
         parts = pa.concat_arrays([pc.if_else(apart, core, words), tails]).dictionary_encode()
         flat, sizes, place = self._encode_parts(parts.dictionary)
@@ -245,13 +246,25 @@ def _segments(encoder: WordEncoder, end_id: int, segment_ids: int, width: int):
     return write
 
 
+def _width(vocabulary: str, end_id: int, width: int | None) -> int:
+    """Bytes per id: what is asked for, if all ids fit, else the least that holds them."""
+    from tokenizers import Tokenizer
+
+    largest = max([end_id, *Tokenizer.from_file(vocabulary).get_vocab().values()])
+    least = 2 if largest < 1 << 16 else 4
+    if width is not None and (width not in (2, 4) or width < least):
+        raise ValueError(f"width {width} does not hold ids up to {largest}")
+    return width or least
+
+
 def write_tokens(
-    docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, width: int = 2
+    docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, width: int | None = None
 ) -> None:
     """Encode every row of ``docs`` (doc_id, text) and write the segments to ``folder``.
 
-    ``width``: bytes per id; 2 for vocabularies below 65,536 ids.
+    ``width``: bytes per id, 2 or 4; by default 2 for vocabularies whose ids are all below 65,536.
     """
+    width = _width(vocabulary, end_id, width)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
