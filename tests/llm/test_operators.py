@@ -108,6 +108,29 @@ def test_decontamination_against_brute_force(spark, block_bytes):
             assert texts[row.doc_id][start:end].strip() == texts[row.doc_id][start:end] != ""
 
 
+def test_decontamination_blocks_are_bounded_and_give_the_answers_of_one(spark):
+    """Several full-size blocks, one of them within a long item: each automaton is small, the spans are the same."""
+    draw = random.Random(7)
+    long = words(1, 12_000, 10**6)
+    items = [("long", long), ("last", "one two three")]
+    items += [(f"i{i}", words(i + 2, 40, 10**6)) for i in range(4000)]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    blocks = list(decontamination._blocks(table, 10, decontamination.BLOCK_BYTES))
+    assert len(blocks) >= 3
+    for block in blocks:
+        scanner = decontamination.Scanner(block, 10)
+        scanner.scan(b"a")
+        assert scanner.automaton.get_stats()["total_size"] < 250 << 20
+    texts = [f"x {items[draw.randrange(2, len(items))][1]} y" for _ in range(40)] + [f"x {long}", "One two, three", "none", None]
+    docs = documents(spark, texts)
+    found = [
+        sorted(map(repr, decontamination.decontaminate(docs, table, block_bytes=size).collect()))
+        for size in (decontamination.BLOCK_BYTES, 1 << 30)
+    ]
+    assert found[0] == found[1]
+    assert sum("contaminated=True" in row for row in found[0]) == 42
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = documents(spark, ["a b", None])

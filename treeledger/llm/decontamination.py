@@ -5,8 +5,10 @@ runs of ten words (the whole item, if it has fewer).  The automaton holds every
 both ends, so that it matches whole words only, and reads each text once, whatever the number of items.
 Word numbers and code-point offsets of what it finds refer to the original text.
 
-Items are held in blocks of at most ``block_bytes`` of text: a larger benchmark is scanned block after
-block, and the answers of a row are united, so no task holds more than one block.
+Items are held in blocks whose windows have at most ``block_bytes`` of text together (or one window), which
+bounds the nodes of the automaton; a long item is spread over several.  A larger benchmark is scanned block
+after block, keeping of each what it met, and the answers of a row are united, so no task holds more than
+one block.
 
 Defined cases: NULL or wordless texts and items have no words and match nothing.  Equal items each count.
 An item without an id marks words but is not counted.  Every row of ``docs`` gives one row.
@@ -21,11 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
-_RESULT = "n_words long, items array<string>, hits array<struct<first:long,last:long,start:long,end:long>>"
+BLOCK_BYTES = 4 << 20  # of windows, which overlap: some 0.4 MiB of items
+_RUNS = "array<struct<first:long,last:long,start:long,end:long>>"
+_RESULT = f"n_words long, items array<string>, hits {_RUNS}"
 # A-Z lower-cased, other ASCII but a-z and 0-9 to blanks, everything else as it is.
 _NORMAL = bytes(
     b if b >= 128 or chr(b).isalnum() else 32 for b in (ord(chr(b).lower()) if b < 128 else b for b in range(256))
@@ -86,18 +89,25 @@ class Scanner:
         return len(words), sorted(items), runs
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Items in blocks of bounded size, read one partition at a time; at least one block."""
+def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Items, or runs of their windows, in blocks of bounded size, read one partition at a time; at least one block."""
     rows = items.where(F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")
     )
     block, size = [], 0
     for row in rows.toLocalIterator():
-        if block and size + len(row.text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.item, bytes(row.text)))
-        size += len(row.text)
+        words, first = words_of(bytes(row.text)), 0
+        count = max(1, len(words) - window + 1) if words else 0
+        for i in range(count):
+            added = sum(len(word) + 1 for word in words[i : i + window]) + 1
+            if size and size + added > block_bytes:
+                if i > first:
+                    block.append((row.item, b" ".join(words[first : i - 1 + window])))
+                yield block
+                block, size, first = [], 0, i
+            size += added
+        if count:
+            block.append((row.item, b" ".join(words[first:])))
     yield block
 
 
@@ -110,23 +120,54 @@ def _scanning(scanner: Scanner):
     return scan
 
 
+def _joining():
+    """Runs of several blocks as those of one: in order, without overlap."""
+
+    @F.pandas_udf(_RUNS)
+    def join(hits: pd.Series) -> pd.Series:
+        result = []
+        for runs in hits:
+            held = [] if runs is None else runs  # NULL where other blocks met nothing
+            joined = []
+            for run in sorted((r["first"], r["last"], r["start"], r["end"]) for r in held):
+                if joined and run[0] <= joined[-1][1] + 1:
+                    joined[-1] = max(joined[-1], (joined[-1][0], run[1], joined[-1][2], run[3]))
+                else:
+                    joined.append(run)
+            result.append(joined)
+        return pd.Series(result, dtype=object)
+
+    return join
+
+
 def find_contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "found"
 ) -> DataFrame:
     """``docs`` with a struct ``name``: n_words, items, and hits (runs of hit words and their offsets)."""
-    for number, block in enumerate(_blocks(items, block_bytes)):
-        found = _scanning(Scanner(block, window))(F.col("text").cast("binary"))
-        if number == 0:
-            docs = docs.withColumn(name, found)
-        else:
-            docs = written(docs.withColumn(f"{name}_more", found))
-            both = F.struct(
-                F.col(name)["n_words"].alias("n_words"),
-                F.array_union(F.col(name)["items"], F.col(f"{name}_more")["items"]).alias("items"),
-                F.array_union(F.col(name)["hits"], F.col(f"{name}_more")["hits"]).alias("hits"),
-            )
-            docs = docs.withColumn(name, both).drop(f"{name}_more")
-    return docs
+    blocks = _blocks(items, window, block_bytes)
+    docs = docs.withColumn(name, _scanning(Scanner(next(blocks), window))(F.col("text").cast("binary")))
+    more, row, other = None, free_name(docs, "row"), free_name(docs, "more")
+    for block in blocks:
+        if more is None:
+            # Written, so that its numbers are fixed.
+            docs = written(docs.withColumn(row, F.monotonically_increasing_id()))
+        found = docs.select(row, _scanning(Scanner(block, window))(F.col("text").cast("binary")).alias("f"))
+        part = written(found.where(F.size("f.hits") > 0).select(row, "f.items", "f.hits"))
+        more = part if more is None else more.unionByName(part)
+    if more is None:
+        return docs
+    united = more.groupBy(row).agg(
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("hits")).alias("hits")
+    )
+    docs = docs.join(united.select(row, F.struct("items", "hits").alias(other)), row, "left").drop(row)
+    runs = _joining()(F.concat(F.col(name)["hits"], F.col(other)["hits"]))
+    both = F.struct(
+        F.col(name)["n_words"].alias("n_words"),
+        F.array_sort(F.array_union(F.col(name)["items"], F.col(other)["items"])).alias("items"),
+        runs.alias("hits"),
+    )
+    # Written, so that the runs are joined once.
+    return written(docs.withColumn(name, F.when(F.col(other).isNull(), F.col(name)).otherwise(both)).drop(other))
 
 
 def hit_words(hits) -> F.Column:
