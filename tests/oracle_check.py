@@ -44,7 +44,10 @@ def difference(spark, con, query, sql, folder):
     if sorted(df.columns) != sorted(names):
         return f"columns {df.columns} / {names}"
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    expect = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
+    expect = {
+        "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER", "double": "DOUBLE",
+        "array<string>": "VARCHAR[]", "timestamp": "TIMESTAMP WITH TIME ZONE",
+    }
     wrong = {
         d[0]: (kinds[d[0]], str(d[1])) for d in result.description if expect.get(kinds[d[0]]) != str(d[1])
     }

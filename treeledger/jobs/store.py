@@ -54,6 +54,10 @@ class Store:
         name = hashlib.sha256("\0".join(map(str, identity)).encode()).hexdigest()[:32]
         return f"{self.path}/staging/snapshot_id={snapshot_id}/run={name}"
 
+    def clear_staging(self, snapshot_id: int) -> None:
+        """Delete what all runs have staged for a snapshot, once it is committed."""
+        delete_folder(self.spark, f"{self.path}/staging/snapshot_id={snapshot_id}")
+
     def commits(self) -> DataFrame:
         expired = self._table("expired", EXPIRED)
         return self._table("commits", COMMITS).join(expired, "snapshot_id", "left_anti")

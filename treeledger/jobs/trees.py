@@ -134,7 +134,7 @@ def _run(
     failed = materialise(per_file, f"{work}/failed")
     new = apply_plan(plan, hashed, digest_col=digest)
     manifest = home.write(new, snapshot_id, [given], digest)
-    delete_folder(spark, staging)
+    home.clear_staging(snapshot_id)
     hash_errors = failed.select("relative_path", F.lit("hash").alias("stage"), "error")
     errors = list_errors(listing).unionByName(hash_errors)
     return Refreshed(plan, listing, errors, changed, snapshot_id, manifest, work)
