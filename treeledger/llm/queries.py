@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from treeledger.sources.scratch import fresh_folder
 
-from . import decontamination, language, licences, line_dedup, mixing, near_duplicates, neighbours, secrets
-from . import token_files, toxicity
+from . import decontamination, language, licences, line_dedup, mixing, near_duplicates, near_vectors, neighbours
+from . import repetition, secrets, token_files, toxicity, whitening
 from .common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -88,9 +88,55 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``docs``, where a tenth of the texts, by the CRC-32 of doc_id, repeat a part of themselves from
+    some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    whole = F.coalesce(F.pmod(h, F.lit(10)) != 0, F.lit(True))
+    # A column of its own, generated, so that the words are looked for once.
+    words = F.when(~whole, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = docs.select("doc_id", "text", F.call_function("div", h, F.lit(10)).alias("g"), F.explode(F.array(words)).alias("w"))
+    n = F.size("w")
+    a = F.pmod("g", n).cast("int")
+    p = (1 + F.call_function("div", n - a, 3 + F.pmod("g", F.lit(8)))).cast("int")
+    times = F.call_function("div", n - a + p - 1, p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), times)), 1, n - a)
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), a), tail), " ")
+    return docs.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = planted(table(spark, folder, "documents").select("doc_id", "text"))
+    runs, digest = F.col("found.runs"), lambda column: F.sha2(column, 256)
+    best = F.array_max(F.transform(runs, lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size(runs) > 0, "\n").otherwise(""))
+    found = repetition.find_runs(docs).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"),
+        digest(text).alias("runs_sha256"), digest("found.collapsed").alias("collapsed_sha256"),
+    )
+    start, length, period = -F.col("best.col2"), F.col("best.length"), -F.col("best.col3")
+    milli = F.call_function("div", length * 1000, period)
+    return found.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+        milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    # NULL where the exact number has no 64-bit form.
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_decontamination, op3_secrets, op4_neighbours, op5_mixing,
         op6_tokens, op7_language, op8_licences, op9_near_duplicates, op10_line_dedup,
+        op11_periodic_runs, op12_near_vectors, op13_whitening,
     ]
     return {query.__name__: query for query in found}
