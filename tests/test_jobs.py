@@ -275,7 +275,7 @@ def test_a_full_run_takes_only_digests_it_is_told_to_resume(spark, tmp_path, mon
         raise KeyboardInterrupt
 
     with monkeypatch.context() as patch:
-        patch.setattr(Store, "write", interrupted)
+        patch.setattr(Store, "_commit", interrupted)
         with pytest.raises(KeyboardInterrupt):
             refresh(spark, root, store, mode="full", run_id=run_id)
     # What was staged is marked, to see whether it is taken.

@@ -141,6 +141,33 @@ def apply_plan(
     return carried.unionByName(rehashed)
 
 
+def plan_changes(
+    plan: DataFrame,
+    hashed: DataFrame,
+    key_cols: Sequence[str] = PATH_KEY,
+    digest_col: str = "sha512",
+) -> DataFrame:
+    """What carrying out the plan changes in the manifest: key, columns, ``removed``, and ``had`` with the old
+    size and digest where the path had a row.  The rows ``apply_plan`` gives are those of the manifest with
+    these merged in.
+    """
+    keys = list(key_cols)
+    was = [F.col("was_size"), F.col("was_" + digest_col)]
+    had = F.col("change_mask") != NOT_COMPARED
+    done = hashed.where(F.col(digest_col).isNotNull()).select(*keys, *_METADATA, digest_col)
+    due = plan.where(F.col("action").isin(*HASH_ACTIONS))
+    new = due.select(*keys, *was, had.alias("had")).join(done, keys).select(
+        *keys, *_METADATA, digest_col, F.lit(None).cast("bigint").alias("bytes_hashed"),
+        F.lit(False).alias("removed"), "had", *was,
+    )
+    nothing = {name: F.lit(None).cast(plan.schema["was_" + name].dataType) for name in (*_METADATA, digest_col, "bytes_hashed")}
+    gone = plan.where(F.col("action").isin(*DELETE_ACTIONS)).select(
+        *keys, *[value.alias(name) for name, value in nothing.items()],
+        F.lit(True).alias("removed"), F.lit(True).alias("had"), *was,
+    )
+    return new.unionByName(gone)
+
+
 def any_change(plan: DataFrame) -> DataFrame:
     """One row: does carrying out the plan change the manifest?"""
     changing = F.col("action").isin(*HASH_ACTIONS, *DELETE_ACTIONS)

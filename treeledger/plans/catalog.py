@@ -25,13 +25,22 @@ from ..operators import (
     any_change,
     apply_plan,
     change_report,
+    changes_between,
     compare,
+    compare_directories,
+    counts_with_matches,
+    differences,
+    digest_tree,
     history,
+    latest_changes,
+    leaf_bits,
+    merge_changes,
     merged_roots,
     mismatched,
     only_in,
     plan_refresh,
     reconcile,
+    reconcile_by_sketch,
     reconcile_multiset,
     report,
     self_check,
@@ -45,7 +54,7 @@ from ..operators import (
 )
 from ..sources import hash_files, scan_tree
 from ..sources.content import task_count
-from ..sources.scratch import fresh_folder
+from ..sources.scratch import fresh_folder, materialise
 from . import derive
 from .derive import table
 
@@ -110,6 +119,44 @@ def compare_multi_root(spark, folder):
     return mismatched(a, b, key_cols=("prefix", "relative_path")).orderBy("prefix", "relative_path")
 
 
+def _with_trees(*manifests):
+    """Manifests and their digest trees as a store keeps them (written, in order of the path's hash), and the level
+    at which to compare their leaves."""
+    found, bits = [], []
+    for manifest in manifests:
+        rows = manifest.select("relative_path", "sha512", F.xxhash64("relative_path").alias("path_hash"))
+        rows = rows.repartitionByRange("path_hash").sortWithinPartitions("path_hash")
+        rows = materialise(rows, fresh_folder(rows.sparkSession))
+        bits.append(leaf_bits(rows.count()))
+        found.append((rows, materialise(digest_tree(rows, bits[-1]), fresh_folder(rows.sparkSession))))
+    (left, left_tree), (right, right_tree) = found
+    return left, right, left_tree, right_tree, min(bits)
+
+
+def _nearly_equal(spark, folder):
+    documents = _documents(spark, folder)
+    return _with_trees(derive.copy_c(documents), derive.copy_d(documents))
+
+
+def compare_by_tree_digest(spark, folder):
+    """Nearly equal copies: only rows of unlike leaves are read."""
+    return differences(*_nearly_equal(spark, folder), hash_col="path_hash")
+
+
+def compare_counts_by_tree_digest(spark, folder):
+    sides = _nearly_equal(spark, folder)
+    return counts_with_matches(differences(*sides, hash_col="path_hash"), sides[2])
+
+
+def compare_by_tree_digest_drifted(spark, folder):
+    """Copies A and B, which differ everywhere and hold unfinished rows: the same as their comparison."""
+    return differences(*_with_trees(*_copies(spark, folder)), hash_col="path_hash")
+
+
+def compare_by_directory(spark, folder):
+    return compare_directories(*_copies(spark, folder))
+
+
 # Digests
 
 
@@ -327,6 +374,22 @@ def reconcile_events(spark, folder):
     return reconcile(events, derive.drifted_events(events), ["event_id"], values)
 
 
+def reconcile_lineitem_by_sketch(spark, folder):
+    lineitem = table(spark, folder, "lineitem")
+    keys, values = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_tax"]
+    return reconcile_by_sketch(lineitem, derive.drifted_lineitem(lineitem), keys, values)
+
+
+def reconcile_events_by_sketch(spark, folder):
+    """Nested values and instants, all rows of one side repeated."""
+    events = table(spark, folder, "events").withColumn("marks", F.array(F.struct("ts", "user_id")))
+    values = ["ts", "event_type", "props", "marks"]
+    few = F.col("event_id") % 211 == 3
+    drifted = derive.drifted_events(events.where(few)).unionByName(events.where(~few).select("event_id", *values))
+    twice = [side.withColumn("_", F.explode(F.array(F.lit(1), F.lit(2)))) for side in (events, drifted)]
+    return reconcile_by_sketch(*twice, ["event_id"], values)
+
+
 # Manifest quality and history
 
 
@@ -366,6 +429,18 @@ def snapshot_history(spark, folder):
     return history(one.union(two).union(three), [1, 2, 3])
 
 
+def snapshot_merge_on_read(spark, folder):
+    """A as the base, the changes to B and on to C beside it: what is read is C."""
+    a, b = _copies(spark, folder)
+    c = derive.copy_c(_documents(spark, folder))
+    values = ["size", "mtime_ns", "ctime_ns", "sha512", "bytes_hashed"]
+    steps = [
+        changes_between(old, new, values).withColumn("sequence", F.lit(i)) for i, (old, new) in enumerate([(a, b), (b, c)])
+    ]
+    merged = merge_changes(a, latest_changes(steps[0].unionByName(steps[1]), values), values)
+    return merged.withColumn("sha512", F.col("sha512").isNotNull()).withColumnRenamed("sha512", "has_digest")
+
+
 # The given tables as files
 
 
@@ -400,6 +475,10 @@ QUERIES = [
     compare_verdict,
     compare_verdict_self,
     compare_multi_root,
+    compare_by_tree_digest,
+    compare_counts_by_tree_digest,
+    compare_by_tree_digest_drifted,
+    compare_by_directory,
     digest_documents,
     digest_pages_sha512,
     digest_copies,
@@ -427,10 +506,13 @@ QUERIES = [
     reconcile_lineitem,
     reconcile_documents,
     reconcile_events,
+    reconcile_lineitem_by_sketch,
+    reconcile_events_by_sketch,
     manifest_self_check,
     manifest_self_check_clean,
     manifest_violations,
     snapshot_history,
+    snapshot_merge_on_read,
     tree_listing,
     tree_sha512,
     tree_chunk_sha512,

@@ -63,6 +63,18 @@ def copy_c(documents: DataFrame) -> DataFrame:
     return _rows(rows, document_path(), body, mtime, mtime + 9, F.lit(False))
 
 
+def copy_d(documents: DataFrame) -> DataFrame:
+    """Nearly C: few files gone, few with other content, few new ones."""
+    doc = F.col("doc_id")
+    copies = F.array(F.when((doc % 10 != 1) & (doc % 103 != 5), "kept"), F.when(doc % 107 == 9, "late"))
+    rows = documents.withColumn("copy", F.explode(copies)).where(F.col("copy").isNotNull())
+    late = F.col("copy") == "late"
+    mark = F.when(late, "").when(doc % 101 == 7, "?").when(doc % 6 == 4, "!").otherwise("")
+    path = F.when(late, F.concat(F.lit("late/"), document_path())).otherwise(document_path())
+    mtime = F.lit(EPOCH_NS) + doc * 1_000_003
+    return _rows(rows, path, F.concat("text", mark), mtime, mtime + 9, F.lit(False))
+
+
 def per_root(manifest: DataFrame) -> DataFrame:
     """The same manifest with one root per source (``new/`` is a root of its own)."""
     first = F.substring_index("relative_path", "/", 1)

@@ -32,9 +32,41 @@ b AS (
 _C = """
 c AS (
   SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS relative_path,
-         sha256(CASE WHEN doc_id % 6 = 4 THEN text || '!' ELSE text END) AS digest
+         sha256(CASE WHEN doc_id % 6 = 4 THEN text || '!' ELSE text END) AS digest,
+         strlen(CASE WHEN doc_id % 6 = 4 THEN text || '!' ELSE text END) AS size,
+         1700000000000000000 + doc_id * 1000003 AS mtime_ns,
+         1700000000000000000 + doc_id * 1000003 + 9 AS ctime_ns
   FROM documents WHERE doc_id % 10 <> 1)"""
 
+_D = """
+d AS (
+  SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS relative_path,
+         sha256(text || CASE WHEN doc_id % 101 = 7 THEN '?' WHEN doc_id % 6 = 4 THEN '!' ELSE '' END) AS digest
+  FROM documents WHERE doc_id % 10 <> 1 AND doc_id % 103 <> 5
+  UNION ALL
+  SELECT 'late/' || source || '/' || lang || '/doc_' || doc_id || '.txt', sha256(text)
+  FROM documents WHERE doc_id % 107 = 9)"""
+
+_NEARLY = f"""{_C}, {_D},
+compared AS (
+  SELECT coalesce(c.relative_path, d.relative_path) AS relative_path,
+         CASE WHEN d.relative_path IS NULL THEN 'only_left'
+              WHEN c.relative_path IS NULL THEN 'only_right'
+              WHEN c.digest <> d.digest THEN 'mismatch'
+              ELSE 'match' END AS status
+  FROM c FULL JOIN d ON c.relative_path = d.relative_path)"""
+
+# A file lies below the root and below every directory on its path.
+_DIRECTORIES = f"""{_A}, {_B},
+paths AS (
+  SELECT coalesce(a.relative_path, b.relative_path) AS p, a.relative_path IS NOT NULL AS l, b.relative_path IS NOT NULL AS r,
+         a.digest AS old, b.digest AS new
+  FROM a FULL JOIN b ON a.relative_path = b.relative_path),
+below AS (
+  SELECT *, unnest(list_transform(range(len(string_split(p, '/'))),
+                                  lambda n: array_to_string(string_split(p, '/')[1:n], '/'))) AS directory
+  FROM paths)"""
+
 _COMPARED = f"""{_A}, {_B},
 compared AS (
   SELECT coalesce(a.relative_path, b.relative_path) AS relative_path,
@@ -256,6 +288,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT split_part(a.relative_path, '/', 1) AS prefix,
                    substr(a.relative_path, strpos(a.relative_path, '/') + 1) AS relative_path
             FROM a JOIN b ON a.relative_path = b.relative_path AND a.digest <> b.digest""",
+        "compare_by_tree_digest": f"WITH {_NEARLY} SELECT relative_path, status FROM compared WHERE status <> 'match'",
+        "compare_counts_by_tree_digest": f"WITH {_NEARLY} SELECT status, count(*) AS files FROM compared GROUP BY status",
+        "compare_by_tree_digest_drifted": f"WITH {_COMPARED} SELECT relative_path, status FROM compared WHERE status <> 'match'",
+        "compare_by_directory": f"""WITH {_DIRECTORIES}
+            SELECT directory,
+                   CASE WHEN count(*) FILTER (r) = 0 THEN 'only_left' WHEN count(*) FILTER (l) = 0 THEN 'only_right'
+                        WHEN bool_or(NOT l OR NOT r OR old IS DISTINCT FROM new) THEN 'unlike'
+                        WHEN bool_or(old IS NULL) THEN 'unverified' ELSE 'alike' END AS status,
+                   count(*) FILTER (l) AS left_rows, count(*) FILTER (r) AS right_rows
+            FROM below GROUP BY directory""",
         "digest_documents": "SELECT doc_id, upper(sha256(text)) AS sha256 FROM documents",
         "digest_copies": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text",
         "chunk_digests": f"WITH {_CHUNKS} SELECT doc_id, chunk_no, upper(hex) AS chunk_sha256, chunks FROM chunks",
@@ -344,6 +386,30 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN right_rows = 0 THEN 'only_left' WHEN left_rows = 0 THEN 'only_right'
                         WHEN left_rows <> right_rows THEN 'count_differs' ELSE 'match' END AS status
             FROM counted""",
+        "reconcile_lineitem_by_sketch": f"""WITH {_LINES},
+            counted AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax,
+                               sum(left_n)::BIGINT AS left_rows, sum(right_n)::BIGINT AS right_rows
+                        FROM stacked GROUP BY ALL)
+            SELECT l_orderkey, l_linenumber, left_rows, right_rows,
+                   CASE WHEN right_rows = 0 THEN 'only_left' WHEN left_rows = 0 THEN 'only_right'
+                        ELSE 'count_differs' END AS status
+            FROM counted WHERE left_rows <> right_rows""",
+        "reconcile_events_by_sketch": """
+            WITH few AS (SELECT * FROM events WHERE event_id % 211 = 3),
+            moved AS (
+                SELECT event_id, event_type,
+                       CASE WHEN event_id % 5 = 1 THEN ts + INTERVAL 1 MICROSECOND ELSE ts END AS ts,
+                       CASE WHEN event_id % 7 = 3 THEN ts + INTERVAL 1 MICROSECOND ELSE ts END AS mark,
+                       CASE WHEN event_id % 8 = 6 THEN props || ',' ELSE props END AS props, user_id
+                FROM few WHERE event_id % 9 <> 2),
+            stacked AS (
+                SELECT event_id, event_type, ts, ts AS mark, props, user_id, 2 AS l, 0 AS r FROM few
+                UNION ALL SELECT event_id, event_type, ts, mark, props, user_id, 0, 2 FROM moved),
+            counted AS (SELECT event_id, sum(l)::BIGINT AS left_rows, sum(r)::BIGINT AS right_rows
+                        FROM stacked GROUP BY event_id, event_type, ts, mark, props, user_id)
+            SELECT event_id, left_rows, right_rows,
+                   CASE WHEN right_rows = 0 THEN 'only_left' ELSE 'only_right' END AS status
+            FROM counted WHERE left_rows <> right_rows""",
         "reconcile_documents": """WITH moved AS (
                 SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN text || ' ' ELSE text END AS text,
                        CASE WHEN doc_id % 13 = 5 THEN NULL ELSE lang END AS lang
@@ -371,6 +437,8 @@ def oracle_sql() -> dict[str, str]:
         "manifest_violations": f"WITH {_FAULTY} "
         + " UNION ALL ".join(f"SELECT relative_path, '{f}' AS fault FROM flags WHERE {f}" for f in _FAULTS)
         + " UNION ALL SELECT relative_path, 'duplicate_path' FROM flags GROUP BY relative_path HAVING count(*) > 1",
+        "snapshot_merge_on_read": f"""WITH {_C}
+            SELECT relative_path, size, mtime_ns, ctime_ns, true AS has_digest, NULL::BIGINT AS bytes_hashed FROM c""",
         "snapshot_history": f"""WITH {_A}, {_B}, {_C},
             pairs AS (
               SELECT 2::BIGINT AS snapshot_id, coalesce(a.relative_path, b.relative_path) AS relative_path,

@@ -43,6 +43,12 @@ def manifest_schema(digest: str = "sha512") -> T.StructType:
 
 MANIFEST = manifest_schema()
 
+
+def changes_schema(digest: str = "sha512") -> T.StructType:
+    """Rows that came or replaced others, and paths that went."""
+    return manifest_schema(digest).add("removed", T.BooleanType(), False)
+
+
 ERRORS = T.StructType(
     [
         T.StructField("relative_path", T.StringType()),
@@ -56,7 +62,6 @@ ROOTS = T.StructType([T.StructField("prefix", T.StringType(), False)])
 COMMITS = T.StructType(
     [
         T.StructField("snapshot_id", T.LongType(), False),
-        T.StructField("attempt", T.StringType(), False),
         T.StructField("roots", T.ArrayType(T.StringType()), False),
         T.StructField("digest", T.StringType(), False),
         T.StructField("files", T.LongType()),
@@ -64,7 +69,14 @@ COMMITS = T.StructType(
     ]
 )
 
-EXPIRED = T.StructType([T.StructField("snapshot_id", T.LongType(), False)])
+# A node is a prefix of ``level`` bits of the path's hash.
+TREE = T.StructType(
+    [
+        T.StructField("level", T.IntegerType(), False),
+        *[T.StructField(name, T.LongType(), False) for name in ("node", "rows", "unfinished")],
+        *[T.StructField(f"s{i}", T.LongType(), False) for i in range(6)],
+    ]
+)
 
 STATUSES = ("only_left", "only_right", "mismatch", "unverified", "match")
 
