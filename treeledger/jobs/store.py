@@ -207,12 +207,11 @@ class Store:
         writer = ranged.sortWithinPartitions(HASH).write.option("parquet.block.size", ROW_GROUP_BYTES)
         writer.parquet(f"{self.path}/{folder}/rows")
 
-    def _write_tree(self, tree: DataFrame, folder: str) -> None:
-        # By level, so that going down reads one level at a time; a level of the tree is sorted by node.
-        columns = TREE.fieldNames()
-        tree.select(*columns).repartitionByRange("level", "node").sortWithinPartitions("level", "node").write.parquet(
-            f"{self.path}/{folder}/tree"
-        )
+    def _write_tree(self, tree: DataFrame, folder: str, bits: int) -> None:
+        tree = tree.select(*TREE.fieldNames())
+        if bits:  # by level and node, so that going down reads a part of one level at a time
+            tree = tree.repartitionByRange("level", "node").sortWithinPartitions("level", "node")
+        tree.write.parquet(f"{self.path}/{folder}/tree")
 
     def write_base(
         self, manifest: DataFrame, root: str, seen=None, digest: str = "sha512", replace: Sequence[str] = (), files: int | None = None
@@ -224,7 +223,7 @@ class Store:
         written = self._rows(folder, manifest_schema(digest))
         total = written.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
         bits = leaf_bits(total.n)
-        self._write_tree(digest_tree(written, bits, digest_col=digest), folder)
+        self._write_tree(digest_tree(written, bits, digest_col=digest), folder, bits)
         state = {"base": folder, "changes": [], "files": total.n, "bytes": total.b or 0, "bits": bits}
         return self._commit(seen, root, state, digest, replace)
 
@@ -241,7 +240,7 @@ class Store:
         old = written.where("had").select("relative_path", F.col("was_" + digest).alias(digest))
         parts = contributions(written.where("not removed"), was["bits"], digest_col=digest)
         parts = parts.unionByName(contributions(old, was["bits"], digest_col=digest, sign=-1))
-        self._write_tree(rolled_up(parts, was["bits"]), folder)
+        self._write_tree(rolled_up(parts, was["bits"]), folder, was["bits"])
         state = {
             **was,
             "changes": [*was["changes"], folder],

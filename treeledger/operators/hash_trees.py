@@ -66,6 +66,8 @@ def _summed(df: DataFrame, *keys: str) -> DataFrame:
 def rolled_up(parts: DataFrame, bits: int) -> DataFrame:
     """The tree (level, node and amounts; a level is a number of bits) of contributions to leaves of so many bits."""
     leaves = _summed(parts, "node")
+    if not bits:
+        return leaves.select(F.lit(0).alias("level"), *leaves.columns)
     level = F.explode(F.sequence(F.lit(0), F.lit(bits), F.lit(STEP)))
     levels = leaves.withColumn("level", level)
     node = F.expr(f"shiftrightunsigned(node, {bits} - level)")
