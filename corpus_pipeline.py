@@ -7,7 +7,8 @@ mixing            sources come to their target weights: documents are repeated,
 tokens            ids of all remaining documents as binary files; the result describes them
 
 All but the last return the columns of ``documents``.  NULLs in any column are allowed: a NULL text is an
-empty document (mixing leaves it out, having no words), a NULL doc_id is never a near copy.
+empty document (mixing leaves it out, having no words).  Copies are found by row: one row of a group stays, whatever
+the ids, repeated ones and NULLs included.
 """
 
 from collections.abc import Callable
@@ -32,9 +33,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates.near_duplicates(docs)
-    dropped = found.where("not kept").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_doc_id"), "left_anti")
+    # Every row is a node of its own, so that repeated ids and rows without one are grouped like any others.
+    row = free_name(docs, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    dropped = found.where("not kept").select(F.col("doc_id").alias(row))
+    return numbered.join(dropped, row, "left_anti").select(*[f"`{name}`" for name in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,14 @@ def test_pipeline_keeps_columns_and_is_the_same_stage_by_stage(spark):
     assert len(rows) == docs.count()
     starts = sorted((row.start, row.n_tokens) for row in rows)
     assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
+
+
+def test_one_row_of_each_group_of_copies_stays_whatever_its_id(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    near = text.replace("w39", "x")
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, near), (3, other), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, _doc_id string, row string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    got = sorted(r.text or "" for r in kept.collect())
+    assert len(got) == 5 and got[:3] == ["", "", ""] and got[3] == other and got[4] in (text, near)

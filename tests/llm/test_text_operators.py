@@ -467,6 +467,15 @@ def test_near_duplicates_against_brute_force(spark, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_near_duplicates_join_the_groups_of_an_id_with_several_texts(spark):
+    a, b, c, d = (words(seed, 40) for seed in (71, 72, 73, 74))
+    texts, ids = [a, a, b, b, c, None, d, d, a], [5, 3, 5, 9, 20, 5, 30, 31, 3]
+    rows = near_duplicates.near_duplicates(documents(spark, texts, ids=ids)).collect()
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in rows)
+    expected = [(i, 3, i == 3) for i in (3, 3, 5, 5, 5, 9)] + [(20, 20, True), (30, 30, True), (31, 30, False)]
+    assert got == expected
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     docs = documents(spark, ["a b c", "a b c", "a b c", "q r s", None], ids=[5, 5, None, 3, None])
     rows = near_duplicates.near_duplicates(docs).collect()

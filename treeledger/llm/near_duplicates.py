@@ -19,8 +19,8 @@ A link at exactly 0.8 is missed with probability (1 - 0.8^5)^40 = 1.2e-7 by the
 sketch (never by the sketch if both sets have at most 1,024 shingles); both fall quickly above 0.8.
 
 Defined cases: no text or no words: empty set, linked with nothing.  Fewer words than a shingle has:
-the whole sequence is one shingle.  Rows with one doc_id are one document.  A NULL doc_id takes no
-part: it gets a NULL component and is kept.
+the whole sequence is one shingle.  Rows with one doc_id are one document: where their texts differ, the groups of
+these texts are joined.  A NULL doc_id takes no part: it gets a NULL component and is kept.
 """
 
 import math
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release_memory, written
+from .components import connected_components, heavy_join
 
 BANDS = 40
 ROWS = 5
@@ -126,31 +127,6 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.select("doc_id", sign(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of (a, b): the smallest node reachable.
-
-    Alternates large-star and small-star steps, each a minimum by key and a join, until nothing moves:
-    a logarithmic number of rounds, and no neighbour list is ever collected.
-    """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    pairs, before = written(pairs.distinct()), None
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        lower = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = written(lower.unionByName(least.withColumnRenamed("m", "v")).distinct())
-        state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
-        if state == before:
-            break
-        before = state
-    nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
-
-
 def _alike(bits, threshold: float):
     """Whether so many XORed bits, and the set sizes of the sides x and y, allow the threshold."""
     small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
@@ -190,12 +166,15 @@ def _screened(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return joined.where(_close(threshold)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, threshold: float) -> DataFrame:
+def _confirmed(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle_words: int, threshold: float
+) -> DataFrame:
     """The pairs whose full sets reach the threshold.  Only texts that occur in a pair are read into sets."""
 
-    @F.pandas_udf("binary")
-    def sets(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: shingle_set(text, shingle_words).tobytes())
+    @F.pandas_udf("set binary, digest binary")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        found = texts.map(lambda text: shingle_set(text, shingle_words).tobytes())
+        return pd.DataFrame({"set": found, "digest": found.map(xxhash.xxh3_128_digest)})
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -207,10 +186,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, threshold:
         return pd.Series(result, dtype=bool)
 
     pairs = written(pairs)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
-    held = written(texts.select(F.col("doc_id").alias("node"), sets(F.col("text").cast("binary")).alias("set")))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(classes.select("node", "doc_id", "digest").join(nodes, "node", "left_semi"))
+    few = wanted.count() <= BROADCAST_IDS
+    ids = wanted.select("doc_id").distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    read = texts.select("doc_id", sets(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
+    # An id may have several texts, and a text several rows: the class is that of the set, and one row of it will do.
+    read = read.join(F.broadcast(wanted) if few else wanted, ["doc_id", "digest"])
+    held = written(read.groupBy("node").agg(F.first("set").alias("set")))
     joined = pairs.join(held.alias("y"), F.col("b") == F.col("y.node"))
     joined = joined.join(held.alias("x"), F.col("a") == F.col("x.node"))
     return written(joined.where(alike("x.set", "y.set")).select("a", "b").distinct())
@@ -265,18 +249,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, shingle_words))
     whole = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(
-        whole.groupBy("digest").agg(
-            F.min("doc_id").alias("node"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        )
+    # Written, so that the numbers of the classes are fixed.
+    classes = whole.groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.count("*").alias("copies"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"),
     )
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     buckets = _buckets(classes)
     spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
     components = spark.createDataFrame([], "node long, component long")
+    links = _same_ids(signed, classes)
     for step in ("star", "other star", "crossing"):
         labelled = buckets.join(components, "node", "left").select(
             "node", "key", "weight", F.coalesce("component", "node").alias("component")
@@ -285,23 +270,41 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
             pairs = _crossing(labelled, classes, threshold)
         else:
             pairs = _screened(_starred(labelled, step == "other star"), classes, threshold)
-        found = _confirmed(pairs, docs, shingle_words, threshold)
+        found = _confirmed(pairs, docs, classes, shingle_words, threshold)
         if not found.isEmpty():
             links = links.unionByName(found)
-            components = connected(links)
+            components = connected_components(links)
             links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    classed = signed.select("doc_id", "n_shingles", "digest").join(
-        classes.join(components, "node", "left").select(
-            "digest", F.coalesce("component", "node").alias("component")
-        ),
-        "digest",
-        "left",
-    )
-    # Rows of one doc_id with different texts lie in one component; an empty document is its own.
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return classed.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    if not links.isEmpty():  # where only repeated ids link
+        components = connected_components(links)
+    return _named(signed, classes, components)
+
+
+def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes in which rows of one id lie (rows without words have none)."""
+    pairs = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", "digest").distinct()
+    several = pairs.groupBy("doc_id").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1")
+    joined = pairs.join(several, "doc_id").where("digest <> first").select("digest", "first")
+    nodes = classes.select("digest", "node")
+    joined = joined.join(nodes.withColumnRenamed("node", "a"), "digest")
+    firsts = nodes.select(F.col("digest").alias("first"), F.col("node").alias("b"))
+    return written(joined.join(firsts, "first").select("a", "b").distinct())
+
+
+def _named(signed: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; a component is named by its smallest doc_id."""
+    named = classes.select("node", "digest", "doc_id", "copies").join(components, "node", "left")
+    named = written(named.withColumn("component", F.coalesce("component", "node")))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    named = written(heavy_join(named, least, "component", "members", named.count()).select("digest", "copies", "component_id"))
+    rows = signed.select("doc_id", "n_shingles", "digest")
+    whole = "n_shingles > 0 and doc_id is not null"
+    linked = heavy_join(rows.where(whole), named, "digest", "copies", signed.count())
+    linked = linked.select("doc_id", "n_shingles", "component_id")
+    # An empty row of an id that has words elsewhere belongs to that id's group.
+    empty = rows.where("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles")
+    groups = linked.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    empty = empty.join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    unnamed = rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    found = linked.unionByName(empty).unionByName(unnamed)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
