@@ -1,144 +1,159 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-A text is cut into windows of six words.  Each window is compressed with either dictionary; a window
-that gets shorter with the toxic one has something in common with toxic text that ordinary text lacks.
-How many windows save at least 1, 2, 3 and 5 bytes, absolutely and per window, goes through thresholds
-calibrated by a logistic fit; its probability is the score.
+Words are runs of letters and digits, lower-cased, and each is written as twelve bytes of its hash, so that one that a dictionary
+holds saves a fixed number of bytes, and one that it lacks cannot be compressed by chance.  A text is cut into windows of eight words.  Each
+window is compressed with either dictionary; one that gets shorter with the toxic one has words in common with toxic text that
+ordinary text lacks.  How many windows save about one, two or three words, and their share, goes through thresholds
+calibrated by a logistic fit; its probability is the score.  (A window without any word of the toxic dictionary alone cannot save
+and is not compressed.)
 
-Both dictionaries are raw content and end in the same ordinary windows, at the same distance from the
-text, so that ordinary phrases cost the same with either and the difference comes from what only the
-toxic dictionary holds: word beginnings and ends that occur in many more toxic than ordinary documents
-(12 times as often, beyond 4.2 standard errors; near copies in the sample count once).  Windows are
-encoded in UTF-16, because a match costs some three bytes and would not pay for a short word otherwise.
+*Dictionaries* are trained on the text of their class: each holds the words of a certain share of its documents, the most frequent last.  The share for
+ordinary text is smaller, so that what is at all usual there is known to both.  Both end in different words at the end only: the toxic
+dictionary is the ordinary one and what toxic text has beside it.  Documents that share an eighth of a sketch of their
+word triples with an earlier one count as its copies and are left out, or their words would count again and again.
 
-Fitting reads a bounded sample: ``sample_toxic`` and ``sample_ordinary`` labelled documents of at most
-``sample_chars`` code points, those with the smallest hash of doc_id; a third of it is only used for the
-thresholds.  The share of toxic documents is counted over all labelled rows.  Scoring reads whole texts.
+*Calibration* is by cross-fitting: every sampled document is measured, in whole, with dictionaries made without its third of the
+sample; the fitted weights then serve the dictionaries of the whole sample.
+
+Fitting reads a bounded sample: ``sample_toxic`` and ``sample_ordinary`` labelled documents, those with the smallest hash of doc_id.
+Of texts longer than ``sample_chars`` code points, dictionaries see windows of that size in all, spread evenly over the text.
+The share of toxic documents is counted over all labelled ones.  Scoring reads whole texts.
 
 Defined cases: NULL and empty texts have no windows and get the score of a document without any saving
 window.  Without toxic or without ordinary examples the score is the share of toxic labels (one in
-a million without labels).  Several labels of a document count as toxic if one is.  Every row of ``docs`` gives one row.
+a million without labels).  Several labels of a document count as toxic if one is; of several texts of one id the smallest is learned from.
+Every row of ``docs`` gives one row.
 """
 
 import math
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW_WORDS = 6
+from .common import written
+
+WINDOW_WORDS = 8
 SAMPLE_TOXIC = 1_500
 SAMPLE_ORDINARY = 3_000
 SAMPLE_CHARS = 8_000
-_SAVED = (1, 2, 3, 5)  # bytes
-_ORDINARY_BYTES = 16_384
-_TOXIC_BYTES = 4_096
-_LEAST_STRENGTH = 18  # of the likelihood ratio statistic: 4.2 standard errors
+TOXIC_SHARE, ORDINARY_SHARE = 0.01, 0.002  # of the documents of a class that hold a word of its dictionary, at least
+FOLDS = 3
+_SPREAD_WORDS = 40  # of each piece of a long text
+_CODE = 12
+_SAVED = (4, 12, 20)  # bytes: a word saves some nine
+_WORD = re.compile(r"\w+")
+_REMEMBERED = 200_000  # codes that a model keeps
 _PARAMETERS = {
-    "window_log": 15, "chain_log": 15, "hash_log": 15, "search_log": 5, "min_match": 4, "target_length": 8,
+    "window_log": 22, "chain_log": 21, "hash_log": 18, "search_log": 4, "min_match": 6, "target_length": 8,
     "strategy": zstandard.STRATEGY_LAZY, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
 }
 
 
-def windows(text: str | None) -> list[bytes]:
-    words = (text or "").lower().split()
-    return [
-        f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode("utf-16-le", "surrogatepass")
-        for i in range(0, len(words), WINDOW_WORDS)
-    ]
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
-def _edges(text: str) -> set[str]:
-    """Beginnings and ends, of 4 to 8 letters and a blank, of the words of a text."""
-    found = set()
-    for word in set(text.lower().split()):
-        word = f" {word} "
-        for size in range(5, min(9, len(word)) + 1):
-            found.add(word[:size])
-            found.add(word[-size:])
-    return found
+def _code(word: str) -> bytes:
+    return xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))[:_CODE]
 
 
-def _apart(texts: list[str]) -> list[str]:
-    """The texts without near copies of earlier ones, which would count their words again and again.
+class _Codes(dict):
+    """The codes of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        code = self[word] = _code(word)
+        return code
 
-    Near copies share most of the four smallest hashes of their long words.
-    """
-    seen: set[int] = set()
-    kept = []
-    for text in texts:
-        hashes = {zlib.crc32(word.encode("utf-8", "replace")) for word in text.lower().split() if len(word) > 7}
-        least = sorted(hashes)[:4]
-        if len(least) < 4 or sum(value in seen for value in least) < 2:
-            kept.append(text)
-        seen.update(least)
-    return kept
 
+def _spread(text: str, limit: int) -> str:
+    """The text itself, or pieces of it from everywhere, of about ``limit`` code points."""
+    if len(text) <= limit:
+        return text
+    found = text.split()
+    pieces = [" ".join(found[i : i + _SPREAD_WORDS]) for i in range(0, len(found), _SPREAD_WORDS)]
+    step = max(1.0, len(text) / limit)
+    return " ".join(pieces[int(i * step)] for i in range(int(len(pieces) / step)))[: 2 * limit]
 
-def _toxic_content(toxic: list[str], ordinary: list[str]) -> str:
-    """Word edges that mark toxic text: by likelihood ratio against an equal share, strongest last."""
-    seen, usual = Counter(), Counter()
-    for text in toxic:
-        seen.update(_edges(text))
-    for text in ordinary:
-        usual.update(_edges(text))
-    share, chosen = len(toxic) / max(1, len(toxic) + len(ordinary)), []
-    for edge, count in seen.items():
-        others = usual[edge]
-        ratio = (count + 0.5) / (len(toxic) + 1) / ((others + 0.5) / (len(ordinary) + 1))
-        if count < max(4, 0.015 * len(toxic)) or ratio < 12:
+
+def _apart(texts: list[str]) -> list[int]:
+    """The places of the texts that are no near copies of earlier ones."""
+    held, kept = defaultdict(list), []
+    for place, text in enumerate(texts):
+        own = words(text)
+        size = min(3, len(own))
+        grams = {zlib.crc32(" ".join(own[i : i + size]).encode("utf-8", "replace")) for i in range(len(own) - size + 1)}
+        sketch = sorted(grams)[:64] if own else []
+        shared = Counter(other for gram in sketch for other in held.get(gram, ()))
+        if shared and max(shared.values()) >= max(2, len(sketch) // 8):
             continue
-        strength = count * math.log(count / (count + others) / share)
-        if others:
-            strength += others * math.log(others / (count + others) / (1 - share))
-        if 2 * strength >= _LEAST_STRENGTH:
-            chosen.append((strength, edge))
-    content = ""
-    for _, edge in sorted(chosen, reverse=True):
-        if edge not in content and 2 * (len(content) + len(edge)) <= _TOXIC_BYTES:
-            content = edge + content
-    return content
+        for gram in sketch:
+            held[gram].append(place)
+        kept.append(place)
+    return kept
+
+
+def _frequent(texts: list[str], share: float, least: int) -> list[str]:
+    """The words that so many texts hold, the most frequent last."""
+    counts = Counter()
+    for text in texts:
+        counts.update(set(words(text)))
+    floor = max(least, share * len(texts))
+    return [word for word, count in sorted(counts.items(), key=lambda item: (item[1], item[0])) if count >= floor]
 
 
 @dataclass
 class ToxicityModel:
-    """Contents of the two dictionaries and the calibrated weights (intercept first)."""
+    """What both dictionaries hold, what the toxic one holds beside it, and the calibrated weights (intercept first)."""
 
-    ordinary: bytes
-    toxic: bytes
+    ordinary: list[str]
+    toxic: list[str]
     weights: list[float]
 
     def __post_init__(self):
-        self._lengths = None
+        self._open = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_lengths": None}
-
-    def _compressors(self):
-        parameters = zstandard.ZstdCompressionParameters(**_PARAMETERS)
-        made = []
-        for content in (self.ordinary, self.toxic + self.ordinary):
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(compression_params=parameters)
-            made.append(zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress)
-        return made
-
-    def savings(self, text: str | None) -> list[int]:
-        """Bytes that each window saves with the toxic dictionary."""
-        if self._lengths is None:
-            self._lengths = self._compressors()
-        ordinary, toxic = self._lengths
-        return [len(ordinary(window)) - len(toxic(window)) for window in windows(text)]
+        return self.__dict__ | {"_open": None}
+
+    def _opened(self):
+        """Both compressors, the toxic words and the codes: made once a worker and model."""
+        if self._open is None:
+            parameters = zstandard.ZstdCompressionParameters(**_PARAMETERS)
+            ordinary, toxic = (b"".join(map(_code, held)) for held in (self.ordinary, self.toxic))
+            made = []
+            for content in (ordinary, toxic + ordinary):
+                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                held.precompute_compress(compression_params=parameters)
+                made.append(zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress)
+            self._open = (*made, frozenset(self.toxic), _Codes())
+        return self._open
+
+    def savings(self, text: str | None) -> tuple[list[int], int]:
+        """Bytes that windows save with the toxic dictionary (those that can), and the number of all windows."""
+        ordinary, toxic, marks, codes = self._opened()
+        own, saved = words(text), []
+        for start in range(0, len(own), WINDOW_WORDS):
+            part = own[start : start + WINDOW_WORDS]
+            if not marks.isdisjoint(part):
+                window = b"".join([codes[word] for word in part])
+                saved.append(len(ordinary(window)) - len(toxic(window)))
+        return saved, -(-len(own) // WINDOW_WORDS)
 
     def features(self, text: str | None) -> list[float]:
-        saved = np.array(self.savings(text) if self.toxic else [], np.int64)
-        counts = [int((saved >= least).sum()) for least in _SAVED]
-        total = max(1, len(saved))
+        saved, total = self.savings(text) if self.toxic else ([], 0)
+        total = max(1, total)
+        counts = [sum(s >= least for s in saved) for least in _SAVED]
         return [1.0, *(math.log1p(c) for c in counts), *(math.sqrt(c / total) for c in counts), math.log(total)]
 
     def score(self, text: str | None) -> float:
@@ -162,24 +177,42 @@ def _logistic(features: np.ndarray, labels: np.ndarray, importance: np.ndarray)
     return weights.tolist()
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> ToxicityModel:
-    """Dictionaries from two thirds of each class, thresholds from the last third."""
-    toxic, ordinary = _apart(toxic), _apart(ordinary)
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    usual = _frequent(ordinary, ORDINARY_SHARE, 2)
+    known = set(usual)
+    return ToxicityModel(usual, [word for word in _frequent(toxic, TOXIC_SHARE, 3) if word not in known], [])
+
+
+# From the fold of each text (by place) and the models of the folds to the features of each text.
+Measure = Callable[[list[int], list[ToxicityModel]], list[list[float]]]
+
+
+def fit(toxic: list[str], ordinary: list[str], toxic_share: float, measure: Measure | None = None) -> ToxicityModel:
+    """A model from examples.  ``measure`` reads the whole texts of the examples (toxic ones first) where these are
+    shortened; a fold of -1 says that a text is not needed."""
     share = min(max(toxic_share, 1e-6), 1 - 1e-6)
-    prior = math.log(share / (1 - share))
-    cut, usual_cut = -(-2 * len(toxic) // 3), -(-2 * len(ordinary) // 3)
-    content = _toxic_content(toxic[:cut], ordinary[:usual_cut])
-    if not content or cut == len(toxic) or usual_cut == len(ordinary):
-        return ToxicityModel(b"", b"", [prior])
-    pool = [window for text in ordinary[:usual_cut] for window in windows(text)]
-    order = np.random.default_rng(5).permutation(len(pool))
-    base = b"".join(pool[i] for i in order[: _ORDINARY_BYTES // 8])[:_ORDINARY_BYTES]
-    model = ToxicityModel(base, content.encode("utf-16-le", "surrogatepass"), [])
-    texts = toxic[cut:] + ordinary[usual_cut:]
-    labels = np.array([1.0] * (len(toxic) - cut) + [0.0] * (len(ordinary) - usual_cut))
+    texts, folds = toxic + ordinary, [-1] * (len(toxic) + len(ordinary))
+    sides = [_apart(toxic), [len(toxic) + i for i in _apart(ordinary)]]
+    if min(map(len, sides)) < 2 * FOLDS:
+        return ToxicityModel([], [], [math.log(share / (1 - share))])
+    for side in sides:
+        for i, place in enumerate(side):
+            folds[place] = i % FOLDS
+    models = [
+        _dictionaries(*[[texts[p] for p in side if folds[p] != fold] for side in sides]) for fold in range(FOLDS)
+    ]
+    if measure is None:
+        measured = [models[fold].features(text) if fold >= 0 else [] for text, fold in zip(texts, folds, strict=True)]
+    else:
+        measured = measure(folds, models)
+    used = sides[0] + sides[1]
+    labels = np.array([1.0] * len(sides[0]) + [0.0] * len(sides[1]))
     mean = labels.mean()
     importance = np.where(labels == 1, share / mean, (1 - share) / (1 - mean))
-    model.weights = _logistic(np.array([model.features(text) for text in texts]), labels, importance)
+    model = _dictionaries(*[[texts[p] for p in side] for side in sides])
+    model.weights = _logistic(np.array([measured[p] for p in used]), labels, importance)
+    if not model.toxic:
+        return ToxicityModel([], [], [math.log(share / (1 - share))])
     return model
 
 
@@ -191,28 +224,47 @@ def train(
     sample_chars: int = SAMPLE_CHARS,
 ) -> ToxicityModel:
     """A model from the documents that ``labels`` (doc_id, toxic) covers."""
+    spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null")
     marked = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     named = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    sized = named.select("doc_id", (F.length("text") <= sample_chars).alias("short"))
-    known = sized.join(marked, "doc_id")
+    known = named.select("doc_id").distinct().join(marked, "doc_id")
     counts = {row.toxic: row.n for row in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    ids: list[tuple[int, int]] = []
+    ids: list[tuple] = []
     for label, size in ((1, sample_toxic), (0, sample_ordinary)):
-        chosen = known.where((F.col("toxic") == label) & F.col("short")).select("doc_id")
+        chosen = known.where(F.col("toxic") == label).select("doc_id")
         ids += [(row.doc_id, label) for row in chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).collect()]
     if not ids:
         return fit([], [], 0.0)
-    # At most sample_toxic + sample_ordinary ids: small enough for every task.
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
-    texts = named.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= sample_chars).collect()
-    texts.sort(key=lambda row: (row.doc_id * 0x9E3779B1 % 2**32, row.doc_id, row.text))
-    total = sum(counts.values())
-    return fit(
-        [row.text for row in texts if row.toxic == 1],
-        [row.text for row in texts if row.toxic == 0],
-        counts.get(1, 0) / total,
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sent(numbers: list, name: str) -> DataFrame:
+        # At most sample_toxic + sample_ordinary ids: small enough for every task.
+        return F.broadcast(spark.createDataFrame(numbers, f"doc_id {kind}, {name} int"))
+
+    sample = named.join(sent(ids, "toxic"), "doc_id")
+    sample = written(sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
+
+    @F.pandas_udf("string")
+    def shortened(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: _spread(text, sample_chars))
+
+    shown = sample.select("doc_id", "toxic", shortened("text").alias("text")).collect()
+    place = {doc_id: i for i, (doc_id, _) in enumerate(ids)}
+    shown.sort(key=lambda row: place[row.doc_id])  # toxic ones first, by hash
+
+    def measure(folds: list[int], models: list[ToxicityModel]) -> list[list[float]]:
+        @F.pandas_udf("array<double>")
+        def features(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+            return pd.Series([models[n].features(text) for text, n in zip(texts, numbers, strict=True)])
+
+        needed = [(row.doc_id, fold) for row, fold in zip(shown, folds, strict=True) if fold >= 0]
+        found = sample.join(sent(needed, "fold"), "doc_id").select("doc_id", features("text", "fold").alias("f")).collect()
+        by_id = {row.doc_id: list(row.f) for row in found}
+        return [by_id.get(row.doc_id, []) for row in shown]
+
+    texts = [[row.text for row in shown if row.toxic == label] for label in (1, 0)]
+    return fit(*texts, counts.get(1, 0) / sum(counts.values()), measure)
 
 
 def score_column(model: ToxicityModel, text: str = "text") -> Column:
