@@ -55,7 +55,7 @@ def test_toxicity_learns_marked_words_and_scores_whole_texts(spark):
     toxic = [" ".join(draw.choice(bad) if draw.random() < 0.1 else f"w{draw.randrange(300)}" for _ in range(90)) for _ in range(150)]
     clean = [words(i + 999, 90, 300) for i in range(450)]
     model = toxicity.fit(toxic[:100], clean[:300], 0.25)
-    assert all(word in model.toxic.decode("utf-16-le") for word in ("grubnik", "slorpax"))
+    assert {"grubnik", "slorpax", "vontruk"} <= set(model.toxic)
     caught = [model.score(text) >= 0.5 for text in toxic[100:]]
     wrong = [model.score(text) >= 0.5 for text in clean[300:]]
     assert np.mean(caught) > 0.9 and np.mean(wrong) < 0.03
