@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from treeledger.llm import (
@@ -177,6 +179,80 @@ def test_random_runs_are_told_from_words(spark):
     assert all(texts[i][s.start : s.end] == keys[i] for i in range(60) for s in found[i])
 
 
+def test_a_hundred_thousand_secrets_in_one_text(spark):
+    """Work is linear in the matches of a text; base spans and overlaps are as in short texts."""
+    draw = random.Random(12)
+    parts = [f"{draw.getrandbits(128):032x}" if i % 2 else f"token={draw.getrandbits(60):015x}" for i in range(100_000)]
+    text = "\n".join(parts)
+    begin = time.perf_counter()
+    (row,) = secrets.find_secrets(documents(spark, [text])).collect()
+    assert time.perf_counter() - begin < 60
+    place, expected = 0, []
+    for i, part in enumerate(parts):
+        expected.append((place, 2 if i % 2 else 0, place + len(part)))
+        place += len(part) + 1
+    assert [tuple(s) for s in row.base] == expected and [tuple(s) for s in row.spans] == expected
+
+
+def test_runs_that_touch_base_spans_are_left_out(spark):
+    draw, letters = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    texts, clear = [], []
+    for _ in range(300):
+        pieces, place, free = [], 0, set()
+        for _ in range(draw.randrange(1, 5)):
+            form, own = draw.randrange(4), key(40)
+            piece = [own, own + "password=" + key(9), own + "AKIA" + key(20).upper(), f"{draw.getrandbits(120):030x}" + own][form]
+            if form == 0:
+                free.add((place, place + len(piece)))
+            pieces.append(piece)
+            place += len(piece) + 1
+        texts.append(" ".join(pieces))
+        clear.append(free)
+    rows = secrets.find_secrets(documents(spark, texts)).collect()
+    for row in rows:
+        random_spans = {(s.start, s.end) for s in row.spans if s.kind == 3}
+        assert random_spans <= clear[row.doc_id]
+        assert not any(s.start < b.end and b.start < s.end for s in row.spans if s.kind == 3 for b in row.base)
+    assert sum(len([s for s in r.spans if s.kind == 3]) for r in rows) > 0.8 * sum(map(len, clear))
+
+
+def test_lone_keys_of_rare_lengths_are_found_beside_others(spark):
+    draw, letters = random.Random(9), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    lengths = [draw.randrange(24, 60) for _ in range(60)] + [70, 140, 300]
+    keys = ["".join(draw.choice(letters) for _ in range(n)) for n in lengths]
+    prose = ["".join(draw.choice(["the", "and", "ing", "ough", "tion"]) for _ in range(12)) for _ in range(400)]
+    rows = secrets.find_secrets(documents(spark, keys + prose)).collect()
+    found = {r.doc_id for r in rows if any(s.kind == 3 for s in r.spans)}
+    assert len([i for i in found if i < 63]) >= 55 and {60, 61, 62} & found and not [i for i in found if i >= 63]
+
+
+def test_the_battery_equals_its_formulas(spark):
+    draw, letters = random.Random(3), "0123456789abcdef"
+    runs = ["".join(draw.choice(letters[: draw.choice([2, 5, 16])]) for _ in range(draw.choice([20, 33, 64]))) for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(runs)), "i int, run string")
+    got = {r.i: r.p for r in table.select("i", secrets._battery(secrets._symbols(F.col("run"), letters), 16).alias("p")).collect()}
+
+    def upper(z):
+        return math.erfc(z / math.sqrt(2)) / 2
+
+    for i, run in enumerate(runs):
+        x, n, k = [letters.index(c) for c in run], len(run), 16
+        squared = sum(c * c for c in Counter(x).values()) * k / n - n
+        values = [upper((squared - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+        high = [v >= k / 2 for v in x]
+        above = sum(high)
+        product = 2 * above * (n - above)
+        spread = product * (product - n) / (n * n * (n - 1))
+        changes = sum(a != b for a, b in zip(high, high[1:], strict=False))
+        values.append(min(1, 2 * upper(abs(changes - product / n) / math.sqrt(spread))) if spread > 0 else 0)
+        mean = sum(x) / n
+        variance = sum((v - mean) ** 2 for v in x)
+        covariance = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False))
+        values.append(min(1, 2 * upper(abs(covariance / variance + 1 / n) * math.sqrt(n))) if variance else 0)
+        assert abs(got[i] - (1 - (1 - min(values)) ** 3)) < 1e-6
+
+
 # --- neighbours
 
 

@@ -17,7 +17,8 @@ The smallest of the three counts, corrected for their number: 1 - (1 - p)^3.
 length class (a power of two; what the tests can tell depends on the length), random ones have uniform
 p-values and others crowd at 0.  Those above 1/2 tell how many are random (twice as many), so at each cut
 the expected share of others above it is known.  The smallest cut of 64 whose share is at most ``rate`` is
-used; a class without such a cut gives nothing.  Counts are over all rows; what comes back to the driver is
+used; a class without such a cut gives nothing.  A class of few runs is pooled with the next lengths of its encoding, so that a lone key
+of a rare length is judged beside others.  Counts are over all rows; what comes back to the driver is
 one cut per encoding and length class, at most 5 x 31.
 
 Spans are code points, end exclusive; a random run that overlaps a pattern's span is left out.
@@ -51,6 +52,50 @@ PATTERNS = {
 _ASSIGNED = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 KINDS = ["assign", "access", "hex", "random"]
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+_FOUND = "array<struct<start:bigint,kind:int,end:bigint,found:string>>"
+BLOCK = 256  # matches whose places are found together
+LEAST_CLASS = 50  # runs; length classes of fewer are pooled with those nearest in length
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once (a lambda's body is computed anew for each element)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scanned(items: Column, start: Column, step, emit, empty: Column) -> Column:
+    """The array of ``emit(state, item)``, where ``state`` is ``start`` after a ``step(state, item)`` for each item before.
+
+    An array that grows by one element is copied each time, so items are taken in blocks: first only the state runs through
+    them, then each block grows an array of its own.  ``empty`` is an empty array of the result's type.
+    """
+    kind = F.array().cast("array<bigint>")
+
+    def cut(xs: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(xs) / BLOCK).cast("int"), F.lit(1)) - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * BLOCK + 1, BLOCK))
+
+    def before(blocks: Column) -> Column:
+        def pass_on(acc: Column, block: Column) -> Column:
+            return F.struct(
+                F.aggregate(block, acc["state"], step).alias("state"),
+                F.concat(acc["states"], F.array(acc["state"])).alias("states"),
+            )
+
+        return F.aggregate(blocks, F.struct(start.alias("state"), kind.alias("states")), pass_on, lambda acc: acc["states"])
+
+    def walk(block: Column, state: Column) -> Column:
+        def add(acc: Column, item: Column) -> Column:
+            return F.struct(
+                step(acc["state"], item).alias("state"),
+                F.concat(acc["out"], F.array(emit(acc["state"], item))).alias("out"),
+            )
+
+        return F.aggregate(block, F.struct(state.alias("state"), empty.alias("out")), add, lambda acc: acc["out"])
+
+    return _let(
+        items,
+        lambda xs: _let(cut(xs), lambda blocks: _let(before(blocks), lambda states: F.flatten(F.zip_with(blocks, states, walk)))),
+    )
 
 
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
@@ -61,23 +106,51 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     lengths = F.zip_with(between, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,found:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-
-    def add(state: Column, item: Column) -> Column:
-        begin = state["at"] + item["gap"]
-        end = begin + F.length(item["match"])
-        span = F.struct(
-            begin.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"),
+    empty = F.array().cast(_FOUND)
+
+    def step(at: Column, item: Column) -> Column:
+        return at + item["gap"] + F.length(item["match"])
+
+    def emit(at: Column, item: Column) -> Column:
+        return F.struct(
+            (at + item["gap"]).alias("start"), F.lit(kind).alias("kind"), step(at, item).alias("end"),
             item["match"].alias("found"),
         )
-        spans = F.when(keep(item["match"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.cast("long").alias("at"), spans.alias("spans"))
 
-    walked = F.aggregate(F.filter(lengths, lambda item: item["match"].isNotNull()), start, add, lambda state: state["spans"])
+    matches = F.filter(lengths, lambda item: item["match"].isNotNull())
+    walked = F.filter(_scanned(matches, F.lit(0).cast("long"), step, emit, empty), lambda s: keep(s["found"]))
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
+def _clear_of(runs: Column, base: Column) -> Column:
+    """The runs that no base span overlaps, by two walks over both in order of their starts."""
+    far = F.lit(1 << 62).cast("long")
+
+    def is_base(item: Column) -> Column:
+        return item["kind"] < 3
+
+    def marked(item: Column, hit: Column) -> Column:
+        return F.struct(item["start"], item["kind"], F.when(hit, -1).otherwise(item["end"]).alias("end"), item["found"])
+
+    def ahead(items: Column) -> Column:  # the furthest end of the base spans so far
+        return _scanned(
+            items, F.lit(0).cast("long"),
+            lambda end, x: F.when(is_base(x), F.greatest(end, x["end"])).otherwise(end),
+            lambda end, x: marked(x, ~is_base(x) & (end > x["start"])), F.array().cast(_FOUND),
+        )
+
+    def behind(items: Column) -> Column:  # the nearest start of the base spans after it
+        return _scanned(
+            items, far,
+            lambda start, x: F.when(is_base(x), F.least(start, x["start"])).otherwise(start),
+            lambda start, x: marked(x, ~is_base(x) & (start < x["end"])), F.array().cast(_FOUND),
+        )
+
+    every = F.array_sort(F.concat(base, runs))
+    kept = F.filter(behind(F.reverse(ahead(every))), lambda x: ~is_base(x) & (x["end"] >= 0))
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), kept).otherwise(runs)
+
+
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal, by the rational approximation 26.2.17 of the Handbook of
     Mathematical Functions (error below 1e-7)."""
@@ -146,7 +219,8 @@ def _cuts(runs: DataFrame, rate: float) -> dict[tuple[int, int], float]:
     for row in rows:  # at most 5 encodings x 31 lengths x 64 bins
         classes.setdefault((row.encoding, row.length), [0] * CUTS)[row.bin] += row.n
     cuts = {}
-    for key, counts in classes.items():
+    for key in classes:
+        counts = _pooled(classes, *key)
         truly = 2 * sum(counts[CUTS // 2 :])
         for cut in range(CUTS // 2 + 1):
             above = sum(counts[cut:])
@@ -157,6 +231,17 @@ def _cuts(runs: DataFrame, rate: float) -> dict[tuple[int, int], float]:
     return cuts
 
 
+def _pooled(classes: dict[tuple[int, int], list[int]], encoding: int, length: int) -> list[int]:
+    """Counts of a class, with those of its encoding's next length classes while they are too few to tell from."""
+    counts = [0] * CUTS
+    near = sorted((abs(other - length), other) for code, other in classes if code == encoding)
+    for _, other in near:
+        counts = [a + b for a, b in zip(counts, classes[encoding, other], strict=True)]
+        if sum(counts) >= LEAST_CLASS:
+            break
+    return counts
+
+
 def find_secrets(docs: DataFrame, rate: float = RATE, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind number, end, in order) of every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -166,15 +251,15 @@ def find_secrets(docs: DataFrame, rate: float = RATE, least_run: int = LEAST_RUN
         _spans(text, PATTERNS["access"], 1, lambda m: F.length(m) >= 20),
         _spans(text, "[0-9a-f]{24,}", 2, lambda m: F.length(m) >= 24),
     )
-    base = F.transform(base, lambda s: F.struct(s["start"], s["kind"], s["end"]))
     runs = _spans(text, rf"[A-Za-z0-9+/_-]{{{least_run},}}", 3, lambda m: F.length(m) >= least_run)
-    found = docs.select("doc_id", F.array_sort(base).cast(_SPAN).alias("base"), runs.alias("runs"))
+    found = docs.select("doc_id", F.array_sort(base).alias("known"), runs.alias("others"))
+    plain = F.transform("known", lambda s: F.struct(s["start"], s["kind"], s["end"])).cast(_SPAN)
     tested = F.transform(
-        F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))),
+        _clear_of(F.col("others"), F.col("known")),
         lambda r: F.struct(r["start"], r["kind"], r["end"], _tested(r["found"]).alias("test")),
     )
     # The texts are not needed any more: spans and p-values are.
-    held = written(found.select("doc_id", "base", tested.alias("runs")))
+    held = written(found.select("doc_id", plain.alias("base"), tested.alias("runs")))
     cuts = _cuts(held.select(F.explode("runs").alias("r")).select("r.test.*"), rate)
     # One cut per encoding and length class; no p-value reaches 2.
     table = F.array(*[F.lit(cuts.get((e, n), 2.0)) for e in range(len(ENCODINGS)) for n in range(32)])
