@@ -40,7 +40,7 @@ ROWS = 5
 SAMPLE = 1_024
 SKETCH_BITS = 2_048
 FOLDED = 8  # words of a folded sketch
-BROADCAST_IDS = 1_000_000  # most doc_ids sent to every task (8 MB); more are joined by a shuffle
+BROADCAST_IDS = 400_000  # most classes sent to every task (24 bytes each); more are joined by a shuffle
 _MASK = (1 << 64) - 1
 _SIGNATURE = "n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
@@ -110,7 +110,7 @@ def sketch_limit(threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and odd sketch of every document."""
+    """doc_id, hash of the text, n_shingles, digest of the set, band keys and odd sketch of every document."""
 
     @F.pandas_udf(_SIGNATURE)
     def sign(texts: pd.Series) -> pd.DataFrame:
@@ -124,7 +124,8 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
         release_memory()
         return pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
 
-    return docs.select("doc_id", sign(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
+    signed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sign(F.col("text").cast("binary")).alias("s"))
+    return signed.select("doc_id", "text_hash", "s.*")
 
 
 def _alike(bits, threshold: float):
@@ -171,10 +172,9 @@ def _confirmed(
 ) -> DataFrame:
     """The pairs whose full sets reach the threshold.  Only texts that occur in a pair are read into sets."""
 
-    @F.pandas_udf("set binary, digest binary")
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        found = texts.map(lambda text: shingle_set(text, shingle_words).tobytes())
-        return pd.DataFrame({"set": found, "digest": found.map(xxhash.xxh3_128_digest)})
+    @F.pandas_udf("binary")
+    def sets(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: shingle_set(text, shingle_words).tobytes())
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -187,13 +187,11 @@ def _confirmed(
 
     pairs = written(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(classes.select("node", "doc_id", "digest").join(nodes, "node", "left_semi"))
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    read = texts.select("doc_id", sets(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
-    # An id may have several texts, and a text several rows: the class is that of the set, and one row of it will do.
-    read = read.join(F.broadcast(wanted) if few else wanted, ["doc_id", "digest"])
+    # An id may have several texts, and a text several rows: one row of the class's first text will do.
+    wanted = written(classes.select("node", "doc_id", "text_hash").join(nodes, "node", "left_semi"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(few, ["doc_id", "text_hash"])
+    read = texts.select("node", sets(F.col("text").cast("binary")).alias("set"))
     held = written(read.groupBy("node").agg(F.first("set").alias("set")))
     joined = pairs.join(held.alias("y"), F.col("b") == F.col("y.node"))
     joined = joined.join(held.alias("x"), F.col("a") == F.col("x.node"))
@@ -251,13 +249,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float =
     whole = signed.where("n_shingles > 0 and doc_id is not null")
     # Written, so that the numbers of the classes are fixed.
     classes = whole.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"),
+        F.min(F.struct("doc_id", "text_hash")).alias("least"),
         F.count("*").alias("copies"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch"),
     )
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
+    numbered = classes.withColumn("node", F.monotonically_increasing_id())
+    classes = written(numbered.select("node", "digest", "least.*", "copies", "n_shingles", "bands", "sketch"))
     buckets = _buckets(classes)
     spark = docs.sparkSession
     components = spark.createDataFrame([], "node long, component long")
