@@ -121,28 +121,57 @@ def test_include_wins_over_ignore(spark):
 
 @pytest.mark.parametrize(
     "pattern",
-    [
-        "(",
-        "[[:digit:]]",
-        "[:digit:]",
-        "[a[:alpha:]]",
-        "(?R)",
-        "(?1)",
-        "(?|a)",
-        r"a\Kb",
-        "(*FAIL)",
-        "[a[b]",
-        "[a&&b]",
-        "(?U)a+",
-        "(?iU)a",
-        "(?x)[ a]",
-    ],
-)
-def test_patterns_with_another_meaning_are_refused(spark, pattern):
+    ["(", "[:digit:]", "[[:nope:]]", "(?R)", "(?1)", "(?&n)", "(?(1)a|b)", "(*FAIL)", "(?|(a)|(b))\\1", "(?U)a++", "(?J)a",
+     "(a)\\g{-1}", "[a", "a\\", "(?#a", "\\C"],
+)
+def test_patterns_without_an_equivalent_are_refused(spark, pattern):
     with pytest.raises(ValueError):
         tf.check_patterns(["fine", pattern])
 
 
+# Pattern, what it is found in, what it is not found in.
+TRANSLATED = [
+    ("^[[:digit:]]+$", ["12"], ["1a", ":", "d"]),
+    ("^[[:^digit:]]$", ["a", ":"], ["1"]),
+    ("^[a[:upper:]_]+$", ["aB_"], ["b", ":"]),
+    ("^[[:word:]]$", ["a", "_", "1"], ["-"]),
+    ("^[^[:space:]]$", ["a"], [" ", "\t"]),
+    ("^[a[b]$", ["a", "[", "b"], ["c"]),
+    ("^[a&&b]$", ["a", "&", "b"], ["c"]),
+    ("^[]a]$", ["]", "a"], ["b"]),
+    ("^[^]a]$", ["b"], ["]", "a"]),
+    ("^[a^]$", ["a", "^"], ["b"]),
+    ("^(?x) a [ #] b # end\n$", ["a b", "a#b"], ["ab"]),
+    (r"a\Kb", ["ab"], ["b"]),
+    ("^(?|a|b)$", ["a", "b"], ["c"]),
+    ("^(?U)a+$", ["aaa"], ["b"]),
+    ("^(?iU)a+$", ["AA"], ["b"]),
+    (r"^\Na$", ["xa"], ["\na", "a"]),
+    (r"^a\hb$", ["a b", "a\tb"], ["a\nb"]),
+    (r"^a\Rb$", ["a\r\nb", "a\nb"], ["a b"]),
+    ("^a{,2}$", ["", "a", "aa"], ["aaa"]),
+    ("^a{x}$", ["a{x}"], ["a"]),
+    ("^a{$", ["a{"], ["a"]),
+    ("^a{2,3}$", ["aa", "aaa"], ["a"]),
+    ("^(?P<one_x>a|b)(?P=one_x)$", ["aa", "bb"], ["ab"]),
+    (r"^(?'n'a|b)\k{n}$", ["aa"], ["ab"]),
+    (r"^(a|b)\g{1}0$", ["aa0", "bb0"], ["ab0"]),
+    (r"^\o{101}\x{42}$", ["AB"], ["ab"]),
+    ("^a(?#note)b$", ["ab"], ["a"]),
+    (r"^\Qa.[b\E$", ["a.[b"], ["axb"]),
+    (r"^[\Q]^\E]$", ["]", "^"], ["Q"]),
+    (r"^[\b]$", ["\b"], ["b"]),
+    (r"^\p{L&}$", ["a", "B"], ["1"]),
+    ("(?<=a)b(?!c)(?<!x)", ["ab", "abd"], ["abc", "b"]),
+    ("^(?>a+)b|c++$", ["aab", "cc"], ["d"]),
+]
+
+
+@pytest.mark.parametrize("pattern, found, missed", TRANSLATED)
+def test_perl_patterns_keep_their_meaning(spark, pattern, found, missed):
+    assert values(spark, tf.matches_any("x", [pattern]), found + missed) == [True] * len(found) + [False] * len(missed)
+
+
 @pytest.mark.parametrize(
     "pattern",
     [

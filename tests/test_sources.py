@@ -319,3 +319,23 @@ def test_workers_get_the_package_without_its_folder_on_their_path(tmp_path):
         [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300
     )
     assert "1 rows" in run.stdout, run.stderr[-2000:]
+
+
+def test_files_are_dealt_out_by_size(spark):
+    import random
+
+    from treeledger.sources.content import FILE_KEY, dealt_by_size
+
+    draw, tasks = random.Random(3), 12
+    sizes = [draw.choice([0, 10, 1000, 90_000]) + draw.randrange(50) for _ in range(6000)] + [40_000_000, 26_000_000, 9_000_000]
+    rows = [(f"f{i}", size, 1, 1) for i, size in enumerate(sizes)]
+    files = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c == 'relative_path' else 'long'}" for c in FILE_KEY))
+    dealt = dealt_by_size(files, tasks)
+    assert sorted(map(tuple, dealt.collect())) == sorted(rows)
+    loads = {r[0]: r[1] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum("size")).collect()}
+    assert len(loads) == tasks
+    huge = [size for size in sizes if size * tasks > sum(sizes)]
+    assert sorted(loads.values(), reverse=True)[: len(huge)] == sorted(huge, reverse=True)
+    others = sorted(loads.values())[: tasks - len(huge)]
+    assert max(others) < 1.2 * min(others) and max(others) * tasks < 1.2 * sum(sizes)
+    assert dealt_by_size(files.limit(0), tasks).count() == 0 and dealt_by_size(files, 1).count() == len(rows)

@@ -1,14 +1,11 @@
 """Ignore and include patterns as Column predicates.
 
-Patterns are unanchored, case-sensitive searches over the relative path.  They
-run as Java regular expressions; ``(?d)`` makes newline the only line
-terminator, so ``.`` matches every other character.  A pattern whose Java
-meaning would silently differ from the usual Perl meaning is refused, and a
-pattern Java cannot compile is refused before any job starts.  Over non-ASCII names, wildcards match
+Patterns are unanchored, case-sensitive searches over the relative path, in Perl
+syntax.  They run as Java regular expressions, rewritten where the two differ; ``(?d)`` makes newline the only line
+terminator, so ``.`` matches every other character.  What Java cannot say is refused before any job starts.  Over non-ASCII names, wildcards match
 characters rather than bytes and ``\\b`` knows letters other than a-z.
 """
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -17,33 +14,18 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession, functions as F
 
 from .columns import as_column
+from .perl_patterns import java_pattern
 
-_QUOTED_ESCAPE_OR_CLASS = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\[\^?\]?((?:\\.|[^\]\\])*)\]", re.S)
-_FLAGS = re.compile(r"\(\?([a-zA-Z]*)")
-
-
-def _refuse_changed_meaning(pattern: str) -> None:
-    flags = "".join(_FLAGS.findall(_QUOTED_ESCAPE_OR_CLASS.sub("", pattern)))
-    if "U" in flags:
-        raise ValueError(f"flag U in {pattern!r} means something else here: write lazy quantifiers")
-    for found in _QUOTED_ESCAPE_OR_CLASS.finditer(pattern):
-        text, body = found.group(0), re.sub(r"\\.", "", found.group(1) or "", flags=re.S)
-        if "[:" in body or (text.startswith("[:") and text.endswith(":]")):
-            raise ValueError(f"POSIX class in {pattern!r}: write \\p{{Digit}}, \\p{{Alpha}} and so on")
-        if "[" in body or "&&" in body:
-            raise ValueError(f"unescaped [ or && inside a class in {pattern!r}: write \\[ or \\&\\&")
-        if "x" in flags and re.search(r"[\s#]", body):
-            raise ValueError(f"blank or # in a class under flag x in {pattern!r}: escape it")
+_NEWLINE_ONLY = "(?d)"
 
 
 def check_patterns(patterns: Sequence[str]) -> None:
     """Raise ValueError for the first pattern that is not usable."""
     for pattern in patterns:
-        _refuse_changed_meaning(pattern)
-    for pattern in patterns:
+        written = _NEWLINE_ONLY + java_pattern(pattern)
         try:  # folded to a constant while planning, so no job runs
             spark = SparkSession.builder.getOrCreate()
-            spark.sql("SELECT '' RLIKE :pattern", args={"pattern": "(?d)" + pattern}).collect()
+            spark.sql("SELECT '' RLIKE :pattern", args={"pattern": written}).collect()
         except PySparkException as e:
             raise ValueError(f"unusable pattern {pattern!r}: {e}") from e
 
@@ -54,7 +36,7 @@ def matches_any(path, patterns: Sequence[str]) -> Column:
         raise TypeError("patterns must be a list of strings")
     path = as_column(path)
     check_patterns(patterns)
-    return reduce(or_, [path.rlike("(?d)" + p) for p in patterns], F.lit(False))
+    return reduce(or_, [path.rlike(_NEWLINE_ONLY + java_pattern(p)) for p in patterns], F.lit(False))
 
 
 def is_ignored(path, ignore: Sequence[str] = (), include: Sequence[str] = ()) -> Column:

@@ -9,6 +9,7 @@ different values and are kept in different columns.
 
 import errno
 import hashlib
+import heapq
 import os
 import stat
 
@@ -22,6 +23,7 @@ BLOCK = 1024 * 1024
 BYTES_PER_TASK = 128 * 1024 * 1024
 FILES_PER_TASK = 20_000
 CHUNK_BYTES = 64 * 1024 * 1024
+SLOTS_PER_TASK = 16
 
 FILE_KEY = ("relative_path", "size", "mtime_ns", "ctime_ns")
 CHUNK_KEY = (*FILE_KEY, "chunk_no", "chunk_off", "chunk_len")
@@ -63,8 +65,60 @@ def task_count(files: int, total_bytes: int, cores: int) -> int:
     return even_tasks(max(by_bytes, by_files, min(files // 50, cores)), cores)
 
 
-def _hash_rows(rows: DataFrame, root: str, key: tuple, tasks: int, part: bool) -> DataFrame:
-    """Hash one file or chunk per row, spread over ``tasks`` by the whole key."""
+def _level(loads: list[int], rest: int) -> float:
+    """How far ``rest`` fills tasks with these loads up."""
+    held, level = 0, 0.0
+    for count, load in enumerate(sorted(loads), 1):
+        if count > 1 and load >= level:
+            break
+        held += load
+        level = (held + rest) / count
+    return level
+
+
+def _slots(loads: list[int], rest: int) -> list[int]:
+    """Tasks in the order in which small files are dealt to them: each as often as it has room left, mixed evenly."""
+    room = [max(0.0, _level(loads, rest) - load) for load in loads]
+    every = sum(room) or len(loads)
+    wanted = [round((free if sum(room) else 1) / every * SLOTS_PER_TASK * len(loads)) for free in room]
+    return [task for _, task in sorted(((i + 0.5) / n, task) for task, n in enumerate(wanted) for i in range(n))]
+
+
+def dealt_by_size(files: DataFrame, tasks: int) -> DataFrame:
+    """The files in ``tasks`` partitions of about the same number of bytes each.
+
+    Files of an eighth of a task's share or more (fewer than 8 a task) are dealt on the driver, the largest first to the task with
+    least.  The others are dealt by falling size to what room the tasks have left.
+    """
+    if tasks < 2:
+        return files.coalesce(1)
+    spark, key = files.sparkSession, files.columns
+    total = files.agg(F.sum("size")).first()[0] or 0
+    large = F.coalesce(F.col("size"), F.lit(0)) * (8 * tasks) > F.lit(total)
+    # Names need not be text that Python can read.
+    as_bytes = [F.col(c).cast("binary").alias(c) if c == "relative_path" else F.col(c) for c in key]
+    rows = sorted(files.where(large).select(*as_bytes).collect(), key=lambda r: (-r["size"], bytes(r.relative_path)))
+    loads, heap, placed = [0] * tasks, [(0, task) for task in range(tasks)], []
+    for row in rows:
+        load, task = heapq.heappop(heap)
+        loads[task] = load + row["size"]
+        heapq.heappush(heap, (loads[task], task))
+        placed.append((*row, task))
+    kinds = ", ".join(f"{c} {'binary' if c == 'relative_path' else 'bigint'}" for c in key)
+    own = spark.createDataFrame(placed, f"{kinds}, _task int").withColumn("relative_path", F.col("relative_path").cast("string"))
+    order = _slots(loads, total - sum(loads))
+    turns = spark.createDataFrame(list(enumerate(order)), "_turn bigint, _task int")
+    # Numbers within ranges of sizes: the files of a range are nearly alike, so each range is dealt evenly by itself.
+    falling = [F.desc_nulls_last("size"), F.col("relative_path")]
+    small = files.where(~large).repartitionByRange(*falling).sortWithinPartitions(*falling)
+    small = small.withColumn("_at", F.monotonically_increasing_id())  # partition above 33 bits, row in it below
+    turn = F.pmod(F.col("_at").bitwiseAND((1 << 33) - 1) + F.shiftright("_at", 33) * 7919, F.lit(len(order)))
+    small = small.withColumn("_turn", turn).join(F.broadcast(turns), "_turn").select(*key, "_task")
+    return own.select(*key, "_task").unionByName(small).repartitionById(tasks, "_task").drop("_task")
+
+
+def _hash_rows(rows: DataFrame, root: str, key: tuple, part: bool) -> DataFrame:
+    """Hash one file or chunk per row, each partition by one task."""
     root_bytes, inode = root_identity(root)
     types = {"relative_path": pa.binary()}
     schema = pa.schema(
@@ -93,13 +147,13 @@ def _hash_rows(rows: DataFrame, root: str, key: tuple, tasks: int, part: bool) -
             yield from in_batches((hashed(row, block) for row in rows), schema)
 
     binary = rows.select(F.col(key[0]).cast("binary").alias(key[0]), *key[1:])
-    out = binary.repartition(tasks, *key).mapInArrow(run, ddl + ", digest binary, error string")
+    out = binary.mapInArrow(run, ddl + ", digest binary, error string")
     return out.withColumn(key[0], F.col(key[0]).cast("string"))
 
 
 def hash_files(files: DataFrame, root: str, tasks: int) -> DataFrame:
     """sha512 of every file below ``root``; ``error`` where it could not be read."""
-    hashed = _hash_rows(files, root, FILE_KEY, tasks, part=False)
+    hashed = _hash_rows(dealt_by_size(files.select(*FILE_KEY), tasks), root, FILE_KEY, part=False)
     return hashed.withColumnRenamed("digest", "sha512")
 
 
@@ -119,5 +173,6 @@ def file_chunks(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 def hash_chunks(chunks: DataFrame, root: str, tasks: int) -> DataFrame:
     """sha512 of every chunk; ``error`` where it could not be read in full."""
-    hashed = _hash_rows(chunks, root, CHUNK_KEY, tasks, part=True)
+    spread = chunks.select(*CHUNK_KEY).repartition(tasks, *CHUNK_KEY)  # chunks are alike in size
+    hashed = _hash_rows(spread, root, CHUNK_KEY, part=True)
     return hashed.withColumnRenamed("digest", "chunk_sha512")
