@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from treeledger.llm import decontamination, mixing, near_duplicates, token_files, toxicity
 from treeledger.llm.common import fold, free_name, table, written
 from treeledger.llm.queries import vocabulary
-from treeledger.sources.scratch import fresh_folder
+from treeledger.sources.scratch import delete_folder, fresh_folder, materialise
 
 # SQL has neither compression with dictionaries nor the vocabulary's tokenizer.
 ORACLE_SQL = None
@@ -67,8 +67,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents`` of ``sf_dir``; what a stage has read is deleted once its result is written."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        folder = fresh_folder(spark)
+        docs = materialise(stage(spark, docs, sf_dir), folder)
+        if read:
+            delete_folder(spark, read)
+        read = folder
     return docs
