@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release_memory, written
 
 WINDOW_WORDS = 8
 SAMPLE_TOXIC = 1_500
@@ -264,7 +264,9 @@ def train(
         return [by_id.get(row.doc_id, []) for row in shown]
 
     texts = [[row.text for row in shown if row.toxic == label] for label in (1, 0)]
-    return fit(*texts, counts.get(1, 0) / sum(counts.values()), measure)
+    model = fit(*texts, counts.get(1, 0) / sum(counts.values()), measure)
+    release_memory()  # the counts of words, on the driver
+    return model
 
 
 def score_column(model: ToxicityModel, text: str = "text") -> Column:
