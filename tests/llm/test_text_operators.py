@@ -22,6 +22,7 @@ from treeledger.llm import (
     mixing,
     near_duplicates,
     neighbours,
+    queries,
     secrets,
     token_files,
     toxicity,
@@ -167,6 +168,24 @@ def test_secret_patterns_against_brute_force(spark):
         assert set(map(tuple, row.base)) <= set(map(tuple, row.spans))
 
 
+def test_the_secrets_query_counts_each_kind(spark, tmp_path):
+    draw = random.Random(6)
+    forms = [
+        lambda: f"token={draw.getrandbits(80):020x}", lambda: "passwd:short", lambda: f"AKIA{draw.getrandbits(64):016X}",
+        lambda: f"{draw.getrandbits(128):032x}", lambda: "ſecret=abcdefgh", lambda: "é😀\x00\r\n",
+    ]
+    texts = [*ODD, *(" ".join(draw.choice(forms)() for _ in range(draw.choice([1, 2, 7, 600]))) for _ in range(200))]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op3_secrets(spark, str(tmp_path)).collect()
+    assert sorted(row.doc_id for row in rows) == list(range(len(texts)))
+    for row in rows:
+        base = brute_spans(texts[row.doc_id])
+        kinds = Counter(kind for _, kind, _ in base)
+        assert (row.n_assign, row.n_access, row.n_hex) == (kinds[0], kinds[1], kinds[2]), row.doc_id
+        digest = ",".join(f"{secrets.KINDS[kind]}:{start}:{end}" for start, kind, end in base)
+        assert row.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+
+
 def test_random_runs_are_told_from_words(spark):
     draw = random.Random(4)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
