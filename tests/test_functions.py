@@ -99,6 +99,23 @@ def test_format_time_in_any_session_zone(spark):
         assert values(spark, tf.format_time("x"), given, "x bigint") == expected
 
 
+def test_formats_of_numbers_beyond_bigint(spark):
+    def shown(form, numbers):
+        given = [None if number is None else str(number) for number in numbers]
+        return values(spark, form(F.col("x").cast("decimal(38,0)")), given, "x string")
+
+    sizes = [None, 0, -1, 1 << 63, (1 << 70) + 1]
+    assert shown(tf.format_bytes, sizes) == [None, "0B", None, "8EB", "1024EB 1B"]
+    assert shown(tf.format_bytes, [75 * 10**18 << 60]) == [f"{75 * 10**18}EB"]
+    lengths = [None, 0, -1, 1 << 63, 31_536_000_000_000_000 * 10**19 + 5]
+    expected = [None, "0ns", None, "292y 5mon 2w 5d 21h 47min 16s 854ms 775μs 808ns", f"{10**19}y 5ns"]
+    assert shown(tf.format_duration, lengths) == expected
+    instants = [1_700_000_000 * 10**9 - (1 << 63) - 7, -(1 << 63), (1 << 63) - 1]
+    expected = ["1731-08-05 22:26:03.145224185", "1677-09-21 00:12:43.145224192", "2262-04-11 23:47:16.854775807"]
+    assert shown(tf.format_time, instants) == expected
+    assert values(spark, tf.format_duration("x"), [1.9, -0.5, -1.5], "x double") == ["1ns", "0ns", None]
+
+
 def test_format_grouped(spark):
     given = [0.0, 1e-11, 1234567.89, -1234.5, 100.0, 837452834.94, 999.0, 0.123456789]
     expected = ["0", "0", "1,234,567.89", "-1,234.5", "100", "837,452,834.94", "999", "0.123456789"]

@@ -336,7 +336,7 @@ def root_merge(spark, folder):
 
 def format_values(spark, folder):
     orders = table(spark, folder, "orders")
-    key = F.col("o_orderkey")
+    key = F.col("o_orderkey").cast("decimal(19,0)")  # the products outgrow a BIGINT
     return orders.select(
         "o_orderkey",
         format_bytes(key * key * 1000).alias("bytes"),
